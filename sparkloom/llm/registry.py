@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("fusion", "tokens", "packing")
+MODULES = ("fusion", "splitting", "tokens", "packing", "repetition")
 
 
 def queries() -> dict:
