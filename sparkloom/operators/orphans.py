@@ -98,7 +98,7 @@ def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = table(spark, sf_dir, "projects").where(F.length("package") > 0).select("package").distinct()
     depths = [r[0] for r in packages.select(F.size(F.split("package", r"\.")).alias("n")).distinct().collect()]  # distinct small numbers
     calls = table(spark, sf_dir, "code_entities").select(F.lit("code_entities").alias("ref_table"), F.col("qualified_name").alias("ref_key"), F.explode("calls").alias("target"), F.lit(None).cast(nt).alias("at"))
-    every = links.unionByName(drift).unionByName(calls).withColumn("target", clean_target(F.col("target"))).distinct()
+    every = links.unionByName(drift).unionByName(calls).withColumn("target", clean_target(F.col("target"))).where(F.col("target").isNotNull()).distinct()
     called = every.where("ref_table = 'code_entities'")
     inside = [called.withColumn("package", F.substring_index("target", ".", n)).where(F.length("target") > F.length("package")).join(packages, "package", "left_semi").drop("package") for n in depths]
     timed = every.where("ref_table <> 'code_entities'")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +32,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: what ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="sparkloom-")
+        sc.setCheckpointDir(named)
+    return named
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder shared by all executors and read it back.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a session that names none
-    (local tests) gets a temporary one.  A checkpoint survives the loss of executors.
+    The table survives the loss of executors, its plan is a bare scan (a checkpointed plan would keep the constraints
+    of all it came from, which grow with every round of an iteration) and its size is known to the optimizer.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-ckpt-"))
-    return df.checkpoint(eager=True)
+    at = f"{shared_folder(df.sparkSession)}/sparkloom/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def partitions(df: DataFrame) -> int:
