@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("validity", "fusion", "docpairs", "splitting", "tokens", "packing", "repetition")
+MODULES = ("validity", "origin", "fusion", "docpairs", "splitting", "tokens", "packing", "repetition")
 
 
 def queries() -> dict:
