@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, table
+from ..session import cut_lineage, spread, table
 from .validity import parse_files
 
 ATTRIBUTE_FILE = ".gitattributes"
@@ -170,13 +170,15 @@ def measures(files: DataFrame) -> DataFrame:
         (n / lines).alias("line_length"),
         (blank / n).alias("blank_share"),
         (chars_of(c, DATA_LINE) / n).alias("data_share"),
-        (chars_of(c, PRINTED_LINE) / n).alias("printed_share"),
-        (chars_of(c, ESCAPED) / n).alias("escaped_share"),
+        F.when(c.contains(".prototype.") | c.contains("$root.") | c.contains("DESCRIPTOR") | c.contains("globals()"), chars_of(c, PRINTED_LINE) / n).otherwise(F.lit(0.0)).alias("printed_share"),
+        F.when(c.contains("\\"), chars_of(c, ESCAPED) / n).otherwise(F.lit(0.0)).alias("escaped_share"),
         n.alias("n_chars"),
         F.when(F.length(F.regexp_replace(body, r"\s", "")) >= 120, F.sha2(F.regexp_replace(body, r"\s", ""), 256)).alias("fingerprint"),
     )
 
 
+#: Cases, of a few hundred bytes each, up to which they are broadcast.
+BROADCAST_CASES = 200_000
 #: Shape limits: a minified text has few blanks for its long lines; bulk data is nearly all records and not short.
 MINIFIED_LINE, MINIFIED_BLANK, DATA_SHARE, DATA_CHARS, PRINTED_SHARE, ESCAPED_SHARE = 110, 0.12, 0.8, 1200, 0.5, 0.1
 
@@ -193,26 +195,29 @@ def origin(files: DataFrame) -> DataFrame:
     named = files.select("path", F.coalesce("project_name", F.lit("")).alias("project_name"), F.coalesce("relative_path", "path").alias("relative_path"), "content", at.alias("indexed_at"))
     full = named.where(F.col("path").isNotNull() & (F.length("content") > 0))
     is_rules = F.col("relative_path").rlike(r"(^|/)\.gitattributes$")
-    one = full.where(~is_rules).groupBy("path").agg(F.max_by(F.struct("project_name", "relative_path", "content"), F.struct("indexed_at", F.xxhash64("content"))).alias("f")).select("path", "f.*")
-    looked = measures(one)
     by_path = mined(F.col("relative_path"))
+    # what the text shows is worked out in one scan; only the marks go on, never the text
+    marks = {
+        "project_name": F.col("project_name"), "relative_path": F.col("relative_path"), "text_key": F.xxhash64("content"), "fingerprint": F.col("fingerprint"), "third_head": F.col("third_head"), "machine_head": F.col("machine_head"),
+        "mined_generated": by_path[0], "mined_vendored": by_path[1],
+        "minified": (F.col("line_length") >= MINIFIED_LINE) & (F.col("blank_share") <= MINIFIED_BLANK),
+        "data": (F.col("data_share") >= DATA_SHARE) & (F.col("n_chars") >= DATA_CHARS),
+        "printed": (F.col("printed_share") >= PRINTED_SHARE) | (F.col("escaped_share") >= ESCAPED_SHARE),
+    }
+    looked = measures(full.where(~is_rules)).select("path", "indexed_at", *[c.alias(k) for k, c in marks.items()])
+    one = looked.groupBy("path").agg(F.max_by(F.struct(*marks), F.struct("indexed_at", "text_key")).alias("m")).select("path", "m.*")
     said = declared(full).withColumnsRenamed({"generated": "said_generated", "vendored": "said_vendored"})
     has_rules = full.where(is_rules).select("project_name").distinct().withColumn("has_rules", F.lit(True))
-    seen = looked.select(
-        "path", "project_name", "relative_path", "content", "fingerprint", "third_head",
-        by_path[0].alias("mined_generated"), by_path[1].alias("mined_vendored"),
-        F.col("machine_head"),
-        ((F.col("line_length") >= MINIFIED_LINE) & (F.col("blank_share") <= MINIFIED_BLANK)).alias("minified"),
-        ((F.col("data_share") >= DATA_SHARE) & (F.col("n_chars") >= DATA_CHARS)).alias("data"),
-        ((F.col("printed_share") >= PRINTED_SHARE) | (F.col("escaped_share") >= ESCAPED_SHARE)).alias("printed"),
-    )
-    marked = seen.join(has_rules, "project_name", "left").join(said, ["project_name", "relative_path"], "left")
     free = F.col("has_rules").isNull()
-    marked = marked.select(
-        "path", "project_name", "relative_path", "content", "fingerprint", "machine_head", "printed", "minified", "data",
-        F.coalesce("said_generated", F.col("mined_generated") & free).alias("path_generated"),
-        F.coalesce("said_vendored", F.col("mined_vendored") & free | F.col("third_head")).alias("vendored"),
-        (F.coalesce("said_generated", F.lit(True)) & F.coalesce("said_vendored", F.lit(True))).alias("open"),
+    marked = cut_lineage(
+        one.join(has_rules, "project_name", "left")
+        .join(said, ["project_name", "relative_path"], "left")
+        .select(
+            "path", "project_name", "relative_path", "text_key", "fingerprint", "machine_head", "printed", "minified", "data",
+            F.coalesce("said_generated", F.col("mined_generated") & free).alias("path_generated"),
+            F.coalesce("said_vendored", F.col("mined_vendored") & free | F.col("third_head")).alias("vendored"),
+            (F.coalesce("said_generated", F.lit(True)) & F.coalesce("said_vendored", F.lit(True))).alias("open"),
+        )
     )
     # copies: one row per fingerprint, whatever the number of copies
     known = marked.where("vendored AND fingerprint IS NOT NULL").select("fingerprint").distinct().withColumn("copied", F.lit(True))
@@ -223,8 +228,12 @@ def origin(files: DataFrame) -> DataFrame:
         .when(F.col("minified") & F.col("open") & ~F.col("data") | F.col("path_generated"), "minified")
         .when(F.col("data") & F.col("open"), "data")
     )
-    cases = full_marks.select("path", "project_name", "relative_path", "content", kind.alias("origin")).where(F.col("origin").isNotNull())
-    return parse_files(cases, keep=("project_name", "relative_path", "origin"))
+    cases = cut_lineage(full_marks.select("path", "project_name", "relative_path", "text_key", kind.alias("origin")).where(F.col("origin").isNotNull()))
+    # the texts of the cases: the cases are sent to the scan while they are few, else both sides are shuffled
+    few = cases.count() <= BROADCAST_CASES
+    texts = files.select("path", "content").where(F.length("content") > 0).withColumn("text_key", F.xxhash64("content"))
+    texts = texts.join(F.broadcast(cases) if few else cases, ["path", "text_key"]).dropDuplicates(["path"])
+    return parse_files(texts, keep=("project_name", "relative_path", "origin"))
 
 
 def p2_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
