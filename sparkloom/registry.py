@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("operators.lookup", "operators.traverse", "operators.hierarchy", "operators.orphans")
+MODULES: tuple[str, ...] = ("operators.lookup", "operators.traverse", "operators.stats", "operators.vector", "operators.hierarchy", "operators.orphans")
 
 
 def queries() -> dict:
