@@ -118,6 +118,8 @@ OPERATORS = (
 )
 NAMED = ("NAME", "NUMBER", "STRING", "NEWLINE", "INDENT", "DEDENT", "FSTART", "FMID", "FEND", "BAD")
 CODE = {w: chr(0x100 + i) for i, w in enumerate((*NAMED, *KEYWORDS, *SOFT, *OPERATORS))}
+WORDS = {w: CODE[w] for w in (*KEYWORDS, *SOFT)}
+CLOSER = {"(": ")", "[": "]", "{": "}"}
 _c = lambda *ws: {CODE[w] for w in ws}
 CLASSES = {
     "NAME": _c("NAME", *SOFT), "NUMBER": _c("NUMBER"), "STRING": _c("STRING"), "NEWLINE": _c("NEWLINE"), "INDENT": _c("INDENT"), "DEDENT": _c("DEDENT"), "FSTART": _c("FSTART"), "FMID": _c("FMID"), "FEND": _c("FEND"), "EOFT": {EOF},
@@ -147,7 +149,7 @@ class Tokens:
     """One file's tokens: ``kinds`` (a character each), places in the text, and for each the end of its logical line."""
 
     def __init__(self, text: str):
-        self.text = text[1:] if text.startswith("﻿") else text
+        self.text = text[1:] if text.startswith("\ufeff") else text
         self.kinds: list[str] = []
         self.places: list[int] = []
         self.error: int | None = None
@@ -168,6 +170,7 @@ class Tokens:
         levels = [(0, 0)]
         put, code, match = self._put, CODE, TOKEN.match
         name, newline = CODE["NAME"], CODE["NEWLINE"]
+        kind, place, word = self.kinds.append, self.places.append, WORDS.get
         fresh = True
         while True:
             if fresh and not depth:
@@ -215,20 +218,20 @@ class Tokens:
             g = m.lastindex
             at, pos = m.start(g), m.end()
             if g == 4:
-                w = m.group(4)
+                w = m[4]
                 if not w.isascii() and not unicodedata.normalize("NFKC", w).isidentifier():
                     raise _Bad(at)
-                put(code.get(w, name) if w not in ("NAME", "NUMBER", "STRING", "NEWLINE", "INDENT", "DEDENT", "FSTART", "FMID", "FEND", "BAD") else name, at)
-                if pos < n and text[pos] in "'\"":
-                    raise _Bad(at)
+                kind(word(w, name))
+                place(at)
             elif g == 9:
-                op = m.group(9)
-                if op in "([{":
-                    depth.append(")]}"["([{".index(op)])
+                op = m[9]
+                if op in CLOSER:
+                    depth.append(CLOSER[op])
                 elif op in ")]}":
                     if not depth or depth.pop() != op:
                         raise _Bad(at)
-                put(code[op], at)
+                kind(code[op])
+                place(at)
             elif g == 1 or g == 2:
                 w = m.group(g)
                 if not w.isascii() and "b" in w[: min(w.find("'") % 9, w.find('"') % 9)].lower():
@@ -338,7 +341,7 @@ class Tokens:
                     return pos + 1
                 self._put(CODE[op], at)
             elif g == 4:
-                self._put(CODE.get(m.group(4), CODE["NAME"]) if m.group(4) not in NAMED else CODE["NAME"], at)
+                self._put(WORDS.get(m.group(4), CODE["NAME"]), at)
             elif g in (1, 2):
                 self._put(CODE["STRING"], at)
             elif g == 5:
@@ -375,14 +378,10 @@ def first_error(text: str) -> int | None:
         return toks.error
     kinds = "".join(toks.kinds)
     ends = line_ends(kinds)
-    far = [0]
     if len(KNOWN) > 200_000:
         KNOWN.clear()
-    try:
-        got = tables()(kinds, None, ends, KNOWN, far, None)(0)
-    except RecursionError:
-        return toks.places[min(far[0], len(toks.places) - 1)]
-    return None if got == len(kinds) else toks.places[min(far[0], len(toks.places) - 1)]
+    got, far = tables().run(kinds, ends, KNOWN)
+    return None if got == len(kinds) else toks.places[min(far, len(toks.places) - 1)]
 
 
 def line_ends(kinds: str) -> list[int]:

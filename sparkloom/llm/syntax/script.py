@@ -250,7 +250,8 @@ class Tokens:
         """Tokens up to the end of the text, or up to the brace that closes what ``until`` names."""
         text, n, code, match = self.text, len(self.text), CODE, TOKEN.match
         kinds, places, breaks, name = self.kinds, self.places, self.breaks, CODE["NAME"]
-        depth, begun = 0, pos
+        kind, place, brk, word = kinds.append, places.append, breaks.append, WORDS.get
+        depth = 0
         nl = self.nl
         while True:
             m = match(text, pos)
@@ -269,10 +270,9 @@ class Tokens:
                 nl = True
                 continue
             if g == 1:
-                w = m.group(1)
-                kinds.append(code[w] if w in _WORDS else name)
+                kind(word(m[1], name))
             elif g == 8:
-                op = m.group(8)
+                op = m[8]
                 if op == "/" or op == "/=":
                     if not kinds or kinds[-1] not in _OPERAND:
                         r = REGEX.match(text, at)
@@ -291,9 +291,9 @@ class Tokens:
                         self.nl = nl
                         return at
                     depth -= 1
-                kinds.append(code[op])
+                kind(code[op])
             elif g == 3:
-                kinds.append(code["STRING"])
+                kind(code["STRING"])
             elif g == 4:
                 if text.startswith("/**", at) and not text.startswith("/**/", at):
                     self.docs.append((len(kinds), at))
@@ -303,16 +303,16 @@ class Tokens:
             elif g == 5:
                 if pos < n and (text[pos].isalnum() or text[pos] in "_$"):
                     raise _Bad(at)
-                kinds.append(code["NUMBER"])
+                kind(code["NUMBER"])
             elif g == 6:
                 self.nl = nl
                 pos = self._template(at)
                 nl = False
                 continue
             else:
-                kinds.append(code["PRIVATE"])
-            places.append(at)
-            breaks.append(nl)
+                kind(code["PRIVATE"])
+            place(at)
+            brk(nl)
             nl = False
 
     def _template(self, at: int) -> int:
@@ -394,7 +394,7 @@ class Tokens:
         return end + 1
 
 
-_WORDS = frozenset((*RESERVED, *CONTEXTUAL))
+WORDS = {w: CODE[w] for w in (*RESERVED, *CONTEXTUAL)}
 _SEMI, _CLOSE = CODE[";"], {CODE["}"], EOF, CODE["JBRACEEND"]}
 
 
@@ -440,18 +440,12 @@ def first_error(text: str, ext: str) -> int | None:
     if toks.error is not None:
         return toks.error
     kinds = "".join(toks.kinds)
-    make = tables(ext)
+    parser = tables(ext)
     known = KNOWN[ext]
     if len(known) > 200_000:
         known.clear()
-    far = [0]
-    try:
-        got = make(kinds, toks.breaks, line_ends(toks.breaks, kinds), known, far, _steps)(0)
-    except RecursionError:
-        got = -1
-    return None if got == len(kinds) else toks.places[min(far[0], len(toks.places) - 1)]
-
-
+    got, far = parser.run(kinds, line_ends(toks.breaks, kinds), known, toks.breaks, _steps)
+    return None if got == len(kinds) else toks.places[min(far, len(toks.places) - 1)]
 
 
 def line_ends(breaks: list[bool], kinds: str) -> list[int]:

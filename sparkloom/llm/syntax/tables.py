@@ -139,7 +139,7 @@ class Grammar:
 
     # -- trees to the functions that consult the tables ------------------------------------------------------------
     def compile(self, start: str, skip: dict[str, set[str]] | None = None):
-        """A function of (tokens, newline flags, line ends, known lines, far) for the rule ``start``.
+        """A parser for the rule ``start``.
 
         ``skip`` names rules which, met at the start of a line whose tokens are among the known lines, take the line,
         unless one of the given tokens comes next, which could belong to it.
@@ -243,28 +243,34 @@ class Grammar:
                 lines += [f"def r_{r}(p):", "    e = ends[p]", f"    if e and K[e] not in {const(frozenset(skip[r]))} and K[p:e] in known: return e", f"    q = m_{r}(p)", "    if q == e and q > p: known.add(K[p:e])", "    return q"]
             else:
                 define(f"r_{r}", x)
-        # choices are bound to functions inside the maker, once all of them exist
-        src = ["def make(K, NL, ends, known, far, S):", "    def take(p): return p + 1"]
-        for step in self.at_first:
-            src.append(f"    s_{step} = S({step!r}, K, NL)")
-        src += ["    " + line for line in lines]
-        binds, shared = [], {}
+        src = ["K, NL, ends, known, far = '', (), (), set(), [0]", "def take(p): return p + 1", *lines]
+        env: dict[str, object] = {t: v for t, v in tables.items() if t[0] != "A"}
+        exec(compile("\n".join(src), f"<tables of {start}>", "exec"), env)  # noqa: S102 - code made from the bundled grammar alone
         for t, v in tables.items():
             if t[0] == "A":
-                rows = sorted({tuple(r) for r in v.values()})
-                names = {r: f"{t}_{i}" for i, r in enumerate(rows)}
-                for r, nme in names.items():
-                    binds.append(f"    {nme} = ({''.join(f + ',' for f in r)})")
-                by_row: dict[str, list[str]] = {}
-                for c, r in v.items():
-                    by_row.setdefault(names[tuple(r)], []).append(c)
-                binds.append(f"    {t} = {{}}")
-                for nme, cs in by_row.items():
-                    shared[f"C_{nme}"] = tuple(cs)
-                    binds.append(f"    {t}.update(dict.fromkeys(C_{nme}, {nme}))")
-            else:
-                shared[t] = v
-        src += binds + [f"    return r_{start}"]
-        env: dict[str, object] = dict(shared)
-        exec(compile("\n".join(src), f"<tables of {start}>", "exec"), env)  # noqa: S102 - code made from the bundled grammar alone
-        return env["make"]
+                env[t] = {c: tuple(env.get(f) or _late(env, f) for f in row) for c, row in v.items()}
+        return Parser(env, start, [f"M_{r}" for r in self.memo], list(self.at_first))
+
+
+def _late(env: dict, name: str):
+    """A step of the lexer, which is bound anew for each text."""
+    return lambda p: env[name](p)
+
+
+class Parser:
+    """The compiled tables; runs over one token string at a time."""
+
+    def __init__(self, env: dict, start: str, memos: list[str], steps: list[str]):
+        self.env, self.start, self.memos, self.steps = env, env[f"r_{start}"], [env[m] for m in memos], steps
+
+    def run(self, kinds: str, ends: list[int], known: set[str], breaks: list[bool] = (), make_step=None) -> tuple[int, int]:
+        """(place reached or -1, furthest place at which a token did not fit)."""
+        far = [0]
+        self.env.update(K=kinds, NL=breaks, ends=ends, known=known, far=far, **{f"s_{s}": make_step(s, kinds, breaks) for s in self.steps})
+        for m in self.memos:
+            m.clear()
+        try:
+            got = self.start(0)
+        except RecursionError:
+            got = -1
+        return got, far[0]
