@@ -37,7 +37,7 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, same: str | None = None, ex
     more = 1 if exclude_self else 0
 
     def best(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series([], "int64"), "vec_id": pd.Series([], "int64"), "score": pd.Series([], "float64")})
+        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         if not len(a) or not len(b):
             return empty
         b = b.sort_values("vec_id", kind="stable")
