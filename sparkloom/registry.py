@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("operators.lookup", "operators.traverse", "operators.stats", "operators.vector", "operators.hierarchy", "operators.orphans")
+MODULES: tuple[str, ...] = (
+    "operators.ranking", "operators.lookup", "operators.traverse", "operators.references", "plans.planner", "operators.stats", "operators.vector", "operators.changes", "operators.chunking", "operators.hierarchy", "operators.orphans",
+)
 
 
 def queries() -> dict:
