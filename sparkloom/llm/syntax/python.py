@@ -53,8 +53,11 @@ async_stmt = 'async' (def_stmt | for_stmt | with_stmt)
 decorated = ('@' named NEWLINE)+ (def_stmt | class_stmt | async_stmt)
 type_params = '[' type_param (',' type_param)* ','? ']'
 type_param = NAME (':' expr)? ('=' expr)? | '*' NAME ('=' star_expr)? | '**' NAME ('=' expr)?
-params = plain_params (',' '/' (',' plain_params)? )? (',' star_params)? ','? | star_params ','?
-plain_params = param (',' param)*
+params = nds (',' ds)? (',' star_params)? ','? | ds (',' star_params)? ','? | star_params ','?
+nds = param_bare (',' (param_bare | '/'))*
+ds = param_set (',' (param_set | '/'))*
+param_bare = NAME (':' expr)? !'='
+param_set = NAME (':' expr)? '=' expr
 star_params = '*' star_param (',' param)* (',' '**' param_nd)? | '*' (',' param)+ (',' '**' param_nd)? | '**' param_nd
 star_param = NAME (':' star_expr)?
 param_nd = NAME (':' expr)?
@@ -78,8 +81,9 @@ named = NAME ':=' expr | expr !':='
 yield_expr = 'yield' ('from' expr | star_exprs)?
 expr = lambda | either ('if' either 'else' expr)?
 lambda = 'lambda' lam_params? ':' expr
-lam_params = lam_plain (',' '/' (',' lam_plain)?)? (',' lam_star)? ','? | lam_star ','?
-lam_plain = lam_param (',' lam_param)*
+lam_params = lam_nds (',' lam_ds)? (',' lam_star)? ','? | lam_ds (',' lam_star)? ','? | lam_star ','?
+lam_nds = NAME !'=' (',' (NAME !'=' | '/'))*
+lam_ds = NAME '=' expr (',' (NAME '=' expr | '/'))*
 lam_star = '*' NAME (',' lam_param)* (',' '**' NAME)? | '*' (',' lam_param)+ (',' '**' NAME)? | '**' NAME
 lam_param = NAME ('=' expr)?
 either = negated (('and' | 'or') negated)*
@@ -102,10 +106,10 @@ args = genexp_arg !',' | pos_args (',' kw_args)? ','? | kw_args ','?
 genexp_arg = named comp_for
 pos_args = pos_arg (',' pos_arg)*
 pos_arg = '*' expr | named !'=' !FORTOK
-kw_args = kw_arg (',' kw_arg)* (',' star_kw)*
-kw_arg = NAME '=' expr | '*' expr | '**' expr
+kw_args = kw_arg (',' kw_arg)* (',' star_kw)* | star_kw (',' star_kw)*
+kw_arg = NAME '=' expr | '*' expr
 star_kw = '**' expr | NAME '=' expr
-strings = (STRING | fstring)+
+strings = (STRING | fstring)+ | BYTES+
 fstring = FSTART (FMID | field)* FEND
 field = 'f{' (yield_expr | star_exprs) '='? ('!' NAME)? (':' (FMID | field)*)? 'f}'
 """
@@ -116,13 +120,13 @@ OPERATORS = (
     "**=", "//=", ">>=", "<<=", "...", "!=", "->", ":=", "**", "//", ">>", "<<", "<=", ">=", "==", "+=", "-=", "*=", "/=", "%=", "@=", "&=", "|=", "^=",
     "+", "-", "*", "/", "%", "@", "&", "|", "^", "~", "<", ">", "(", ")", "[", "]", "{", "}", ",", ":", ".", ";", "=", "!", "f{", "f}",
 )
-NAMED = ("NAME", "NUMBER", "STRING", "NEWLINE", "INDENT", "DEDENT", "FSTART", "FMID", "FEND", "BAD")
+NAMED = ("NAME", "NUMBER", "STRING", "BYTES", "NEWLINE", "INDENT", "DEDENT", "FSTART", "FMID", "FEND", "BAD")
 CODE = {w: chr(0x100 + i) for i, w in enumerate((*NAMED, *KEYWORDS, *SOFT, *OPERATORS))}
 WORDS = {w: CODE[w] for w in (*KEYWORDS, *SOFT)}
 CLOSER = {"(": ")", "[": "]", "{": "}"}
 _c = lambda *ws: {CODE[w] for w in ws}
 CLASSES = {
-    "NAME": _c("NAME", *SOFT), "NUMBER": _c("NUMBER"), "STRING": _c("STRING"), "NEWLINE": _c("NEWLINE"), "INDENT": _c("INDENT"), "DEDENT": _c("DEDENT"), "FSTART": _c("FSTART"), "FMID": _c("FMID"), "FEND": _c("FEND"), "EOFT": {EOF},
+    "NAME": _c("NAME", *SOFT), "NUMBER": _c("NUMBER"), "STRING": _c("STRING"), "BYTES": _c("BYTES"), "NEWLINE": _c("NEWLINE"), "INDENT": _c("INDENT"), "DEDENT": _c("DEDENT"), "FSTART": _c("FSTART"), "FMID": _c("FMID"), "FEND": _c("FEND"), "EOFT": {EOF},
     "AUG": _c("+=", "-=", "*=", "/=", "%=", "@=", "&=", "|=", "^=", "**=", "//=", ">>=", "<<="), "COMPARE": _c("<", ">", "<=", ">=", "==", "!=", "in"), "BINARY": _c("|", "^", "&", "<<", ">>", "+", "-", "*", "/", "//", "%", "@", "**"), "SIGN": _c("+", "-", "~"),
     "ACCESS": _c(".", "[", "("), "WITHEND": _c(",", ":", ")"), "DELEND": _c(";", "NEWLINE"), "FORTOK": _c("for"),
 }
@@ -142,6 +146,10 @@ TOKEN = re.compile(
     re.S,
 )
 INDENT = re.compile(r"([ \t\f]*)(#[^\n\r]*)?(\r?\n|\r)?")
+CONVERSION = re.compile(r"[sra]\b[ \t]*[:}]")
+PREFIX = re.compile(r"[A-Za-z]*")
+BAD_BYTE_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\x(?![0-9a-fA-F]{2})")
+BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?![0-9a-fA-F]{8})|N(?!\{))")
 _OLD_OCTAL = re.compile(r"0[0-9_]*[1-9][0-9_]*$")
 
 
@@ -233,10 +241,17 @@ class Tokens:
                 kind(code[op])
                 place(at)
             elif g == 1 or g == 2:
-                w = m.group(g)
-                if not w.isascii() and "b" in w[: min(w.find("'") % 9, w.find('"') % 9)].lower():
-                    raise _Bad(at)
-                put(code["STRING"], at)
+                w = m[g]
+                if "\\" in w:
+                    head = PREFIX.match(w)[0].lower()
+                    if "r" not in head and (BAD_BYTE_ESCAPE if "b" in head else BAD_ESCAPE).search(w):
+                        raise _Bad(at)
+                if w[0] in "bB" or w[1:2] in ("b", "B") and w[0] in "rR":
+                    if not w.isascii():
+                        raise _Bad(at)
+                    put(code["BYTES"], at)
+                else:
+                    put(code["STRING"], at)
             elif g == 5:
                 w = m.group(5)
                 if pos < n and (text[pos].isalnum() or text[pos] == "_") and not re.match(r"(?:and|else|for|if|in|is|not|or)\b", text[pos:]):
@@ -319,9 +334,10 @@ class Tokens:
             g, at, pos = m.lastindex, m.start(m.lastindex), m.end()
             if g == 9:
                 op = m.group(9)
-                if not depth and op == "!=" :
-                    self._put(CODE[op], at)
-                    continue
+                if not depth and op == "!":
+                    conversion = CONVERSION.match(text, pos)
+                    if not conversion:
+                        raise _Bad(at)
                 if not depth and op == ":=":
                     pos, op = at + 1, ":"
                 if op in "([{":

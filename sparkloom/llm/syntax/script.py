@@ -18,8 +18,11 @@ export_decl = decorators? 'export' export_rest
 export_rest = '*' ('as' (NAMES | STRING))? 'from' STRING attributes? @semi | '{' (export_spec (',' export_spec)* ','?)? '}' ('from' STRING attributes?)? @semi | 'default' export_default | declaration
 export_spec = (NAMES | STRING) ('as' (NAMES | STRING))?
 export_default = function | class | assign @semi
-declaration = var_decl | function | class
-stmt = block | var_decl | if_stmt | for_stmt | while_stmt | do_stmt | return_stmt | break_stmt | switch_stmt | throw_stmt | try_stmt | ';' | debugger_stmt | function | class | labelled | expr_stmt
+declaration = var_decl | named_function | named_class
+named_function = &(('async')? 'function' '*'? ID) function
+named_class = &class_name class
+class_name = decorators? 'class' ID
+stmt = block | var_decl | if_stmt | for_stmt | while_stmt | do_stmt | return_stmt | break_stmt | switch_stmt | throw_stmt | try_stmt | ';' | debugger_stmt | named_function | named_class | labelled | expr_stmt
 block = '{' item_in* '}'
 item_in = stmt
 var_decl = 'const' bind_init (',' bind_init)* @semi | ('var' | 'let') bind (',' bind)* @semi
@@ -110,14 +113,16 @@ import_spec = 'type' (NAMES | STRING) 'as' ID | 'type' NAMES !ASWORD | (NAMES |
 export_rest = '*' ('as' (NAMES | STRING))? 'from' STRING attributes? @semi | 'type' '*' ('as' (NAMES | STRING))? 'from' STRING attributes? @semi | 'type'? '{' (export_spec (',' export_spec)* ','?)? '}' ('from' STRING attributes?)? @semi | 'default' export_default | '=' expr @semi | 'as' 'namespace' ID @semi | 'import' ID '=' ID ('.' NAMES)* @semi | declaration
 export_spec = 'type' (NAMES | STRING) 'as' (NAMES | STRING) | 'type' NAMES !ASWORD | (NAMES | STRING) ('as' (NAMES | STRING))?
 export_default = function | class | interface | assign @semi
-declaration = var_decl | function | class | interface | type_alias | enum | namespace | declare
-stmt = block | var_decl | if_stmt | for_stmt | while_stmt | do_stmt | return_stmt | break_stmt | switch_stmt | throw_stmt | try_stmt | ';' | debugger_stmt | function | class | interface | type_alias | enum | namespace | declare | labelled | expr_stmt
+class_name = decorators? 'abstract'? 'class' ID
+declaration = var_decl | named_function | named_class | interface | type_alias | enum | namespace | declare
+stmt = block | var_decl | if_stmt | for_stmt | while_stmt | do_stmt | return_stmt | break_stmt | switch_stmt | throw_stmt | try_stmt | ';' | debugger_stmt | named_function | named_class | interface | type_alias | enum | namespace | declare | labelled | expr_stmt
 interface = 'interface' @same_line ID type_params? ('extends' type_ref (',' type_ref)*)? type_body
 type_alias = 'type' @same_line ID type_params? '=' type @semi
 enum = 'const'? 'enum' ID '{' (enum_item (',' enum_item)* ','?)? '}'
 enum_item = prop_name ('=' assign)?
 namespace = ('namespace' | 'module') @same_line (ID ('.' NAMES)* | STRING) ns_block | 'global' ns_block
-ns_block = '{' item* '}' 
+ns_block = '{' (item | ambient)* '}'
+ambient = 'export'? ('const' | 'let' | 'var') declared (',' declared)* @semi
 declare = 'declare' @same_line (('const' | 'let' | 'var') declared (',' declared)* @semi | declaration | 'module' STRING @semi)
 declared = ID (':' type)? ('=' assign)?
 block = '{' stmt* '}'
@@ -178,6 +183,8 @@ CONTEXTUAL = (
     "let", "static", "async", "of", "get", "set", "as", "from", "type", "interface", "namespace", "module", "declare", "abstract", "readonly", "public", "private", "protected", "override", "implements", "is", "asserts", "keyof",
     "unique", "infer", "satisfies", "accessor", "require", "global", "out", "assert",
 )
+#: Contextual words that a module may not use as identifiers.
+STRICT = ("let", "static", "implements", "interface", "public", "private", "protected")
 SIGNS = (
     "{", "}", "(", ")", "[", "]", ";", ",", "<", ">", "<=", ">=", "==", "!=", "===", "!==", "+", "-", "*", "/", "%", "**", "++", "--", "<<", "&", "|", "^", "!", "~", "&&", "||", "??", "?", "?.", ":", "=", "+=", "-=", "*=",
     "/=", "%=", "**=", "<<=", ">>=", ">>>=", "&=", "|=", "^=", "&&=", "||=", "??=", "=>", ".", "...", "@",
@@ -188,7 +195,7 @@ _c = lambda *ws: {CODE[w] for w in ws}
 _ASSIGN = ("=", "+=", "-=", "*=", "/=", "%=", "**=", "<<=", ">>=", ">>>=", "&=", "|=", "^=", "&&=", "||=", "??=")
 CLASSES = {
     **{w: _c(w) for w in NAMED}, "EOFT": {EOF}, "NEVER": {"\x01"},
-    "ID": _c("NAME", *CONTEXTUAL), "NAMES": _c("NAME", *RESERVED, *CONTEXTUAL), "LITERAL": _c("true", "false", "null"), "ASSIGNOP": _c(*_ASSIGN), "IMPORTCALL": _c("(", "."), "HERITAGE": _c("extends", "implements"),
+    "ID": _c("NAME", *(w for w in CONTEXTUAL if w not in STRICT)), "NAMES": _c("NAME", *RESERVED, *CONTEXTUAL), "LITERAL": _c("true", "false", "null"), "ASSIGNOP": _c(*_ASSIGN), "IMPORTCALL": _c("(", "."), "HERITAGE": _c("extends", "implements"),
     "BINARY": _c("<", "<=", ">=", "==", "!=", "===", "!==", "+", "-", "*", "/", "%", "**", "<<", "&", "|", "^", "&&", "||", "??", "in", "instanceof"), "UNARY": _c("!", "~", "+", "-", "++", "--", "typeof", "void", "delete", "await"),
     "EXPRSTOP": _c("{", "function", "class"), "MEMBEREND": _c("(", "=", ";", "}", ":", "?", "!", ",", "<"), "PARAMNAMEEND": _c(",", ")", ":", "=", "?"), "PATTERNEND": _c(*_ASSIGN, "of", "in", ",", "]", "}", ")"), "REACHEND": _c(*_ASSIGN, "of", "in", ",", "]", "}", ")"),
     "INTOKEN": _c("in"), "NOTSHORT": _c("(", ":", "."), "ARROW": _c("=>"), "AFTERBLOCK": _c("(", "[", ".", "?."), "BRACE": _c("{"), "ASWORD": _c("as"), "QUESTION": _c("?"),
@@ -204,7 +211,7 @@ TOKEN = re.compile(
     r"|('(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'|\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\")"
     r"|(/\*[\s\S]*?\*/)"
     r"|((?:0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*|0[oO][0-7](?:_?[0-7])*|0[bB][01](?:_?[01])*|[0-9](?:_?[0-9])*)n(?![\w$])|0[xX][0-9a-fA-F](?:_?[0-9a-fA-F])*|0[oO][0-7](?:_?[0-7])*|0[bB][01](?:_?[01])*"
-    r"|(?:(?:0|[1-9](?:_?[0-9])*)\.?(?:[0-9](?:_?[0-9])*)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?)"
+    r"|(?:(?:0|[1-9](?:_?[0-9])*)(?:\.(?:[0-9](?:_?[0-9])*)?)?|\.[0-9](?:_?[0-9])*)(?:[eE][+-]?[0-9](?:_?[0-9])*)?)"
     r"|(`)|(\#" + _ID + r")"
     r"|(\.\.\.|>>>=|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?![0-9])|\+\+|--|\+=|-=|\*=|%=|&=|\|=|\^=|<<|\*\*|/=|[-+*%&|^!~?:=.,;<>()\[\]{}@/]))"
 )
