@@ -93,9 +93,11 @@ comp_op = COMPARE | 'not' 'in' | 'is' 'not'?
 bits = signed (BINARY signed)*
 signed = SIGN* 'await'? primary
 primary = atom (attr | call | index)*
-atom = NAME | NUMBER | 'None' | 'True' | 'False' | '...' | strings | '(' group? ')' | '[' (star_named (comp_for | (',' star_named)* ','?))? ']' | '{' braces? '}'
-group = yield_expr | star_named (comp_for | (',' star_named)+ ','? | ',')?
-braces = dict_item (comp_for | (',' dict_item)* ','?) | star_named (comp_for | (',' star_named)* ','?)
+atom = NAME | NUMBER | 'None' | 'True' | 'False' | '...' | strings | '(' group? ')' | '[' listed? ']' | '{' braces? '}'
+group = yield_expr | '*' bits ',' (star_named (',' star_named)* ','?)? | named (comp_for | (',' star_named)+ ','? | ',')?
+listed = '*' bits more | named (comp_for | more)
+more = (',' star_named)* ','?
+braces = '**' bits (',' dict_item)* ','? | expr ':' expr (comp_for | (',' dict_item)* ','?) | listed
 dict_item = '**' bits | expr ':' expr
 comp_for = ('async'? 'for' star_targets 'in' either comp_if*)+
 comp_if = 'if' either_or_lambda
