@@ -84,7 +84,7 @@ def _components(core: DataFrame) -> DataFrame:
     n = reach.count()
     while True:
         step = reach.select("kind", F.col("child").alias("mid"), F.col("parent").alias("far"))
-        longer = reach.join(step, (reach["kind"] == step["kind"]) & (reach["parent"] == step["mid"])).select(reach["kind"], "child", F.col("far").alias("parent"))
+        longer = reach.withColumnRenamed("parent", "mid").join(step, ["kind", "mid"]).select("kind", "child", F.col("far").alias("parent"))
         reach = cut_lineage(reach.unionByName(longer).distinct())
         m = reach.count()
         if m == n:

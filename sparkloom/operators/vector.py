@@ -71,17 +71,17 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knn(asked(spark, sf_dir), _rows(spark, sf_dir), SETTINGS.search_limit).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return knn(asked(spark, sf_dir), _rows(spark, sf_dir), SETTINGS.search_limit).select("query_id", "vec_id", "score", "rank")
 
 
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only rows of the query's own label: the payload filter."""
-    return knn(asked(spark, sf_dir), _rows(spark, sf_dir), SETTINGS.search_limit, same="label").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return knn(asked(spark, sf_dir), _rows(spark, sf_dir), SETTINGS.search_limit, same="label").select("query_id", "vec_id", "score", "rank")
 
 
 def similar_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar rows without the row itself, which is left out before the best are cut."""
-    return knn(asked(spark, sf_dir), _rows(spark, sf_dir), 10, exclude_self=True).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return knn(asked(spark, sf_dir), _rows(spark, sf_dir), 10, exclude_self=True).select("query_id", "vec_id", "score", "rank")
 
 
 def collection_info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ def nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _knn_sql(k: int, extra: str = "") -> str:
-    return f"""SELECT query_id, vec_id, round(s, 6) AS score, rank FROM (SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM (
+    return f"""SELECT query_id, vec_id, round(s, 9) AS score, rank FROM (SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM (
   SELECT q.vec_id AS query_id, r.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0 {extra})) WHERE rank <= {k}"""
 
 
