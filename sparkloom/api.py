@@ -12,6 +12,7 @@ from .operators import chunking, graph, lookup, stats, traverse
 from .operators.changes import delete_where, difference, swap, upsert
 from .operators.vector import cosine
 from .plans.planner import plan
+from .session import cut_lineage
 from .sources.files import module_name, scan, scan_documents
 from .sources.parsers import parse_entities, parse_imports
 
@@ -39,11 +40,13 @@ class Engine:
         old = self._read("parsed_files")
         if old is not None:
             mine = old.where(F.col("project_name") == project)
-            state = difference(found, mine, "path", "content_hash")
+            state = cut_lineage(difference(found, mine, "path", "content_hash"))
             todo, gone = state.where("state IN ('new', 'changed')"), state.where("state = 'gone'")
             work = found.join(todo.select("path"), "path", "left_semi")
         else:
             work, gone = found, None
+        # written out before any table is swapped: what is read must not change under the plan
+        work = cut_lineage(work)
         files = work.join(parse_imports(work).groupBy(F.col("file_path").alias("path")).agg(F.collect_list(F.struct("name", "alias", "source", "is_external", "line_number")).alias("imports")), "path", "left")
         module = work.select(F.col("path").alias("file_path"), module_name(F.col("relative_path"), F.lit(project)).alias("module"), "content")
         e = parse_entities(work).join(module, "file_path")
@@ -53,6 +56,7 @@ class Engine:
             F.array_join(F.slice(lines, F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("code"), "start_line", "end_line", "is_async", "is_static", "is_classmethod", "decorators",
             F.when(F.col("parent").isNotNull(), F.concat_ws(".", "module", "parent")).alias("parent_class"), "base_classes", "calls", F.array().cast("array<string>").alias("children"), F.current_timestamp().alias("indexed_at"),
         )
+        entities = cut_lineage(entities)
         n = {"files": work.count(), "entities": entities.count()}
         self._store("parsed_files", files, old, "path", gone)
         known = self._read("code_entities")
@@ -74,6 +78,7 @@ class Engine:
         old = self._read("documents")
         work = found if old is None else found.join(difference(found, old, "path", "content_hash").where("state IN ('new', 'changed')").select("path"), "path", "left_semi")
         docs = work.select("path", "relative_path", "project_name", "content_hash", F.col("content").alias("text"), F.lit("unknown").alias("drift_status"))
+        docs = cut_lineage(docs)
         sections = chunking.chunk_documents(docs, "path", "text", self.settings.chunk_tokens, self.settings.chunk_overlap)
         kept = self._read("document_chunks")
         n = docs.count()
