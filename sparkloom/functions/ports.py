@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import PortError
+from ..session import ship
 
 Embed = Callable[[list[str]], list[list[float]]]
 Complete = Callable[[str], str]
@@ -66,6 +67,7 @@ def with_retry(call: Callable, tries: int = 5, wait: float = 1.0) -> Callable:
 
 def embed_column(df: DataFrame, text: str, out: str = "embedding", port: Embed | None = None, batch: int = 100) -> DataFrame:
     """``df`` with a vector per text, in Arrow batches; the port is made once per task."""
+    ship(df.sparkSession)
     call = with_retry(port or hashing_embedder())
 
     @F.pandas_udf("array<float>")
@@ -79,6 +81,7 @@ def embed_column(df: DataFrame, text: str, out: str = "embedding", port: Embed |
 
 def complete_column(df: DataFrame, prompt: str, out: str, port: Complete | None = None) -> DataFrame:
     """``df`` with the port's answer to each prompt; a null prompt or a failing port gives null."""
+    ship(df.sparkSession)
     call = port or extractive_summary()
 
     @F.pandas_udf("string")

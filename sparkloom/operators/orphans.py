@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import ship, table
 from .skew import salted_join
 
 #: Keys of a hash range on average, and numbers set aside for each; a bitmap holds 32,768 of them.
@@ -74,6 +74,7 @@ def find_orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     Frequent targets are reduced to one bit per month before anything is shuffled by target, and the way back to the
     rows is salted.
     """
+    ship(refs.sparkSession)
     refs = refs.select("ref_table", "ref_key", "target", "at").where(F.col("target").isNotNull()).withColumn("_period", month(F.col("at")))
     asked = refs.select("target", "_period").distinct()
     words = dictionary(asked, "target")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
-from ..session import table
+from ..session import ship, table
 
 #: Rows and queries of a block: a block of scores takes rows x queries x 4 bytes.
 ROW_BLOCK, QUERY_BLOCK = 16_384, 1_024
@@ -29,6 +29,7 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, same: str | None = None, ex
     with the query in that column count (the filter becomes part of the block key).  Equal scores go to the smaller
     vec_id; null and zero vectors are left out.
     """
+    ship(rows.sparkSession)
     nq, nr = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-rows.count() // ROW_BLOCK))
     part = [same] if same else []
     q = queries.where("embedding IS NOT NULL").withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(nq).cast("long"))).withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long"))))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,22 @@ def session(app: str = "sparkloom", master: str | None = None, **conf: str) -> S
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once per context: Python functions name it and it need not be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sparkloom_shipped", False):
+        return
+    here = Path(__file__).parent
+    made = Path(tempfile.mkdtemp(prefix="sparkloom-code-")) / "sparkloom.zip"  # the driver serves it, executors fetch it
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f"{here.name}/{f.relative_to(here)}")
+    sc.addPyFile(str(made))
+    sc._sparkloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,6 +76,7 @@ def partitions(df: DataFrame) -> int:
 
 def spread(df: DataFrame, *keys: str, per_core: int = 3) -> DataFrame:
     """Deal rows out over the cores before a CPU-bound Python stage, only if the scan has too few partitions."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     if partitions(df) >= cores:
         return df

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Languages by extension, and what a scan leaves out.  Fixed values.
 LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "jsx", ".ts": "typescript", ".tsx": "tsx"}
 IGNORED = ("node_modules", ".git", "__pycache__", ".venv", "venv", "dist", "build", ".next", "*.egg-info")
@@ -37,6 +39,7 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     def opened(uri: str) -> tuple:
         return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri.rstrip("/"))
 
+    ship(spark)
     fs, base = opened(root)
     first = [(i.path, i.type == pafs.FileType.Directory, i.size or 0) for i in fs.get_file_info(pafs.FileSelector(base))]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.changes import delete_where, last_of_batch, swap, upsert
-from ..session import shared_folder
+from ..session import shared_folder, ship
 from ..sources.files import IGNORED, LANGUAGES, glob_regex
 
 
@@ -30,6 +30,8 @@ def maintain(events: DataFrame, target: str, key: str, order: str, checkpoint: s
     event older than what is stored is ignored.
     """
 
+    ship(events.sparkSession)
+
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         last = last_of_batch(batch, [key], order)
