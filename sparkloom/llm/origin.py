@@ -12,7 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, spread, table
+from ..operators.skew import salted_join
+from ..session import cut_lineage, ship, spread, table
 from .validity import parse_files
 
 ATTRIBUTE_FILE = ".gitattributes"
@@ -101,6 +102,7 @@ def declared(files: DataFrame) -> DataFrame:
     Of the lines that match a path the one in the deepest directory counts, and there the last.  Projects without an
     attribute file give no row.
     """
+    ship(files.sparkSession)
     own = files.where(F.col("relative_path").rlike(r"(^|/)\.gitattributes$") & F.col("content").isNotNull())
 
     def run(frames):
@@ -221,7 +223,9 @@ def origin(files: DataFrame) -> DataFrame:
     )
     # copies: one row per fingerprint, whatever the number of copies
     known = marked.where("vendored AND fingerprint IS NOT NULL").select("fingerprint").distinct().withColumn("copied", F.lit(True))
-    full_marks = marked.join(known, "fingerprint", "left").withColumn("copied", F.coalesce("copied", F.lit(False)) & F.col("open"))
+    # files without a fingerprint get a key of their own, or all of them would meet in one task
+    keyed = marked.withColumn("fingerprint", F.coalesce("fingerprint", F.concat(F.lit("-"), "path")))
+    full_marks = salted_join(keyed, known, ["fingerprint"], ["path"], "left").withColumn("copied", F.coalesce("copied", F.lit(False)) & F.col("open"))
     kind = (
         F.when(F.col("vendored") | F.col("copied"), "vendored")
         .when(F.col("path_generated") & ~F.col("minified") | (F.col("machine_head") | F.col("printed")) & F.col("open"), "generated")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..session import spread, table
+from ..session import ship, spread, table
 
 _ENCODERS: dict[int, object] = {}
 
@@ -73,6 +73,7 @@ def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", vocab:
 
 def decode_ids(df: DataFrame, key: str = "doc_id", vocab: tuple[bytes, str] | None = None) -> DataFrame:
     """The inverse: ``key`` and ``text``; an empty or null list gives an empty text."""
+    ship(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(vocab or vocabulary())
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("text", T.StringType())])
 
