@@ -138,10 +138,36 @@ class Engine:
         best = got.groupBy("qualified_name").agg(F.round(F.max("score") + 0.1 * (F.count_distinct("how") - 1), 6).alias("score"), F.array_join(F.array_sort(F.collect_set("how")), ",").alias("how"))
         return best.orderBy(F.desc("score"), "qualified_name").limit(limit or self.settings.search_limit)
 
+    def context(self, question: str, entities: int = 20, snippets: int = 5) -> str:
+        """What is known of the entities a question is about, as sections of text for a model: entities with signature
+        and documentation, who calls them and whom they call, and the first snippets."""
+        s = self.settings
+        found = self.query(question, entities)
+        n = graph.nodes(self.spark, self.folder, "name", "file_path", "signature", "docstring", "code", "start_line")
+        rows = found.join(n, "qualified_name").orderBy(F.desc("score"), "qualified_name").collect()  # at most ``entities``
+        names = [r["qualified_name"] for r in rows]
+        e = cut_lineage(graph.calls(self.spark, self.folder).where(F.col("src").isin(names) | F.col("dst").isin(names)))
+        near: dict[tuple[str, str], list[str]] = {}
+        for side, other in (("dst", "src"), ("src", "dst")):
+            few = lookup.first_names(e.where(F.col(side).isin(names)), side, other, "shown", s.usages_shown)
+            near |= {(r[side], side): r["shown"].split(",") for r in few.collect()}
+        out = [f"# {question}", "", "## Entities"]
+        for r in rows:
+            out.append(f"- {r['qualified_name']} ({r['node_type']}) in {r['file_path']}:{r['start_line']}")
+            out += [f"  {r['signature']}"] if r["signature"] else []
+            out += [f"  {r['docstring'][: s.excerpt_chars]}"] if r["docstring"] else []
+            for side, word in (("dst", "called by"), ("src", "calls")):
+                if (r["qualified_name"], side) in near:
+                    out.append(f"  {word} {', '.join(near[r['qualified_name'], side])}")
+        out += ["", "## Code"]
+        for r in [r for r in rows if r["code"]][:snippets]:
+            code = r["code"] if len(r["code"]) <= s.drift_doc_chars else r["code"][: s.drift_doc_chars] + "\n... (truncated)"
+            out += [f"### {r['qualified_name']}", "```", code, "```"]
+        return "\n".join(out)
+
     def answer(self, question: str) -> str | None:
-        """The answer of the plugged-in model over the ranked entities; without one an extract."""
-        rows = self.query(question).collect()
-        text = question + "\n" + "\n".join(f"{r['qualified_name']} ({r['how']})." for r in rows)
+        """The answer of the plugged-in model over the question's context; without one an extract."""
+        text = self.context(question)
         one = complete_column(self.spark.createDataFrame([(text,)], "prompt string"), "prompt", "answer", self.complete)
         return one.first()["answer"]
 

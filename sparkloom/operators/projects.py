@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
 from .graph import CALLS, FILES, IMPORTS, NODES, calls, files, imports, nodes
 
 
@@ -60,37 +59,10 @@ def calls_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(bearers, "name").select("caller", "name", "n_methods", "first_method")
 
 
-# -- imports ---------------------------------------------------------------------------------------------------------
-def resolved_source(module: Column, source: Column, is_package: Column) -> Column:
-    """The module a relative import means: leading dots climb from the importing module's package; a script's ./ and
-    ../ climb folders.  Other sources stay as they are."""
-    parts = F.split(module, r"\.")
-    home = F.when(is_package, F.size(parts)).otherwise(F.size(parts) - 1)
-    dots = F.length(F.regexp_extract(source, r"^(\.+)", 1))
-    steps = F.split(source, "/")
-    ups = F.size(F.filter(steps, lambda s: s == ".."))
-    climb = lambda k: F.slice(parts, 1, F.greatest(k, F.lit(0)))
-    script = F.array_join(F.concat(climb(home - ups), F.filter(steps, lambda s: ~s.isin(".", "..", ""))), ".")
-    python = F.array_join(F.concat(climb(home - dots + 1), F.filter(F.split(F.regexp_replace(source, r"^\.+", ""), r"\."), lambda s: s != "")), ".")
-    return F.when(source.rlike(r"^\.\.?(/|$)") & source.contains("/"), script).when(source.startswith("."), python).otherwise(source)
-
-
-def import_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """module, local_name, target, is_wildcard of every import: what a name in a module stands for."""
-    f = files(spark, sf_dir, "project_name", "relative_path").join(table(spark, sf_dir, "projects").select("project_name", "package"), "project_name")
-    stem = F.regexp_replace(F.regexp_replace("relative_path", r"\.\w+$", ""), r"(^|/)__init__$", "")
-    f = f.select(F.col("path").alias("file_path"), F.col("relative_path").rlike(r"(^|/)__init__\.py$").alias("is_package"), F.concat_ws(".", "package", F.when(stem != "", F.translate(stem, "/", "."))).alias("module"))
-    i = imports(spark, sf_dir).where("name IS NOT NULL").join(f, "file_path")
-    base = resolved_source(F.col("module"), F.col("source"), F.col("is_package"))
-    wild = F.coalesce(F.col("name") == "*", F.lit(False))
-    target = F.when(F.col("source").isNull(), F.col("name")).when(wild, base).otherwise(F.concat(base, F.lit("."), F.col("name")))
-    return i.select("module", F.coalesce("alias", "name").alias("local_name"), target.alias("target"), wild.alias("is_wildcard")).distinct()
-
-
 _LANG = rf"{FILES}, p AS (SELECT project_name, regexp_extract(path, '\.(\w+)$', 1) AS extension, count(*) AS n_files, coalesce(sum(line_count), 0)::BIGINT AS n_lines FROM files GROUP BY 1, 2)"
 
 QUERIES = {
-    "project_languages": project_languages, "folder_tree": folder_tree, "external_dependencies": external_dependencies, "entry_points": entry_points, "file_summaries": file_summaries, "calls_by_name": calls_by_name, "import_map": import_map,
+    "project_languages": project_languages, "folder_tree": folder_tree, "external_dependencies": external_dependencies, "entry_points": entry_points, "file_summaries": file_summaries, "calls_by_name": calls_by_name
 }
 SQL = {
     "project_languages": f"WITH {_LANG} SELECT project_name, extension, n_files, n_lines, round(CASE WHEN t > 0 THEN n_lines / t ELSE 0 END, 6) AS share FROM p JOIN (SELECT project_name, sum(n_lines)::DOUBLE AS t FROM p GROUP BY 1) USING (project_name)",
@@ -103,9 +75,4 @@ SQL = {
       FROM files LEFT JOIN nodes ON file_path = path GROUP BY path, line_count""",
     "calls_by_name": rf"""WITH {NODES}, a AS (SELECT DISTINCT caller, regexp_extract(trim(c), '([^.()]+)(?:\(\))?$', 1) AS name FROM (SELECT qualified_name AS caller, unnest(calls) AS c FROM nodes)),
       b AS (SELECT name, count(*) AS n_methods, min(qualified_name) AS first_method FROM nodes WHERE node_type = 'Method' GROUP BY 1) SELECT caller, name, n_methods, first_method FROM a JOIN b USING (name) WHERE name <> '' AND NOT starts_with(name, '_')""",
-    "import_map": rf"""WITH {IMPORTS}, m AS (SELECT files.path AS file_path, regexp_matches(relative_path, '(^|/)__init__\.py$') AS pkg, concat_ws('.', package, nullif(replace(regexp_replace(regexp_replace(relative_path, '\.\w+$', ''), '(^|/)__init__$', ''), '/', '.'), '')) AS module FROM files JOIN projects USING (project_name)),
-      i AS (SELECT m.module, pkg, i.name, alias, source, string_split(m.module, '.') AS p, CASE WHEN pkg THEN len(string_split(m.module, '.')) ELSE len(string_split(m.module, '.')) - 1 END AS home FROM e_imports i JOIN m USING (file_path) WHERE i.name IS NOT NULL),
-      b AS (SELECT *, CASE WHEN regexp_matches(source, '^\.\.?(/|$)') AND contains(source, '/') THEN array_to_string(list_concat(p[1:greatest(home - len(list_filter(string_split(source, '/'), lambda s: s = '..')), 0)], list_filter(string_split(source, '/'), lambda s: s NOT IN ('.', '..', ''))), '.')
-        WHEN starts_with(source, '.') THEN array_to_string(list_concat(p[1:greatest(home - length(regexp_extract(source, '^(\.+)', 1)) + 1, 0)], list_filter(string_split(regexp_replace(source, '^\.+', ''), '.'), lambda s: s <> '')), '.') ELSE source END AS base FROM i)
-      SELECT DISTINCT module, coalesce(alias, name) AS local_name, CASE WHEN source IS NULL THEN name WHEN name = '*' THEN base ELSE base || '.' || name END AS target, name = '*' AS is_wildcard FROM b""",
 }

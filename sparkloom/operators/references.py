@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .graph import CALLS, EXTENDS, NODES, nodes
+from .graph import IMPORTS, NODES, nodes
+from .imports import IMPORT_MAP, MODULES, import_map, modules
 from .lookup import _C, chunks
 from .orphans import clean_target
 
@@ -103,12 +104,6 @@ SCRIPT_BUILTINS = (
 SCRIPT_TYPES = "Array Object String Number Date RegExp Function Map Set WeakMap WeakSet Promise Error Boolean Symbol BigInt ArrayBuffer DataView Int8Array Uint8Array Float32Array Float64Array Proxy Reflect Intl".split()
 
 
-def modules(n: DataFrame) -> DataFrame:
-    """file_path, module: the shortest prefix under which the file's entities stand."""
-    prefix = F.expr("substring(qualified_name, 1, length(qualified_name) - length(name) - 1)")
-    return n.groupBy("file_path").agg(F.min_by(prefix, F.struct(F.length(prefix), prefix)).alias("module"))
-
-
 def _prefixes(module: Column) -> Column:
     parts = F.split(module, r"\.")
     return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(parts, 1, k), ".").alias("prefix"), F.size(parts).alias("n")))
@@ -130,7 +125,7 @@ def nearest_by_name(asked: DataFrame, n: DataFrame) -> DataFrame:
 
 
 def resolve_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """caller, call_name, how, target of every call: the first of full name, super, same module, built-in, nearest name.
+    """caller, call_name, how, target of every call: the first of full name, super, import, same module, built-in, nearest name.
 
     Calls nothing fits have how 'unresolved' and no target.
     """
@@ -148,17 +143,23 @@ def resolve_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     supers = asked_super.join(order, "parent_class").join(own, ["ancestor", "wanted"]).groupBy("parent_class", "wanted").agg(F.min_by("method", F.struct("position", "method")).alias("super_target"))
     script = F.col("file_path").rlike(r"\.[jt]sx?$")
     builtin = F.when(~script & F.col("call_name").isin(*PYTHON_BUILTINS), F.concat(F.lit("builtins."), "call_name")).when(script & F.col("call_name").isin(*SCRIPT_BUILTINS, *SCRIPT_TYPES), F.concat(F.lit("builtin."), "call_name"))
+    # an imported name, or a member of one; a name imported twice means the smallest target that is an entity
+    rest = F.regexp_extract("call_name", r"^[^.(]*((?:\.[^(]*)?)", 1)
+    asked_imports = c.where(~is_super).select("module", "first", rest.alias("rest")).distinct()
+    im = import_map(spark, sf_dir).where("NOT is_wildcard").select("module", F.col("local_name").alias("first"), "target")
+    imported = asked_imports.join(im, ["module", "first"]).select("module", "first", "rest", F.concat("target", "rest").alias("full")).join(names, "full", "left_semi").groupBy("module", "first", "rest").agg(F.min("full").alias("import_hit"))
     near = nearest_by_name(c.select("module", "simple").distinct(), n)
     got = (
         c.withColumn("wanted", F.when(is_super, wanted))
         .join(names.withColumn("full_hit", F.col("full")), c["call_name"] == F.col("full"), "left").drop("full")
         .join(supers, ["parent_class", "wanted"], "left")
+        .withColumn("rest", rest).join(imported, ["module", "first", "rest"], "left")
         .withColumn("local", F.concat_ws(".", "module", "first")).join(names.withColumn("local_hit", F.col("full")), F.col("local") == F.col("full"), "left")
         .join(near, ["module", "simple"], "left")
     )
     plain = ~is_super
-    how = F.when(F.col("full_hit").isNotNull(), "full").when(is_super & F.col("super_target").isNotNull(), "super").when(is_super, "unresolved").when(F.col("local_hit").isNotNull(), "module").when(builtin.isNotNull(), "builtin").when(F.col("nearest").isNotNull(), "name").otherwise("unresolved")
-    target = F.coalesce("full_hit", F.when(is_super, F.col("super_target")), F.when(plain, F.coalesce(F.col("local_hit"), builtin, F.col("nearest"))))
+    how = F.when(F.col("full_hit").isNotNull(), "full").when(is_super & F.col("super_target").isNotNull(), "super").when(is_super, "unresolved").when(F.col("import_hit").isNotNull(), "import").when(F.col("local_hit").isNotNull(), "module").when(builtin.isNotNull(), "builtin").when(F.col("nearest").isNotNull(), "name").otherwise("unresolved")
+    target = F.coalesce("full_hit", F.when(is_super, F.col("super_target")), F.when(plain, F.coalesce(F.col("import_hit"), F.col("local_hit"), builtin, F.col("nearest"))))
     return got.select("caller", "call_name", how.alias("how"), target.alias("target"))
 
 
@@ -187,19 +188,20 @@ def _resolution_sql() -> str:
     from .traverse import _MRO
 
     common = "coalesce(list_position(list_transform(range(1, least(len(mp), len(cp)) + 1), lambda i: mp[i] = cp[i]), false) - 1, least(len(mp), len(cp)))"
-    return rf"""WITH RECURSIVE {NODES}, {_MRO},
-  mods AS (SELECT file_path, arg_min(pre, (length(pre), pre)) AS module FROM (SELECT file_path, substring(qualified_name, 1, length(qualified_name) - length(name) - 1) AS pre FROM nodes) GROUP BY 1),
+    return rf"""WITH RECURSIVE {NODES}, {IMPORTS}, {_MRO},
+  {MODULES}, {IMPORT_MAP},
   c AS (SELECT DISTINCT caller, file_path, parent_class, call_name FROM (SELECT qualified_name AS caller, file_path, parent_class, regexp_replace(regexp_replace(regexp_replace(unnest(calls), '^\s+|\s+$', '', 'g'), '\(\)$', ''), '\s+$', '') AS call_name FROM nodes) WHERE call_name <> ''),
   d AS (SELECT c.*, module, string_split(string_split(call_name, '.')[-1], '(')[1] AS simple, string_split(string_split(call_name, '.')[1], '(')[1] AS first, regexp_matches(call_name, '^super(?:\(\))?(?:\.|$)') AS is_super,
-    CASE WHEN call_name IN ('super', 'super()') THEN '__init__' ELSE regexp_extract(call_name, '^super(?:\(\))?\.([^(]*)', 1) END AS wanted, regexp_matches(file_path, '\.[jt]sx?$') AS script FROM c JOIN mods USING (file_path)),
+    CASE WHEN call_name IN ('super', 'super()') THEN '__init__' ELSE regexp_extract(call_name, '^super(?:\(\))?\.([^(]*)', 1) END AS wanted, regexp_matches(file_path, '\.[jt]sx?$') AS script, regexp_extract(call_name, '^[^.(]*((?:\.[^(]*)?)', 1) AS rest FROM c JOIN mods USING (file_path)),
+  imp AS (SELECT d.module, d.first, d.rest, min(n.qualified_name) AS import_hit FROM (SELECT DISTINCT module, first, rest FROM d WHERE NOT is_super) d JOIN import_map i ON i.module = d.module AND i.local_name = d.first AND NOT i.is_wildcard JOIN nodes n ON n.qualified_name = i.target || d.rest GROUP BY 1, 2, 3),
   sup AS (SELECT m.class_name, n.name, arg_min(n.qualified_name, (position, n.qualified_name)) AS target FROM mro m JOIN nodes n ON n.node_type = 'Method' AND n.parent_class = m.ancestor GROUP BY 1, 2),
   cand AS (SELECT module, simple, qualified_name, string_split(module, '.') AS mp, string_split(qualified_name, '.') AS cp FROM (SELECT DISTINCT module, simple FROM d) JOIN nodes ON name = simple),
   near AS (SELECT module, simple, arg_min(qualified_name, (len(mp) + len(cp) - 2 * {common} - CASE WHEN starts_with(qualified_name, module || '.') THEN 2 ELSE 0 END, qualified_name)) AS nearest FROM cand GROUP BY 1, 2),
-  r AS (SELECT d.*, f.qualified_name AS full_hit, s.target AS super_target, l.qualified_name AS local_hit, near.nearest,
+  r AS (SELECT d.*, f.qualified_name AS full_hit, s.target AS super_target, l.qualified_name AS local_hit, imp.import_hit, near.nearest,
     CASE WHEN NOT script AND call_name IN {_list(PYTHON_BUILTINS)} THEN 'builtins.' || call_name WHEN script AND call_name IN {_list([*SCRIPT_BUILTINS, *SCRIPT_TYPES])} THEN 'builtin.' || call_name END AS builtin
-    FROM d LEFT JOIN nodes f ON f.qualified_name = call_name LEFT JOIN sup s ON d.is_super AND s.class_name = d.parent_class AND s.name = d.wanted LEFT JOIN nodes l ON l.qualified_name = d.module || '.' || d.first LEFT JOIN near ON near.module = d.module AND near.simple = d.simple),
-  resolved AS (SELECT caller, call_name, CASE WHEN full_hit IS NOT NULL THEN 'full' WHEN is_super AND super_target IS NOT NULL THEN 'super' WHEN is_super THEN 'unresolved' WHEN local_hit IS NOT NULL THEN 'module' WHEN builtin IS NOT NULL THEN 'builtin' WHEN nearest IS NOT NULL THEN 'name' ELSE 'unresolved' END AS how,
-    CASE WHEN full_hit IS NOT NULL THEN full_hit WHEN is_super THEN super_target ELSE coalesce(local_hit, builtin, nearest) END AS target FROM r)"""
+    FROM d LEFT JOIN nodes f ON f.qualified_name = call_name LEFT JOIN sup s ON d.is_super AND s.class_name = d.parent_class AND s.name = d.wanted LEFT JOIN nodes l ON l.qualified_name = d.module || '.' || d.first LEFT JOIN imp ON imp.module = d.module AND imp.first = d.first AND imp.rest = d.rest LEFT JOIN near ON near.module = d.module AND near.simple = d.simple),
+  resolved AS (SELECT caller, call_name, CASE WHEN full_hit IS NOT NULL THEN 'full' WHEN is_super AND super_target IS NOT NULL THEN 'super' WHEN is_super THEN 'unresolved' WHEN import_hit IS NOT NULL THEN 'import' WHEN local_hit IS NOT NULL THEN 'module' WHEN builtin IS NOT NULL THEN 'builtin' WHEN nearest IS NOT NULL THEN 'name' ELSE 'unresolved' END AS how,
+    CASE WHEN full_hit IS NOT NULL THEN full_hit WHEN is_super THEN super_target ELSE coalesce(import_hit, local_hit, builtin, nearest) END AS target FROM r)"""
 
 
 SQL = {

@@ -32,8 +32,7 @@ def trails(edges: DataFrame, hops: int, start: Column | None = None) -> list[Dat
 def reach(edges: DataFrame, hops: int, start: Column | None = None) -> DataFrame:
     """origin, at, depth, each once: what is reached over trails of 1..``hops`` edges; the origin itself is left out.
 
-    Up to three hops a walk that uses an edge twice ends where a shorter walk ended one depth before or needs a ring,
-    so trails are followed as such; pairs are made distinct only at the end, as one pair may have several depths.
+    A pair that several trails of different lengths join has a row per depth.  Bounds above the largest depth are cut.
     """
     hops = min(hops, SETTINGS.max_depth)
     per = [t.select("origin", "at", F.lit(d).alias("depth")) for d, t in enumerate(trails(edges, hops, start), 1)]

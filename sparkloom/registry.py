@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES: tuple[str, ...] = (
-    "operators.ranking", "operators.lookup", "operators.traverse", "operators.references", "plans.planner", "operators.stats", "operators.vector", "operators.changes", "operators.chunking", "operators.projects", "operators.linking", "sources.parsers", "sources.types", "streaming.watch", "operators.hierarchy", "operators.orphans",
+    "operators.ranking", "operators.lookup", "operators.traverse", "operators.references", "plans.planner", "operators.stats", "operators.vector", "operators.changes", "operators.chunking", "operators.projects", "operators.imports", "operators.linking", "sources.parsers", "sources.types", "streaming.watch", "operators.hierarchy", "operators.orphans",
 )
 
 

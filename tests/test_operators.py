@@ -184,6 +184,14 @@ def test_nearest_name(spark):
     assert got == {"p.m": "p.m.run", "p.q": "p.k.run", "z": "z.run"}
 
 
+def test_import_sources(spark):
+    from sparkloom.operators.imports import resolved_source
+
+    cases = [("p.a.b", ".m", False, "p.a.m"), ("p.a.b", "..m.n", False, "p.m.n"), ("p.a", ".m", True, "p.a.m"), ("p.a.b", ".", False, "p.a"), ("p.a.b", "./m", False, "p.a.m"), ("p.a.b", "../x/y", False, "p.x.y"), ("p.a.b", "lib", False, "lib"), ("p", "....m", False, "m"), ("p.a", None, False, None)]
+    df = spark.createDataFrame(cases, "module string, source string, pkg boolean, want string")
+    assert [r["got"] for r in df.select(resolved_source(F.col("module"), F.col("source"), F.col("pkg")).alias("got")).collect()] == [c[3] for c in cases]
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([("order_line", "Map<A, B>[]", ["a", "b"], "```json\nx\n```")], "n string, t string, l array<string>, f string")
     r = df.select(text.class_guess(F.col("n")).alias("a"), text.plain_type(F.col("t")).alias("b"), text.chain_text(F.col("l")).alias("c"), text.strip_fences(F.col("f")).alias("d"), text.truncate(F.col("n"), 5).alias("e"), text.extended_by(F.col("l"), 1).alias("g"), text.relative_module(F.lit("a.b.c"), F.lit(2), F.lit("x")).alias("h")).first()

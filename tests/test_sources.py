@@ -101,7 +101,9 @@ def test_engine_is_incremental(spark, repo, tmp_path):
     assert e.entity("Service").first()["qualified_name"] == "p.pkg.service.Service"
     assert e.plan("who calls `top`?")["intent"] == "find_callers"
     assert e.search("load one user").count() > 0 and e.query("explain `Service`").first()["qualified_name"] == "p.pkg.service.Service"
-    assert e.answer("where is `Service`?").startswith("where is")
+    assert e.answer("where is `Service`?").startswith("# where is")
+    shown = e.context("where is `Service`?")
+    assert "- p.pkg.service.Service (Class)" in shown and "class Service(U):" in shown
     with pytest.raises(QueryError):
         e.plan("  ")
     assert e.index_documents(str(repo), "p") == 1 and e.index_documents(str(repo), "p") == 0
