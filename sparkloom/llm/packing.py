@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut_lineage, ship, table
 from .tokens import count_tokens
 
 CAPACITY = 2048
@@ -47,7 +47,8 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, group_
 
     Items of size null or under 1 take no room and are left out.  Only an item larger than ``capacity`` is split, into
     full pieces and a rest.  Repeated keys are packed as items of their own.  Items are dealt to groups by a hash of
-    key and piece, so no key, however frequent or large, makes a group large.
+    key and piece, so no key, however frequent or large, makes a group large.  ``items`` is read twice, once to count it,
+    and should be a stored table.
     """
     pieces = (
         items.select(F.col(key), F.col(size).cast("long").alias("_size"))
@@ -55,6 +56,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, group_
         .select(key, "_size", F.explode(F.expr(f"sequence(0L, (_size - 1) div {capacity})")).alias("piece"))
         .select(key, "piece", (F.col("piece") * capacity).alias("token_offset"), F.least(F.lit(capacity).cast("long"), F.col("_size") - F.col("piece") * capacity).alias("n_tokens"))
     )
+    ship(items.sparkSession)
     groups = max(1, -(-items.count() // group_items))
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(key, "piece", F.lit(17)), F.lit(groups)))
     key_type = items.schema[key].dataType.simpleString()
@@ -69,7 +71,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, group_
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.length("text") > 0)
-    return pack(count_tokens(docs), "doc_id", "n_tokens")
+    return pack(cut_lineage(count_tokens(docs)), "doc_id", "n_tokens")
 
 
 def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
