@@ -13,11 +13,13 @@ from .lookup import _C, chunks
 
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files, classes, functions, methods, interfaces and vectors; an empty kind counts zero."""
-    n = nodes(spark, sf_dir, "name").agg(*[F.count_if(F.col("node_type") == t).alias(a) for t, a in (("Class", "class_count"), ("Function", "function_count"), ("Method", "method_count"), ("Interface", "interface_count"))])
+    kinds = {"class_count": "Class", "function_count": "Function", "method_count": "Method", "interface_count": "Interface"}
+    names = [*kinds, "file_count", "vector_count"]
+    n = nodes(spark, sf_dir, "name").agg(*[F.count_if(F.col("node_type") == t).alias(a) for a, t in kinds.items()])
     f = table(spark, sf_dir, "parsed_files").agg(F.count_distinct("path").alias("file_count"))
     v = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("vector_count"))
-    one = F.lit(1).alias("_k")
-    return n.select("*", one).join(f.select("*", one), "_k").join(v.select("*", one), "_k").drop("_k")
+    filled = [df.select(*[F.col(c) if c in df.columns else F.lit(0).cast("long").alias(c) for c in names]) for df in (n, f, v)]
+    return filled[0].unionByName(filled[1]).unionByName(filled[2]).agg(*[F.sum(c).alias(c) for c in names])
 
 
 def project_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

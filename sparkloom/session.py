@@ -70,6 +70,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def forget_cuts(spark: SparkSession) -> None:
+    """Remove what ``cut_lineage`` has written, once no DataFrame that reads it is needed any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/sparkloom")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(df: DataFrame) -> int:
     return df._jdf.queryExecution().toRdd().getNumPartitions()
 
