@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut_lineage, table
 
 #: The constant of reciprocal rank fusion (Cormack, Clarke and Buettcher, 2009).
 K = 60
@@ -26,7 +24,7 @@ def list_ranks(scores: DataFrame, group: list[str], score: str, block: int = BLO
     """
     n = scores.groupBy(*group, score).agg(F.count("*").alias("_n"))
     long_lists = n.groupBy(*group).count().where(F.col("count") > block).drop("count")
-    if long_lists.isEmpty():
+    if scores.count() <= block or long_lists.isEmpty():
         w = Window.partitionBy(*group).orderBy(F.desc(score))
         above = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1))
         return n.select(*group, score, (F.coalesce(above, F.lit(0)) + 1).alias("rank"))
@@ -48,14 +46,11 @@ def reciprocal_rank_fusion(items: DataFrame, query: str, item: str, scores: list
     Repeated (query, item) rows count once, with the largest of each score; rows with a null query or item are left
     out.  An empty table gives an empty table.
     """
-    one = items.where(F.col(query).isNotNull() & F.col(item).isNotNull()).groupBy(query, item).agg(*[F.max(F.when(~F.isnan(F.col(s).cast("double")), F.col(s).cast("double"))).alias(s) for s in scores])
+    one = cut_lineage(items.where(F.col(query).isNotNull() & F.col(item).isNotNull()).groupBy(query, item).agg(*[F.max(F.when(~F.isnan(F.col(s).cast("double")), F.col(s).cast("double"))).alias(s) for s in scores]))  # read twice below
     lists = one.select(query, item, F.explode(F.array(*[F.struct(F.lit(i).alias("_list"), F.col(s).alias("_score")) for i, s in enumerate(scores)])).alias("_e")).select(query, item, "_e._list", "_e._score")
-    known = lists.where(F.col("_score").isNotNull())
-    ranks = list_ranks(known, [query, "_list"], "_score", block)
-    terms = known.join(ranks, [query, "_list", "_score"])
-    summed = terms.groupBy(query, item).agg(F.round(F.sum(1 / (F.lit(float(k)) + F.col("rank"))), 12).alias("rrf"), F.count("*").alias("n_scores"))
-    bare = one.where(reduce(lambda a, b: a & b, [F.col(s).isNull() for s in scores])).select(query, item, F.lit(0.0).alias("rrf"), F.lit(0).cast("long").alias("n_scores"))
-    return summed.unionByName(bare)
+    ranks = list_ranks(lists.where(F.col("_score").isNotNull()), [query, "_list"], "_score", block)
+    terms = lists.join(ranks, [query, "_list", "_score"], "left")
+    return terms.groupBy(query, item).agg(F.round(F.sum(F.coalesce(1 / (F.lit(float(k)) + F.col("rank")), F.lit(0.0))), 12).alias("rrf"), F.count("rank").alias("n_scores"))
 
 
 def top(fused: DataFrame, query: str, item: str, n: int) -> DataFrame:
