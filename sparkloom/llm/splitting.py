@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, table
+from ..session import ship, table
 
 LIMIT = 4000
 OVERLAP = 800
@@ -39,8 +39,16 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, np.array([0.0, *[cost[p] for p in at[1:-1].tolist()], 0.0])
 
 
-def with_fillers(at: np.ndarray, cost: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where no boundary lies within ``reach``, places inside the word are offered too, at a high cost."""
+def candidates(at: np.ndarray, cost: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places a cut is sought at: those of the better kinds, and of each lesser kind only where the kinds before
+    leave more than ``reach`` without a place; inside words, at a high cost, only where nothing else is left."""
+    keep = cost <= BOUNDARIES[2][1]
+    for _, c, _ in BOUNDARIES[3:]:
+        held = at[keep]
+        gap = np.searchsorted(held, at, side="right")  # the gap each place lies in ends at held[gap]
+        wide = np.append(np.diff(held) > reach, False)
+        keep |= (cost == c) & wide[np.minimum(gap - 1, len(wide) - 1)]
+    at, cost = at[keep], cost[keep]
     gaps = np.flatnonzero(np.diff(at) > reach)
     if not len(gaps):
         return at, cost
@@ -60,9 +68,10 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
     """
     if len(text) <= limit:
         return [(0, 0, len(text))]
-    at, cost = with_fillers(*boundaries(text), reach=max(1, (limit - overlap) // 2))
-    # where a piece after a cut at at[i] starts: the first boundary within the overlap before it
-    start = np.maximum(at[np.searchsorted(at, at - overlap)], 0)
+    every, costs = boundaries(text)
+    at, cost = candidates(every, costs, reach=max(1, (limit - overlap) // 2))
+    # where a piece after a cut at at[i] starts: the first boundary of any kind within the overlap before it
+    start = np.minimum(every[np.searchsorted(every, at - overlap)], at)
     n = len(at)
     best = np.full(n, np.inf)
     back = np.zeros(n, np.int64)
@@ -101,7 +110,10 @@ def split_items(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
                 rows += [(kind, key, i, len(got), s, f, e, context, content[s:e]) for i, (s, f, e) in enumerate(got)]
             yield pd.DataFrame(rows, columns=names)
 
-    return spread(long, "item_key").mapInPandas(run, "item_kind string, item_key string, piece int, n_pieces int, start int, fresh int, `end` int, context string, content string")
+    # few bytes but much work each: dealt out anew, or the shuffle's small partitions would be joined into a few tasks
+    dealt = long.repartition(4 * long.sparkSession.sparkContext.defaultParallelism, "item_kind", "item_key")
+    ship(long.sparkSession)
+    return dealt.mapInPandas(run, "item_kind string, item_key string, piece int, n_pieces int, start int, fresh int, `end` int, context string, content string")
 
 
 def oversized_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
