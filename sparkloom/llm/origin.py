@@ -96,14 +96,13 @@ def attribute_rules(text: str) -> list[tuple[int, str, str, bool | None]]:
     return rules
 
 
-def declared(files: DataFrame) -> DataFrame:
-    """project_name, relative_path, generated, vendored as the project's own attribute files say it.
+def declared(attribute_files: DataFrame, paths: DataFrame) -> DataFrame:
+    """project_name, relative_path, generated, vendored of ``paths`` as their project's own attribute files say it.
 
     Of the lines that match a path the one in the deepest directory counts, and there the last.  Projects without an
     attribute file give no row.
     """
-    ship(files.sparkSession)
-    own = files.where(F.col("relative_path").rlike(r"(^|/)\.gitattributes$") & F.col("content").isNotNull())
+    ship(paths.sparkSession)
 
     def run(frames):
         import pandas as pd
@@ -112,9 +111,8 @@ def declared(files: DataFrame) -> DataFrame:
             rows = [(project, path[: -len(ATTRIBUTE_FILE)], *r) for project, path, content in pdf.itertuples(index=False) for r in attribute_rules(content)]
             yield pd.DataFrame(rows, columns=["project_name", "dir", "line", "regex", "attribute", "value"]).astype({"value": "boolean"})
 
-    rules = own.select("project_name", "relative_path", "content").mapInPandas(run, "project_name string, dir string, line int, regex string, attribute string, value boolean")
-    paths = files.select("project_name", "relative_path").where(F.col("relative_path").isNotNull()).distinct()
-    hit = paths.join(rules, "project_name").where(F.expr("startswith(relative_path, dir) AND substring(relative_path, length(dir) + 1) RLIKE regex"))
+    rules = attribute_files.where("content IS NOT NULL").select("project_name", "relative_path", "content").mapInPandas(run, "project_name string, dir string, line int, regex string, attribute string, value boolean")
+    hit = paths.where(F.col("relative_path").isNotNull()).distinct().join(rules, "project_name").where(F.expr("startswith(relative_path, dir) AND substring(relative_path, length(dir) + 1) RLIKE regex"))
     best = hit.groupBy("project_name", "relative_path").agg(*[F.max_by(F.when(F.col("attribute") == a, F.col("value")), F.when(F.col("attribute") == a, F.struct(F.length("dir"), "line"))).alias(n) for a, n in ((GENERATED, "generated"), (VENDORED, "vendored"))])
     return best
 
@@ -208,13 +206,16 @@ def origin(files: DataFrame) -> DataFrame:
     }
     looked = measures(full.where(~is_rules)).select("path", "indexed_at", *[c.alias(k) for k, c in marks.items()])
     one = looked.groupBy("path").agg(F.max_by(F.struct(*marks), F.struct("indexed_at", "text_key")).alias("m")).select("path", "m.*")
-    said = declared(full).withColumnsRenamed({"generated": "said_generated", "vendored": "said_vendored"})
-    has_rules = full.where(is_rules).select("project_name").distinct().withColumn("has_rules", F.lit(True))
+    if named.where(is_rules).select("path").isEmpty():  # reads the paths alone
+        ruled = one.select("*", *[F.lit(None).cast("boolean").alias(c) for c in ("has_rules", "said_generated", "said_vendored")])
+    else:
+        rules = cut_lineage(full.where(is_rules).select("project_name", "relative_path", "content"))
+        one = cut_lineage(one)
+        said = declared(rules, one.select("project_name", "relative_path")).withColumnsRenamed({"generated": "said_generated", "vendored": "said_vendored"})
+        ruled = one.join(rules.select("project_name").distinct().withColumn("has_rules", F.lit(True)), "project_name", "left").join(said, ["project_name", "relative_path"], "left")
     free = F.col("has_rules").isNull()
     marked = cut_lineage(
-        one.join(has_rules, "project_name", "left")
-        .join(said, ["project_name", "relative_path"], "left")
-        .select(
+        ruled.select(
             "path", "project_name", "relative_path", "text_key", "fingerprint", "machine_head", "printed", "minified", "data",
             F.coalesce("said_generated", F.col("mined_generated") & free).alias("path_generated"),
             F.coalesce("said_vendored", F.col("mined_vendored") & free | F.col("third_head")).alias("vendored"),
