@@ -68,8 +68,7 @@ def _and_not(key: tuple, refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFr
 def find_orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """The rows of ``refs`` (ref_table, ref_key, target, at) that refer to nothing.
 
-    ``parents`` has target, first_at (null: always there) and, if any, ends_with: rows that are gone must have been left
-    out.  A reference is an orphan if no parent has its target or if its time lies before first_at.  References
+    ``parents`` has one row per target, with first_at (null: always there); what is gone must have been left out.  A reference is an orphan if no parent has its target or if its time lies before first_at.  References
     without a time are only asked for existence.  A null target is no reference; repeated references give one row.
     Frequent targets are reduced to one bit per month before anything is shuffled by target, and the way back to the
     rows is salted.

@@ -81,7 +81,7 @@ def all_paths(edges: DataFrame, pairs: DataFrame, hops: int = SETTINGS.max_path,
 
 
 def call_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs asked for: first and last entity of the trails of exactly three calls that start in a class's name order."""
+    """The pairs asked for: the five entities that call most, each with the five called most."""
     e = calls(spark, sf_dir)
     firsts = e.groupBy("src").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src").limit(5).select(F.col("src").alias("source"))
     lasts = e.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").limit(5).select(F.col("dst").alias("target"))
