@@ -228,6 +228,14 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("qualified_name", F.coalesce(ok, F.lit(False)).alias("ok"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("snippet_hash"))
 
 
+def best_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten surest links of each entity, in order; of equal ones the smaller id first."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("code_entity_qualified_name").orderBy(F.desc("confidence_score"), "link_id")
+    return links(spark, sf_dir).withColumn("position", F.row_number().over(w)).where("position <= 10").select("code_entity_qualified_name", "position", "link_id", "link_type", "confidence_score")
+
+
 _L = "links AS (SELECT DISTINCT link_id, document_chunk_id, code_entity_qualified_name, code_entity_type, link_type, confidence_score, line_range_start, line_range_end, code_version_hash FROM document_links)"
 _C = "chunks AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC) AS rn FROM document_chunks) WHERE rn = 1)"
 _DRIFT = "('minor_drift', 'major_drift')"
@@ -235,7 +243,7 @@ _DRIFT = "('minor_drift', 'major_drift')"
 QUERIES = {
     "entity_lookup": asked_entities, "name_search": name_search, "fuzzy_entity": fuzzy_entity, "file_entities": file_entities, "file_dependencies": file_dependencies, "file_dependents": file_dependents, "project_files": project_listing,
     "callers": callers, "callees": callees, "class_with_methods": class_methods, "file_context": file_context, "implementation_context": implementation_context, "usage_patterns": usage_patterns, "module_dependencies": module_dependencies,
-    "chunk_links": chunk_links, "entity_documentation": entity_documentation, "all_drifted": all_drifted, "drifted_documents": drifted_documents, "stale_chunks": stale_chunks, "document_chunks": document_chunks_listing, "entity_snippets": snippets,
+    "chunk_links": chunk_links, "entity_documentation": entity_documentation, "all_drifted": all_drifted, "drifted_documents": drifted_documents, "stale_chunks": stale_chunks, "document_chunks": document_chunks_listing, "entity_snippets": snippets, "best_links": best_links,
 }
 SQL = {
     "entity_lookup": f"WITH {NODES} SELECT DISTINCT asked, qualified_name, name, node_type, file_path, start_line FROM (SELECT DISTINCT entity_name AS asked FROM ranked_results WHERE entity_name IS NOT NULL) JOIN nodes ON name = asked OR qualified_name = asked",
@@ -271,4 +279,5 @@ SQL = {
     "entity_snippets": rf"""WITH {NODES}, {FILES}, s AS (SELECT qualified_name, start_line, end_line, n.file_path, p.path AS root, string_split(f.content, chr(10)) AS lines FROM nodes n LEFT JOIN projects p ON p.project_name = n.project_name LEFT JOIN files f ON f.path = n.file_path),
       t AS (SELECT *, coalesce(lines IS NOT NULL AND start_line >= 1 AND end_line >= start_line AND start_line <= len(lines) AND starts_with(file_path, root || '/'), false) AS ok FROM s)
       SELECT qualified_name, ok, sha256(CASE WHEN ok THEN array_to_string(lines[start_line:end_line], chr(10)) ELSE '' END) AS snippet_hash FROM t""",
+    "best_links": f"WITH {_L} SELECT code_entity_qualified_name, position, link_id, link_type, confidence_score FROM (SELECT *, row_number() OVER (PARTITION BY code_entity_qualified_name ORDER BY confidence_score DESC, link_id) AS position FROM links) WHERE position <= 10",
 }

@@ -126,6 +126,16 @@ def merged_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.groupBy("query_id", "key", "signal").agg(F.max("value").alias("value"))
 
 
+def centrality_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whose degree a query needs: its first five graph and first five vector results, each entity once."""
+    r = table(spark, sf_dir, "ranked_results").where("qualified_name IS NOT NULL").select("query_id", "qualified_name", "result_id", "source", F.coalesce("depth_from_query", F.lit(1)).alias("depth"), F.coalesce(F.col("signal_scores")["vector_similarity"], F.lit(0.0)).alias("similarity")).distinct()
+    parts = []
+    for sources, order in ((("graph", "hybrid"), [F.asc("depth"), F.asc("result_id")]), (("vector", "hybrid"), [F.desc("similarity"), F.asc("result_id")])):
+        w = Window.partitionBy("query_id").orderBy(*order)
+        parts.append(r.where(F.col("source").isin(*sources)).withColumn("n", F.row_number().over(w)).where("n <= 5").select("query_id", "qualified_name"))
+    return parts[0].unionByName(parts[1]).distinct()
+
+
 _W = lambda i: " ".join(f"WHEN '{k}' THEN {w[i]}" for k, w in INTENT_WEIGHTS.items())
 SCORED = rf"""{EDGES}, dg AS (SELECT q, least(1.0::DOUBLE, count(*) / 50.0::DOUBLE) AS central FROM (SELECT src AS q FROM e_calls UNION ALL SELECT dst FROM e_calls) GROUP BY 1),
   asks AS (SELECT query_id, CASE primary_intent {_W(0)} ELSE 0.5 END::DOUBLE AS gw, CASE primary_intent {_W(1)} ELSE 0.5 END::DOUBLE AS vw,
@@ -141,7 +151,7 @@ SCORED = rf"""{EDGES}, dg AS (SELECT q, least(1.0::DOUBLE, count(*) / 50.0::DOUB
       + CASE WHEN role IS NULL THEN 1.0 WHEN role = 'caller' THEN 0.8 WHEN role = 'callee' THEN 0.7 ELSE 0.5 END::DOUBLE * 0.15::DOUBLE + central * 0.2::DOUBLE + ctx * 0.1::DOUBLE AS score FROM rows0 WHERE source IN ('graph', 'hybrid')
     UNION ALL SELECT query_id, result_id, key, file_path, coalesce(depth_from_query, 1), 1, coalesce(sim, 0)::DOUBLE * vw + em * 0.3::DOUBLE + central * 0.2::DOUBLE + quality * 0.1::DOUBLE FROM rows0 WHERE source IN ('vector', 'hybrid'))"""
 
-QUERIES = {"graph_score": graph_scores, "vector_score": vector_scores, "hybrid_rank": hybrid_rank, "fuse_results": fuse_results, "normalize_scores": normalised_scores, "merged_signals": merged_signals}
+QUERIES = {"graph_score": graph_scores, "vector_score": vector_scores, "hybrid_rank": hybrid_rank, "fuse_results": fuse_results, "normalize_scores": normalised_scores, "merged_signals": merged_signals, "centrality_candidates": centrality_candidates}
 SQL = {
     "graph_score": f"WITH {SCORED} SELECT query_id, result_id, round(score, 6) AS score FROM sc WHERE side = 0",
     "vector_score": f"WITH {SCORED} SELECT query_id, result_id, round(score, 6) AS score FROM sc WHERE side = 1",
@@ -155,4 +165,7 @@ SQL = {
       SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank, key, round(score, 6) AS score FROM f""",
     "normalize_scores": "SELECT query_id, result_id, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END, 6) AS score FROM (SELECT DISTINCT query_id, result_id, score FROM search_results) JOIN (SELECT query_id, min(score) AS lo, max(score) AS hi FROM search_results GROUP BY 1) USING (query_id)",
     "merged_signals": "SELECT query_id, key, signal, max(value) AS value FROM (SELECT query_id, concat_ws(':', file_path, entity_name, coalesce(CAST(start_line AS VARCHAR), 'None')) AS key, unnest(map_keys(signal_scores)) AS signal, unnest(map_values(signal_scores)) AS value FROM ranked_results) GROUP BY 1, 2, 3",
+    "centrality_candidates": """WITH r AS (SELECT DISTINCT query_id, qualified_name, result_id, source, coalesce(depth_from_query, 1) AS depth, coalesce(signal_scores['vector_similarity'], 0) AS sim FROM ranked_results WHERE qualified_name IS NOT NULL)
+      SELECT query_id, qualified_name FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY depth, result_id) AS n FROM r WHERE source IN ('graph', 'hybrid')) WHERE n <= 5
+      UNION SELECT query_id, qualified_name FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, result_id) AS n FROM r WHERE source IN ('vector', 'hybrid')) WHERE n <= 5""",
 }

@@ -98,16 +98,26 @@ def nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("own").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("own")).alias("n_same")).withColumnRenamed("own", "label")
 
 
+def changed_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collection after an upsert that moves every tenth vector to the next label and a delete of label 3."""
+    from .changes import upsert
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    moved = e.where("vec_id % 10 = 0").select("vec_id", ((F.col("label") + 1) % 10).cast("int").alias("label"))
+    return upsert(e, moved, ["vec_id"]).where("label <> 3").groupBy("label").agg(F.count("*").alias("n_points"), F.sum("vec_id").alias("id_sum"))
+
+
 def _knn_sql(k: int, extra: str = "") -> str:
     return f"""SELECT query_id, vec_id, round(s, 9) AS score, rank FROM (SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM (
   SELECT q.vec_id AS query_id, r.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0 {extra})) WHERE rank <= {k}"""
 
 
-QUERIES = {"vector_topk": vector_topk, "vector_topk_filtered": vector_topk_filtered, "similar_exclude": similar_exclude, "collection_info": collection_info, "nearest_label": nearest_label}
+QUERIES = {"vector_topk": vector_topk, "vector_topk_filtered": vector_topk_filtered, "similar_exclude": similar_exclude, "collection_info": collection_info, "nearest_label": nearest_label, "vector_changes": changed_collection}
 SQL = {
     "vector_topk": _knn_sql(15),
     "vector_topk_filtered": _knn_sql(15, "AND q.label = r.label"),
     "similar_exclude": _knn_sql(10, "AND q.vec_id <> r.vec_id"),
     "collection_info": "SELECT label, count(*) AS n_points, max(len(embedding))::INTEGER AS dimensions FROM embeddings GROUP BY label",
     "nearest_label": f"SELECT q.label, count(*) AS n, count(*) FILTER (WHERE r.label = q.label) AS n_same FROM ({_knn_sql(5, 'AND q.vec_id <> r.vec_id')}) n JOIN embeddings q ON q.vec_id = n.query_id JOIN embeddings r ON r.vec_id = n.vec_id GROUP BY q.label",
+    "vector_changes": "SELECT label, count(*) AS n_points, sum(vec_id)::BIGINT AS id_sum FROM (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM embeddings) WHERE label <> 3 GROUP BY label",
 }
