@@ -116,14 +116,19 @@ def hierarchy_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For classes: entities within two steps of any edge in either direction, with the smallest distance, 20 each."""
+    """For classes: entities within two steps of any edge in either direction, with the smallest distance, 20 each.
+
+    Of each node in between only its first 21 neighbours are followed: one may be the class itself, and any later one
+    has 20 before it, so hubs do not multiply and nothing that belongs to the result is lost.
+    """
     from pyspark.sql import Window
 
     e = all_edges(spark, sf_dir).where("edge_type <> 'IMPORTS' AND edge_type <> 'DEFINES'").select("src", "dst").distinct()
     both = cut_lineage(e.unionByName(reverse(e)).distinct())
     starts = nodes(spark, sf_dir, "name").where("node_type = 'Class'").select(F.col("qualified_name").alias("origin"))
     one = starts.join(both, starts["origin"] == both["src"]).select("origin", F.col("dst").alias("at"), F.lit(1).alias("distance"))
-    two = one.join(both, one["at"] == both["src"]).select("origin", F.col("dst").alias("at"), F.lit(2).alias("distance"))
+    firsts = both.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("n") <= SETTINGS.related_limit + 1).drop("n")
+    two = one.withColumnRenamed("at", "mid").join(firsts, F.col("mid") == firsts["src"]).select("origin", F.col("dst").alias("at"), F.lit(2).alias("distance"))
     near = one.unionByName(two).where("origin <> at").groupBy("origin", "at").agg(F.min("distance").alias("distance"))
     w = Window.partitionBy("origin").orderBy("distance", "at")
     return near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= SETTINGS.related_limit).select(F.col("origin").alias("class_name"), F.col("at").alias("related"), "distance")
