@@ -75,6 +75,16 @@ def pieces(text: Column, border: str) -> Column:
     return F.filter(F.transform(F.split(text, border), plain), lambda x: x != "")
 
 
+#: Ends of sentences and lines, with the signs and blanks around them.
+UNIT_END = r"[\p{P}\s]*\R\s*|[.!?。！？]+\s*"
+
+
+def units(text: Column) -> Column:
+    """Sentences and lines without case, spacing, list numbers and end punctuation, cut from the whole text at once."""
+    even = F.regexp_replace(F.regexp_replace(F.lower(text), LIST_MARK, ""), r"[ \t]+", " ")
+    return F.filter(F.split(even, UNIT_END), lambda x: x != "")
+
+
 @dataclass(frozen=True)
 class Measure:
     """A row of the threshold table: a name, what it measures and, if it decides, at which value a text is flagged."""
@@ -90,7 +100,7 @@ MEASURES = (
     Measure("symbol_share", lambda t: F.when(F.length(t) > 0, F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s]", "")) / F.length(t)).otherwise(F.lit(0.0))),
     Measure("stop_word_share", lambda t: let(words(t), lambda w: F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))) / F.size(w)).otherwise(F.lit(0.0)))),
     Measure("repeated_line_share", lambda t: let(pieces(t, r"\R"), share_of_repeats)),
-    Measure("repeated_sentence_share", lambda t: let(pieces(t, r"(?<=[.!?。！？])\s*|\R"), share_of_repeats)),
+    Measure("repeated_unit_share", lambda t: let(units(t), share_of_repeats), at_least=0.4),
     Measure("repeated_paragraph_share", lambda t: let(pieces(t, r"\R[ \t]*\R\s*"), share_of_repeats)),
     Measure("repeated_share", lambda t: repeated_share(words(t)), at_least=0.4),
 )

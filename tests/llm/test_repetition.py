@@ -49,3 +49,14 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty_table(spark):
     assert R.measure(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_lines_and_sentences_between_others(spark):
+    unique = [" ".join(f"w{i}x{k}" for k in range(7)) for i in range(10)]
+    lines = "\n".join(x for u in unique for x in (u, f"{len(u) % 3}. Nothing else to REPORT!", "nothing  else to report", "- nothing else to report."))
+    spread = " ".join(f"{u}. So it goes." for u in unique)
+    df = spark.createDataFrame([(1, lines), (2, spread), (3, "}\n" * 50 + "\n".join(unique))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in R.measure(df).collect()}
+    assert got[1]["flagged"] and got[1]["repeated_unit_share"] > 0.6
+    assert 0 < got[2]["repeated_unit_share"] < 0.4 and not got[2]["flagged"]
+    assert got[3]["repeated_unit_share"] == 0 and not got[3]["flagged"]
