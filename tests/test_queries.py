@@ -29,3 +29,15 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0
     assert set(registry.queries()) <= set(__spark_entry__.queries())
+
+
+def test_core_does_not_import_the_subpackage():
+    from pathlib import Path
+
+    import sparkloom
+
+    root = Path(sparkloom.__file__).parent
+    for f in root.rglob("*.py"):
+        if "llm" not in f.relative_to(root).parts:
+            text = f.read_text()
+            assert "sparkloom.llm" not in text and "from .llm" not in text and "from ..llm" not in text, f
