@@ -149,24 +149,26 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- inheritance -----------------------------------------------------------------------------------------------------
-def linearised(e: DataFrame, hops: int = SETTINGS.max_path) -> DataFrame:
+def linearised(e: DataFrame) -> DataFrame:
     """class_name, ancestor, depth, position: breadth-first order of ancestors, the class itself at 0.
 
-    ``e`` has src, dst, pos.  Within a depth ancestors come in the order of the parents they were reached by.
+    ``e`` has src, dst, pos.  Within a depth ancestors come in the order of the parents they were reached by.  No depth
+    is too large: each round joins the ancestors at the largest depth known in full to their own ancestors, which
+    doubles that depth, until nothing new is reached.  The first of the shortest ways is made of two such first ways.
     """
     from pyspark.sql import Window
 
-    step = e.select("src", "dst", F.lpad(F.col("pos").cast("string"), 4, "0").alias("p"))
-    level = step.select(F.col("src").alias("class_name"), F.col("dst").alias("ancestor"), F.col("p").alias("way"), F.lit(1).alias("depth"))
-    seen = cut_lineage(level.groupBy("class_name", "ancestor").agg(F.min_by(F.struct("way", "depth"), F.struct("depth", "way")).alias("v")).select("class_name", "ancestor", "v.*"))
-    for d in range(2, hops + 1):
-        last = seen.where(F.col("depth") == d - 1)
-        nxt = last.join(step, last["ancestor"] == step["src"]).select("class_name", F.col("dst").alias("ancestor"), F.concat("way", "p").alias("way"), F.lit(d).alias("depth"))
-        new = nxt.where("class_name <> ancestor").join(seen.select("class_name", "ancestor"), ["class_name", "ancestor"], "left_anti").groupBy("class_name", "ancestor").agg(F.min("way").alias("way"), F.first("depth").alias("depth"))
-        new = cut_lineage(new)
+    way = F.lpad(F.col("pos").cast("string"), 4, "0")
+    seen = cut_lineage(e.groupBy(F.col("src").alias("class_name"), F.col("dst").alias("ancestor")).agg(F.min(way).alias("way"), F.lit(1).alias("depth")))
+    known = 1
+    while True:
+        further = seen.select(F.col("class_name").alias("mid"), F.col("ancestor").alias("far"), F.col("way").alias("rest"), F.col("depth").alias("more"))
+        nxt = seen.where(F.col("depth") == known).join(further, F.col("ancestor") == F.col("mid")).select("class_name", F.col("far").alias("ancestor"), F.struct((F.col("depth") + F.col("more")).alias("depth"), F.concat("way", "rest").alias("way")).alias("v"))
+        new = nxt.where("class_name <> ancestor").join(seen.select("class_name", "ancestor"), ["class_name", "ancestor"], "left_anti").groupBy("class_name", "ancestor").agg(F.min("v").alias("v"))
+        new = cut_lineage(new.select("class_name", "ancestor", "v.way", "v.depth"))
         if new.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(new.select("class_name", "ancestor", "way", "depth")))
+        seen, known = seen.unionByName(new), 2 * known
     w = Window.partitionBy("class_name").orderBy("depth", "way", "ancestor")
     return seen.where("class_name <> ancestor").withColumn("position", F.row_number().over(w)).drop("way")
 

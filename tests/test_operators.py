@@ -91,6 +91,26 @@ def test_mro_of_a_diamond(spark):
     assert [got["D", i] for i in (1, 2, 3)] == ["B", "C", "A"] and ("D", 4) not in got
 
 
+def test_mro_has_no_largest_depth(spark):
+    parents = {f"c{i}": [f"c{i + 1}"] for i in range(45)} | {"c3": ["c4", "s0"], "c7": ["c9", "c8"], "c20": ["s1", "c21"], "s0": ["c30", "s1"], "s1": ["c44", "c2"], "own": ["own", "c40"], "c45": ["c38"]}
+    got = {}
+    for r in traverse.linearised(spark.createDataFrame([(c, p, i) for c, ps in parents.items() for i, p in enumerate(ps)], "src string, dst string, pos int")).orderBy("class_name", "position").collect():
+        got.setdefault(r["class_name"], []).append(r["ancestor"])
+
+    def walked(c):
+        order, queue = [c], list(parents[c])
+        while queue:
+            p = queue.pop(0)
+            if p not in order:
+                order.append(p)
+                queue += parents.get(p, [])
+        return order[1:]
+
+    assert got == {c: walked(c) for c in parents}
+    chain = spark.createDataFrame([(f"c{i:02d}", f"c{i + 1:02d}", 0) for i in range(42)], "src string, dst string, pos int")
+    assert [(r["ancestor"], r["depth"]) for r in traverse.linearised(chain).where("class_name = 'c00'").orderBy("position").collect()] == [(f"c{i:02d}", i) for i in range(1, 43)]
+
+
 def test_lookups(spark):
     n = spark.createDataFrame([("m.Load", "Load", "Class"), ("m.load", "load", "Function"), ("m.reload", "reload", "Function"), ("m.x", "x", "Method")], "qualified_name string, name string, node_type string")
     assert [r["match_score"] for r in lookup.fuzzy(n, "load").collect()] == [0, 2, 4]
