@@ -90,15 +90,40 @@ def call_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def call_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_paths(cut_lineage(calls(spark, sf_dir)), call_pairs(spark, sf_dir), hops=4)
+    return all_paths(cut_lineage(calls(spark, sf_dir)), call_pairs(spark, sf_dir))
 
 
 def shortest_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length of the shortest chain between the asked pairs."""
-    got = all_paths(cut_lineage(calls(spark, sf_dir)), call_pairs(spark, sf_dir), hops=4, per_pair=1)
+    got = all_paths(cut_lineage(calls(spark, sf_dir)), call_pairs(spark, sf_dir), per_pair=1)
     return got.select("source", "target", "length")
 
 
+def connected_pairs(edges: DataFrame, hops: int = SETTINGS.max_path) -> DataFrame:
+    """source, target of every pair that a chain of 1..``hops`` of ``edges`` joins; on a circle a node with itself."""
+    last = cut_lineage(edges.select(F.col("src").alias("source"), F.col("dst").alias("target")).distinct())
+    pairs = last
+    for _ in range(1, hops):
+        step = last.join(edges, last["target"] == edges["src"]).select("source", F.col("dst").alias("target")).distinct()
+        last = cut_lineage(step.join(pairs, ["source", "target"], "left_anti"))
+        if last.isEmpty():
+            break
+        pairs = pairs.unionByName(last)
+    return pairs
+
+
+def all_call_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``call_paths`` between all pairs of entities that a chain of calls joins."""
+    e = cut_lineage(calls(spark, sf_dir))
+    return all_paths(e, connected_pairs(e))
+
+
+def all_shortest_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``shortest_chains`` between all pairs of entities that a chain of calls joins."""
+    e = cut_lineage(calls(spark, sf_dir))
+    return all_paths(e, connected_pairs(e), per_pair=1).select("source", "target", "length")
+
+
 def class_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ancestors and descendants of every class with depth 1..5."""
     e = cut_lineage(extends(spark, sf_dir).select("src", "dst").distinct())
@@ -224,7 +249,7 @@ _MRO = f"""{EXTENDS}, w AS (SELECT src AS class_name, dst AS ancestor, 1 AS dept
   mro AS (SELECT class_name, ancestor, depth, row_number() OVER (PARTITION BY class_name ORDER BY depth, way, ancestor) AS position FROM m)"""
 
 QUERIES = {
-    "transitive_callees": transitive_callees, "transitive_callers": transitive_callers, "call_paths": call_paths, "shortest_chains": shortest_chains, "class_hierarchy": class_hierarchy, "hierarchy_chains": hierarchy_chains,
+    "transitive_callees": transitive_callees, "transitive_callers": transitive_callers, "call_paths": call_paths, "shortest_chains": shortest_chains, "all_call_paths": all_call_paths, "all_shortest_chains": all_shortest_chains, "class_hierarchy": class_hierarchy, "hierarchy_chains": hierarchy_chains,
     "related_entities": related_entities, "centrality": degrees, "mro": mro, "inherited_methods": inherited_methods, "subclasses": subclasses, "inheritance_stats": inheritance_stats, "registry": registry,
 }
 SQL = {

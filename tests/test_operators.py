@@ -85,6 +85,52 @@ def test_paths_between(spark):
     assert got.where("length = 3").count() == 2
 
 
+@pytest.fixture
+def stored_calls(spark, tmp_path):
+    """Entities in whose calls there are chains of 5 to 12 steps, a circle, a diamond and more than ten ways."""
+    calls = {f"m.c{i:02d}": [f"m.c{i + 1:02d}"] for i in range(12)} | {"m.c03": ["m.c04", "m.x"], "m.x": ["m.c05", "m.c02"], "m.h": [f"m.w{i:02d}" for i in range(11)], "m.c12": []} | {f"m.w{i:02d}": ["m.t"] for i in range(11)} | {"m.t": []}
+    rows = [(q, q[2:], "function", "m.py", None, [], c, "2026-01-01 00:00:00") for q, c in calls.items()]
+    df = spark.createDataFrame(rows, "qualified_name string, name string, type string, file_path string, parent_class string, base_classes array<string>, calls array<string>, indexed_at string")
+    df.withColumn("indexed_at", F.col("indexed_at").cast("timestamp")).write.parquet(str(tmp_path / "code_entities.parquet"))
+    return str(tmp_path), {(a, b) for a, bs in calls.items() for b in bs}
+
+
+def brute_paths(edges, hops):
+    """The first ten trails of each pair by length and text."""
+    found = {}
+
+    def walk(path, used):
+        if used:
+            found.setdefault((path[0], path[-1]), []).append((len(used), " > ".join(path)))
+        if len(used) < hops:
+            for e in sorted(edges - set(used)):
+                if e[0] == path[-1]:
+                    walk([*path, e[1]], (*used, e))
+
+    for a in {a for a, _ in edges}:
+        walk([a], ())
+    return {k: sorted(v)[:10] for k, v in found.items()}
+
+
+def test_call_paths_of_more_than_four_calls(spark, stored_calls, monkeypatch):
+    at, edges = stored_calls
+    want = brute_paths(edges, 10)
+    pairs = [("m.c00", "m.c10"), ("m.c00", "m.c12"), ("m.c01", "m.c07"), ("m.h", "m.t")]
+    monkeypatch.setattr(traverse, "call_pairs", lambda *_: spark.createDataFrame(pairs, "source string, target string"))
+    got = traverse.call_paths(spark, at).collect()
+    assert sorted((r["source"], r["target"], r["length"], r["path"]) for r in got) == sorted((*k, *p) for k in pairs for p in want.get(k, []))
+    assert {(r["source"], r["target"]): r["length"] for r in traverse.shortest_chains(spark, at).collect()} == {k: want[k][0][0] for k in pairs if k in want}
+
+
+def test_paths_between_all_connected_pairs(spark, stored_calls):
+    at, edges = stored_calls
+    want = brute_paths(edges, 10)
+    got = traverse.all_call_paths(spark, at).collect()
+    assert sorted((r["source"], r["target"], r["length"], r["path"]) for r in got) == sorted((*k, *p) for k, ps in want.items() for p in ps)
+    assert {(r["source"], r["target"]): r["length"] for r in traverse.all_shortest_chains(spark, at).collect()} == {k: p[0][0] for k, p in want.items()}
+    assert len(want["m.h", "m.t"]) == 10 and ("m.c02", "m.c02") in want and ("m.c00", "m.c12") not in want
+
+
 def test_mro_of_a_diamond(spark):
     e = spark.createDataFrame([("D", "B", 0), ("D", "C", 1), ("B", "A", 0), ("C", "A", 0), ("A", "D", 0)], "src string, dst string, pos int")
     got = {(r["class_name"], r["position"]): r["ancestor"] for r in traverse.linearised(e).collect()}
