@@ -164,10 +164,14 @@ def descendants(edges: DataFrame) -> DataFrame:
 
 
 def base_name(base: Column) -> Column:
-    """A base without blanks around it and without type arguments, up to three deep."""
-    for _ in range(3):
-        base = F.regexp_replace(base, r"\s*(\[[^\[\]]*\]|<[^<>]*>)", "")
-    return F.regexp_replace(base, r"^\s+|\s+$", "")
+    """A base without blanks around it and without type arguments, however deep; what follows them stays.
+
+    A pass removes the innermost arguments, so as many passes as there are opening brackets are enough.  The end of an
+    arrow closes nothing.
+    """
+    passes = F.sequence(F.lit(0), F.length(F.regexp_replace(base, r"[^\[<]", "")))
+    bare = F.aggregate(passes, base, lambda b, _: F.regexp_replace(b, r"\s*(\[[^\[\]]*\]|<(?:[^<>]|(?<==)>)*(?<!=)>)", ""))
+    return F.regexp_replace(bare, r"^\s+|\s+$", "")
 
 
 def entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:

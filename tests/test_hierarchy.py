@@ -86,3 +86,8 @@ def test_descendants(spark):
 def test_base_names(spark):
     df = spark.createDataFrame([(" A[T] ",), ("pkg.B<Map<string, X>>",), ("C",), ("D [int]",)], "b string")
     assert [r[0] for r in df.select(H.base_name(F.col("b"))).collect()] == ["A", "pkg.B", "C", "D"]
+
+
+def test_base_names_with_arguments_of_any_depth(spark):
+    df = spark.createDataFrame([("Base[Dict[str, List[Tuple[int, int]]]]",), ("Base<() => void>",), ("Base<(cb: () => Foo<T>) => Map<a, b>>",), ("A" + "[x" * 12 + "]" * 12,), ("a.Outer<P<Q<R<S>>>>.Inner",), ("",), (None,)], "b string")
+    assert [r[0] for r in df.select(H.base_name(F.col("b"))).collect()] == ["Base", "Base", "Base", "A", "a.Outer.Inner", "", None]
