@@ -3,8 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from sparkloom.llm.origin import attribute_rules, glob_regex, origin
+from sparkloom.llm.origin import MINED_FILES, attribute_rules, declared, glob_regex, measures, origin, parsed_rules, path_keys, rule_key
 
 SCHEMA = "path string, project_name string, relative_path string, content string, indexed_at timestamp_ntz, origin string"
 BODY = "import os\n\ndef work(items):\n    total = 0\n    for item in items:\n        if item.size > 10:\n            total += item.size\n    return total\n\ndef other(a, b):\n    return os.path.join(a, b) or work([a])\n"
@@ -28,7 +29,7 @@ def test_globs(pattern, path, hit):
 
 def test_attribute_lines():
     got = attribute_rules("# c\n*.py text linguist-generated\n\"a b.py\" -linguist-vendored linguist-generated=false\nx !linguist-generated\ny other\n")
-    assert [(n, a, v) for n, _, a, v in got] == [(1, "linguist-generated", True), (2, "linguist-vendored", False), (2, "linguist-generated", False), (3, "linguist-generated", None)]
+    assert [(n, a, v) for n, _, _, a, v in got] == [(1, "linguist-generated", True), (2, "linguist-vendored", False), (2, "linguist-generated", False), (3, "linguist-generated", None)]
 
 
 def test_attribute_files_decide_and_deeper_ones_win(spark):
@@ -61,3 +62,69 @@ def test_null_project_and_repeated_rows(spark):
     df = spark.createDataFrame([("/r/a.py", p, r, c, None, "k") for p, r, c in rows], SCHEMA)
     assert origin(df).count() == 1
     assert origin(df.limit(0)).count() == 0
+
+
+def test_a_project_that_declares_only_text_settings_keeps_the_known_patterns(spark):
+    rows = [("a", ".gitattributes", "* text=auto\n*.png binary\n"), ("a", "node_modules/m/i.js", "export const a = 1;\n"), ("a", "src/own.py", BODY)]
+    assert found(spark, rows) == {"node_modules/m/i.js": "vendored"}
+
+
+PATTERNS = ("*.js", "/gen/*.py", "gen/**", "**/gen/*.py", "a?.py", "[a-c].py", "a/**/z.py", "Makefile", "/top.ts", "x/Makefile", "*", "data*")
+PATHS = ("a/b/c.js", "c.jsx", "gen/a.py", "x/gen/a.py", "gen/a/b.py", "ab.py", "b.py", "a/z.py", "a/b/c/z.py", "Makefile", "x/Makefile", "top.ts", "x/top.ts", "datafile", "k/data.bin")
+
+
+def test_every_path_a_pattern_matches_has_its_key(spark):
+    keys = {r[0]: set(r[1]) for r in spark.createDataFrame([(p,) for p in PATHS], "p string").select("p", path_keys(F.col("p"))).collect()}
+    for pattern in PATTERNS:
+        for path in PATHS:
+            if re.search(glob_regex(pattern), path):
+                assert rule_key(pattern) in keys[path], (pattern, path)
+
+
+def test_declared_equals_a_walk_over_all_rules(spark):
+    import itertools
+
+    texts = {".gitattributes": "*.py linguist-generated\ngen/** linguist-vendored\nk/*.py -linguist-generated\n", "k/.gitattributes": "z.py linguist-generated\n*.js linguist-generated\n/in/** linguist-vendored\n", "k/in/.gitattributes": "*.js !linguist-generated\nq.js linguist-vendored=false\n"}
+    paths = [d + n for d, n in itertools.product(("", "gen/", "k/", "k/in/", "k/in/deep/", "x/k/"), ("z.py", "q.js", "a.py", "t.ts"))]
+    files = spark.createDataFrame([("p", k, v) for k, v in texts.items()], "project_name string, relative_path string, content string")
+    got = {r["relative_path"]: (r["generated"], r["vendored"]) for r in declared(parsed_rules(files), spark.createDataFrame([("p", q) for q in paths] + [("other", "z.py")], "project_name string, relative_path string")).collect()}
+    want = {}
+    for q in paths:
+        best = {}
+        for name, text in texts.items():
+            d = name[: -len(".gitattributes")]
+            if q.startswith(d):
+                for n, rx, _, a, v in attribute_rules(text):
+                    if re.search(rx, q[len(d) :]):
+                        best[a] = max(best.get(a, ((-1, -1), None)), ((len(d), n), v), key=lambda t: t[0])
+        if best:
+            want[q] = tuple(best.get(f"linguist-{a}", (None, None))[1] for a in ("generated", "vendored"))
+    assert {k: v for k, v in got.items() if v != (None, None)} == {k: v for k, v in want.items() if v != (None, None)}
+
+
+def test_patterns_are_mined_from_declared_and_shown_files_and_applied_elsewhere(spark):
+    rows = [("a", ".gitattributes", "out/** linguist-generated\n")]
+    rows += [("a", f"out/f{i}.py", BODY + f"# {i}\n") for i in range(MINED_FILES)]
+    rows += [(p, f"src/out/g{p}{i}.py", "# Code generated by x v1.2. DO NOT EDIT.\n" + BODY + f"# {p}{i}\n") for p in "bc" for i in range(20)]
+    rows += [("d", "out/plain.py", BODY + "# nobody says so\n"), ("d", "outer/own.py", BODY + "# o\n"), ("e", ".gitattributes", "*.x linguist-generated\n"), ("e", "out/own.py", BODY + "# e\n")]
+    rows += [(p, f"mixed/m{p}{i}.py", BODY + f"# {p}{i}m\n") for p in "bcd" for i in range(4)] + [("b", "mixed/gen.py", "# @generated by x\n" + BODY)]
+    got = {(r["project_name"], r["relative_path"]): r["rule"] for r in origin(files(spark, rows)).collect()}
+    assert got[("d", "out/plain.py")] == "mined pattern" and ("e", "out/own.py") not in got and ("d", "outer/own.py") not in got
+    assert {k for k in got if k[1].startswith("mixed/")} == {("b", "mixed/gen.py")}
+    assert got[("a", "out/f0.py")] == "declared" and got[("b", "src/out/gb0.py")] == "mined pattern"
+
+
+@pytest.mark.parametrize(
+    "head,hit",
+    [("# Automatisch erzeugt aus x.yaml - nicht bearbeiten", True), ("// ARCHIVO GENERADO desde x.idl, no editar", True), ("/* Fichier généré par outil, ne pas modifier */", True), ("# 自动生成,请勿修改", True), ("# Gerado automaticamente por x", True), ("# Liest den Plan neu ein und erzeugt einen Bericht", False), ("# Genera el informe cuando falta", False)],
+)
+def test_notes_in_other_languages(spark, head, hit):
+    assert bool(found(spark, [("p", "a.py", head.replace("//", "#").replace("/*", "#").replace("*/", "") + "\n" + BODY)])) == hit
+
+
+def test_very_long_heads_do_not_grow_the_stack(spark):
+    heads = ["#\n" * 100_000, "# line of a licence\n" * 100_000, "// foo 1.2\n" * 100_000, "/*" + " a b\n" * 100_000 + "*/", '"""' + "q\n" * 100_000 + '"""', "\n" * 200_000, "/* open" + "b\n" * 100_000]
+    df = files(spark, [("p", f"{i}.py", h + "\nx = 1\n") for i, h in enumerate(heads)])
+    assert [r["machine_head"] for r in measures(df).collect()] == [False] * len(heads)
+    last = files(spark, [("p", "g.js", "// line\n" * 100_000 + "// @generated by x\nlet a = 1;\n")])
+    assert measures(last).collect()[0]["machine_head"]
