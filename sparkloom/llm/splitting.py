@@ -29,67 +29,92 @@ IMBALANCE = 6.0
 
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Places where the text may be cut and what each cut costs; the ends of the text cost nothing."""
-    cost: dict[int, float] = {}
+    n = len(text)
+    cost = np.full(n + 1, np.inf)
     for _, c, rx in reversed(BOUNDARIES):
-        for m in rx.finditer(text):
-            cost[m.end()] = c
-    cost.pop(len(text), None)
-    cost.pop(0, None)
-    at = np.array([0, *sorted(cost), len(text)], np.int64)
-    return at, np.array([0.0, *[cost[p] for p in at[1:-1].tolist()], 0.0])
-
-
-def candidates(at: np.ndarray, cost: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places a cut is sought at: those of the better kinds, and of each lesser kind only where the kinds before
-    leave more than ``reach`` without a place; inside words, at a high cost, only where nothing else is left."""
-    keep = cost <= BOUNDARIES[2][1]
-    for _, c, _ in BOUNDARIES[3:]:
-        held = at[keep]
-        gap = np.searchsorted(held, at, side="right")  # the gap each place lies in ends at held[gap]
-        wide = np.append(np.diff(held) > reach, False)
-        keep |= (cost == c) & wide[np.minimum(gap - 1, len(wide) - 1)]
-    at, cost = at[keep], cost[keep]
-    gaps = np.flatnonzero(np.diff(at) > reach)
-    if not len(gaps):
-        return at, cost
-    more = np.concatenate([np.arange(at[g] + reach, at[g + 1], reach) for g in gaps])
-    a = np.concatenate([at, more])
-    c = np.concatenate([cost, np.full(len(more), INSIDE_WORD)])
-    order = np.argsort(a, kind="stable")
-    return a[order], c[order]
+        cost[[m.end() for m in rx.finditer(text)]] = c
+    cost[[0, n]] = 0.0
+    at = np.flatnonzero(np.isfinite(cost))
+    return at, cost[at]
+
+
+def places(text: str, limit: int, overlap: int) -> tuple[list[int], list[float], list[int]]:
+    """Every place a cut may lie at, its cost, and where a piece that follows a cut there starts.
+
+    These are all boundaries and, where ``limit - overlap`` characters go by without one, places inside words that
+    far apart.  A piece starts at the first boundary within the overlap before the cut or, if there is none, at the
+    overlap's full length before it, so that two pieces always share something.
+    """
+    every, cost = boundaries(text)
+    at, reach = every, max(1, limit - overlap)
+    gaps = np.flatnonzero(np.diff(every) > reach)
+    if len(gaps):
+        more = np.concatenate([np.arange(every[g] + reach, every[g + 1], reach) for g in gaps])
+        at, cost = np.concatenate([every, more]), np.concatenate([cost, np.full(len(more), INSIDE_WORD)])
+        order = np.argsort(at, kind="stable")
+        at, cost = at[order], cost[order]
+    start = every[np.searchsorted(every, at - overlap)]
+    start = np.where(start < at, start, np.maximum(at - overlap, 0))
+    return at.tolist(), cost.tolist(), start.tolist()
+
+
+def cuts(at: list[int], cost: list[float], start: list[int], limit: int) -> list[int]:
+    """Indices of the cuts of least total cost, by dynamic programming over all places.
+
+    A piece from cut i to cut j adds a convex function of its length, so of two earlier cuts the later one, once it is
+    better (or the earlier one is out of reach), stays so.  A queue keeps those earlier cuts that will be the best at
+    some place, in the order of their turns; every place is entered and left once.
+    """
+    n, scale = len(at), IMBALANCE / (limit * limit)
+    back = [0] * n
+    best = [0.0] * n
+    queue, turn = [0], [0.0]  # turn[k]: the place from which queue[k] is better than queue[k - 1]
+    value = [scale * limit**2] * n  # best[i] and the part of the piece's cost that only i decides
+    front = 0
+    for j in range(1, n):
+        x = at[j]
+        while front + 1 < len(queue) and turn[front + 1] <= x:
+            front += 1
+        i = queue[front]
+        back[j] = i
+        best[j] = best[i] + scale * (limit - x + start[i]) ** 2 + cost[j]
+        s = start[j]
+        mine = value[j] = best[j] + scale * (s + limit) ** 2
+        while len(queue) > front:
+            i = queue[-1]
+            if s == start[i]:
+                if mine >= value[i]:
+                    break
+            else:
+                when = min((mine - value[i]) / (2 * scale * (s - start[i])), start[i] + limit + 1)
+                if when > turn[-1] or len(queue) - 1 == front:
+                    queue.append(j)
+                    turn.append(when)
+                    break
+            queue.pop()
+            turn.pop()
+        else:
+            queue.append(j)
+            turn.append(0.0)
+    found = [n - 1]
+    while found[-1]:
+        found.append(back[found[-1]])
+    found.reverse()
+    return found
 
 
 def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
     """(start, fresh, end) of each piece: text[start:end] has at most ``limit`` characters and text[start:fresh], at
     most ``overlap`` and none in the first, is repeated from the piece before.  The fresh parts join to the text.
 
-    The cuts minimise the cost of the boundaries used plus the imbalance of the pieces.  A text within the limit is
-    one piece; an empty text is one empty piece.
+    The cuts minimise the cost of the boundaries used plus the imbalance of the pieces, over all boundaries.  A text
+    within the limit is one piece; an empty text is one empty piece.  The overlap is less than the limit.
     """
     if len(text) <= limit:
         return [(0, 0, len(text))]
-    every, costs = boundaries(text)
-    at, cost = candidates(every, costs, reach=max(1, (limit - overlap) // 2))
-    # where a piece after a cut at at[i] starts: the first boundary of any kind within the overlap before it
-    start = np.minimum(every[np.searchsorted(every, at - overlap)], at)
-    n = len(at)
-    best = np.full(n, np.inf)
-    back = np.zeros(n, np.int64)
-    best[0] = 0.0
-    lo = 0
-    for j in range(1, n):
-        while at[j] - start[lo] > limit:
-            lo += 1
-        size = at[j] - start[lo:j]
-        total = best[lo:j] + IMBALANCE * (1 - size / limit) ** 2
-        k = int(np.argmin(total))
-        best[j] = total[k] + cost[j]
-        back[j] = lo + k
-    cuts = [n - 1]
-    while cuts[-1]:
-        cuts.append(int(back[cuts[-1]]))
-    cuts.reverse()
-    return [(int(start[i]) if i else 0, int(at[i]), int(at[j])) for i, j in zip(cuts, cuts[1:])]
+    at, cost, start = places(text, limit, min(overlap, limit - 1))
+    found = cuts(at, cost, start, limit)
+    return [(start[i] if i else 0, at[i], at[j]) for i, j in zip(found, found[1:])]
 
 
 def split_items(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
