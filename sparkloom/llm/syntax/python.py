@@ -152,9 +152,17 @@ CONVERSION = re.compile(r"[sra]\b[ \t]*[:}]")
 PREFIX = re.compile(r"[A-Za-z]*")
 BAD_BYTE_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\x(?![0-9a-fA-F]{2})")
 BAD_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?![0-9a-fA-F]{8})|N(?!\{))")
+CHARACTER_NAME = re.compile(r"(?<!\\)(?:\\\\)*\\N\{([^}]*)(\}?)")
 _OLD_OCTAL = re.compile(r"0[0-9_]*[1-9][0-9_]*$")
 
 
+def is_character(name: str) -> bool:
+    try:
+        return len(unicodedata.lookup(name)) == 1
+    except KeyError:
+        return False
+
+
 class Tokens:
     """One file's tokens: ``kinds`` (a character each), places in the text, and for each the end of its logical line."""
 
@@ -248,6 +256,8 @@ class Tokens:
                     head = PREFIX.match(w)[0].lower()
                     if "r" not in head and (BAD_BYTE_ESCAPE if "b" in head else BAD_ESCAPE).search(w):
                         raise _Bad(at)
+                    if "\\N" in w and not set("rb") & set(head) and not all(closed and is_character(x) for x, closed in CHARACTER_NAME.findall(w)):
+                        raise _Bad(at)
                 if w[0] in "bB" or w[1:2] in ("b", "B") and w[0] in "rR":
                     if not w.isascii():
                         raise _Bad(at)
@@ -304,7 +314,9 @@ class Tokens:
             if ch == "\\":
                 if text.startswith("\\N{", pos) and not raw:
                     end = text.find("}", pos)
-                    pos = end + 1 if end >= 0 else n
+                    if end < 0 or not is_character(text[pos + 3 : end]):
+                        raise _Bad(pos)
+                    pos = end + 1
                 else:
                     pos += 1 if text[pos + 1 : pos + 2] in ("{", "}") else 2
             elif ch == "{" and not spec and text.startswith("{{", pos):
@@ -382,7 +394,7 @@ def tables():
     return _TABLES
 
 
-KNOWN: set[str] = set()
+KNOWN: dict[str, tuple] = {}
 
 
 def first_error(text: str) -> int | None:
@@ -398,7 +410,7 @@ def first_error(text: str) -> int | None:
     ends = line_ends(kinds)
     if len(KNOWN) > 200_000:
         KNOWN.clear()
-    got, far = tables().run(kinds, ends, KNOWN)
+    got, far, _ = tables().run(kinds, ends, KNOWN)
     return None if got == len(kinds) else toks.places[min(far, len(toks.places) - 1)]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from .early import MARKS, first_early_error
 from .tables import EOF, Grammar
 
 CORE = r"""
@@ -33,10 +34,12 @@ binding = binding_pattern | ID
 binding_pattern = '[' ','* (binding_elem (','+ binding_elem)*)? ','* ']' | '{' (binding_prop (',' binding_prop)* ','?)? '}'
 binding_elem = '...' binding | binding ('=' assign)?
 binding_prop = '...' ID | prop_name ':' binding ('=' assign)? | ID ('=' assign)?
-if_stmt = 'if' '(' expr ')' stmt ('else' stmt)?
-while_stmt = 'while' '(' expr ')' stmt
-do_stmt = 'do' stmt 'while' '(' expr ')' ';'?
-for_stmt = 'for' 'await'? '(' for_head ')' stmt
+if_stmt = 'if' '(' expr ')' branch ('else' branch)?
+branch = !BINDS stmt
+sub_stmt = !DECLARES stmt
+while_stmt = 'while' '(' expr ')' sub_stmt
+do_stmt = 'do' sub_stmt 'while' '(' expr ')' ';'?
+for_stmt = 'for' 'await'? '(' for_head ')' sub_stmt
 for_head = ('var' | 'let' | 'const') binding type_note? ('of' assign | 'in' expr) | lhs ('of' assign | 'in' expr) | (('var' | 'let' | 'const') bind_any (',' bind_any)* | expr)? ';' expr? ';' expr?
 bind_any = binding type_note? ('=' assign)?
 type_note = NEVER
@@ -45,21 +48,23 @@ break_stmt = ('break' | 'continue') (@same_line ID)? @semi
 switch_stmt = 'switch' '(' expr ')' '{' case_clause* '}'
 case_clause = ('case' expr | 'default') ':' stmt*
 throw_stmt = 'throw' @same_line expr @semi
-try_stmt = 'try' block ('catch' ('(' binding type_note? ')')? block finally_part? | finally_part)
+try_stmt = 'try' block (catch_part finally_part? | finally_part)
+catch_part = 'catch' ('(' binding type_note? ')')? block
 finally_part = 'finally' block
 debugger_stmt = 'debugger' @semi
-labelled = ID ':' stmt
+labelled = ID ':' sub_stmt
 expr_stmt = !EXPRSTOP expr @semi
 function = ('async' @same_line)? 'function' '*'? ID? '(' params ')' block
 params = (param (',' param)*)? ','?
-param = '...' binding | binding ('=' assign)?
+param = '...' binding &CLOSING | binding ('=' assign)?
 class = decorators? 'class' (!HERITAGE ID)? class_heads '{' member* '}'
 class_heads = ('extends' unary)?
 decorators = ('@' decorator)+
 decorator = ('(' expr ')' | ID ('.' NAMES)*) ('(' args ')')?
-member = ';' | 'static' block | decorators? member_head
+member = ';' | static_block | decorators? member_head
+static_block = 'static' block
 member_head = ('static' !MEMBEREND)? (accessor | method | field)
-accessor = ('get' | 'set') member_name '(' params ')' block
+accessor = 'get' member_name '(' ')' block | 'set' member_name '(' param ','? ')' block
 method = ('async' @same_line !MEMBEREND)? '*'? member_name '(' params ')' block
 field = ('accessor' @same_line !MEMBEREND)? member_name ('=' assign)? @semi
 member_name = NAMES | PRIVATE | STRING | NUMBER | '[' assign ']'
@@ -72,9 +77,11 @@ lhs~ = pattern &PATTERNEND | reach
 pattern = '[' ','* (pattern_elem (','+ pattern_elem)*)? ','* ']' | '{' (pattern_prop (',' pattern_prop)* ','?)? '}'
 pattern_elem = '...' lhs | lhs ('=' assign)?
 pattern_prop = '...' lhs | prop_name ':' lhs ('=' assign)? | ID ('=' assign)?
-reach = primary (call* access)+ &REACHEND | ID &REACHEND | '(' reach ')' &REACHEND
+reach = primary (call* access)+ &REACHEND | ID &REACHEND | '(' inner_reach ')' &REACHEND
+inner_reach~ = reach
 cond = binary ('?' (assign ':' assign | binary ':' assign))?
-binary = unary (binop unary)*
+binary = chain ('??' chain ('??' chain)* !LOGIC | LOGIC chain (LOGIC chain)* !COALESCE)?
+chain = unary (binop unary)*
 binop = BINARY | '>' ('>' '>'?)?
 unary = UNARY* postfix
 postfix = member_expr (@same_line ('++' | '--'))?
@@ -90,7 +97,9 @@ primary = function | class | ID | LITERAL | 'this' | 'super' | NUMBER | STRING |
 import_call = 'import' ('(' assign (',' assign)? ','? ')' | '.' ID)
 array = '[' ','* (arg (','+ arg)*)? ','* ']'
 object = '{' (prop (',' prop)* ','?)? '}'
-prop = '...' assign | ('get' | 'set') prop_name '(' params ')' block | ('async' @same_line)? '*'? prop_name '(' params ')' block | prop_name ':' assign | ID !NOTSHORT
+prop = '...' assign | prop_accessor | prop_method | prop_name ':' assign | ID !NOTSHORT
+prop_accessor = 'get' prop_name '(' ')' block | 'set' prop_name '(' param ','? ')' block
+prop_method = ('async' @same_line)? '*'? prop_name '(' params ')' block
 template = TPLAIN | THEAD expr (TMID expr)* TTAIL
 arrow = arrow_head '=>' (block !AFTERBLOCK | !BRACE assign)
 arrow_head~ = ('async' @same_line)? ID @same_line &ARROW | ('async' @same_line)? '(' params ')' @same_line &ARROW
@@ -137,14 +146,15 @@ param = decorators? (PARAMMOD !PARAMNAMEEND)* ('...' binding type_note? | (bindi
 class = decorators? 'abstract'? 'class' (!HERITAGE ID)? type_params? class_heads '{' member* '}'
 class_heads = ('extends' unary type_args?)? ('implements' type_ref (',' type_ref)*)?
 decorator = ('(' expr ')' | ID ('.' NAMES)*) type_args? ('(' args ')')?
-member = ';' | 'static' block | decorators? member_head
+member = ';' | static_block | decorators? member_head
 member_head = (MEMBERMOD !MEMBEREND)* (index_member | accessor | method | field)
 index_member = '[' ID ':' type ']' type_note @semi
 accessor = ('get' | 'set') member_name '(' params ')' return_note? (block | @semi)
 method = ('async' @same_line !MEMBEREND)? '*'? member_name '?'? type_params? '(' params ')' return_note? (block | @semi)
 field = ('accessor' @same_line !MEMBEREND)? member_name ('?' | '!')? type_note? ('=' assign)? @semi
-binary = unary (binop unary | @same_line ('as' | 'satisfies') ('const' | type))*
-reach = primary (tcall* taccess)+ &REACHEND | ID '!'? &REACHEND | '(' reach ')' &REACHEND
+chain = unary (binop unary | @same_line ('as' | 'satisfies') ('const' | type))*
+reach = primary (tcall* taccess)+ &REACHEND | ID '!'? &REACHEND | '(' inner_reach ')' &REACHEND
+inner_reach~ = reach
 taccess = access | @same_line '!'
 tcall = call | type_args call
 trailer = access | call | @same_line '!' | type_args &AFTERTYPEARGS
@@ -196,7 +206,7 @@ _ASSIGN = ("=", "+=", "-=", "*=", "/=", "%=", "**=", "<<=", ">>=", ">>>=", "&=",
 CLASSES = {
     **{w: _c(w) for w in NAMED}, "EOFT": {EOF}, "NEVER": {"\x01"},
     "ID": _c("NAME", *(w for w in CONTEXTUAL if w not in STRICT)), "NAMES": _c("NAME", *RESERVED, *CONTEXTUAL), "LITERAL": _c("true", "false", "null"), "ASSIGNOP": _c(*_ASSIGN), "IMPORTCALL": _c("(", "."), "HERITAGE": _c("extends", "implements"),
-    "BINARY": _c("<", "<=", ">=", "==", "!=", "===", "!==", "+", "-", "*", "/", "%", "**", "<<", "&", "|", "^", "&&", "||", "??", "in", "instanceof"), "UNARY": _c("!", "~", "+", "-", "++", "--", "typeof", "void", "delete", "await"),
+    "BINARY": _c("<", "<=", ">=", "==", "!=", "===", "!==", "+", "-", "*", "/", "%", "**", "<<", "&", "|", "^", "in", "instanceof"), "LOGIC": _c("&&", "||"), "COALESCE": _c("??"), "BINDS": _c("const", "let", "class"), "DECLARES": _c("const", "let", "class", "function"), "CLOSING": _c(")"), "UNARY": _c("!", "~", "+", "-", "++", "--", "typeof", "void", "delete", "await"),
     "EXPRSTOP": _c("{", "function", "class"), "MEMBEREND": _c("(", "=", ";", "}", ":", "?", "!", ",", "<"), "PARAMNAMEEND": _c(",", ")", ":", "=", "?"), "PATTERNEND": _c(*_ASSIGN, "of", "in", ",", "]", "}", ")"), "REACHEND": _c(*_ASSIGN, "of", "in", ",", "]", "}", ")"),
     "INTOKEN": _c("in"), "NOTSHORT": _c("(", ":", "."), "ARROW": _c("=>"), "AFTERBLOCK": _c("(", "[", ".", "?."), "BRACE": _c("{"), "ASWORD": _c("as"), "QUESTION": _c("?"),
     "AFTERTYPEARGS": _c("(", "TPLAIN", "THEAD", ")", "]", ",", ";", ":", "}", ".", "?.", "==", "===", "!=", "!==", "&&", "||", "??") | {EOF}, "PARAMMOD": _c("public", "private", "protected", "readonly", "override"),
@@ -204,6 +214,7 @@ CLASSES = {
 }
 
 _ID = r"(?:[^\W\d]|[$_]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*"
+_NAME = re.compile(_ID)
 TOKEN = re.compile(
     r"(?:[ \t\v\f\xa0\ufeff\u1680\u2000-\u200a\u202f\u205f\u3000]++|//[^\n\r\u2028\u2029]*+)*+(?:"
     r"(" + _ID + r")"
@@ -428,15 +439,15 @@ def _steps(name: str, K: str, NL: list[bool]):
 STEPS = {"semi": None, "same_line": None, "member_end": None}
 VARIANTS = {".js": (False, False), ".jsx": (True, False), ".ts": (False, True), ".tsx": (True, True)}
 _MADE: dict[str, object] = {}
-KNOWN: dict[str, set[str]] = {}
+KNOWN: dict[str, dict[str, tuple]] = {}
 
 
 def tables(ext: str):
     if ext not in _MADE:
         jsx, types = VARIANTS[ext]
         text = CORE + (TYPES if types else "") + (JSX if jsx else "") + (CAST if types and not jsx else "")
-        _MADE[ext] = Grammar(text, CLASSES, CODE, STEPS).compile("program", skip={"stmt": _c("else", "while")})
-        KNOWN[ext] = set()
+        _MADE[ext] = Grammar(text, CLASSES, CODE, STEPS).compile("program", skip={"stmt": _c("else", "while")}, marks=() if types else MARKS)
+        KNOWN[ext] = {}
     return _MADE[ext]
 
 
@@ -451,8 +462,11 @@ def first_error(text: str, ext: str) -> int | None:
     known = KNOWN[ext]
     if len(known) > 200_000:
         known.clear()
-    got, far = parser.run(kinds, line_ends(toks.breaks, kinds), known, toks.breaks, _steps)
-    return None if got == len(kinds) else toks.places[min(far, len(toks.places) - 1)]
+    got, far, note = parser.run(kinds, line_ends(toks.breaks, kinds), known, toks.breaks, _steps)
+    if got == len(kinds):
+        bad = None if types else first_early_error(toks, kinds, note, CODE, CLASSES["ID"], _NAME)
+        return None if bad is None else toks.places[bad]
+    return toks.places[min(far, len(toks.places) - 1)]
 
 
 def line_ends(breaks: list[bool], kinds: str) -> list[int]:

@@ -11,8 +11,11 @@ access and any stretch of tokens a string that can itself be looked up.
 from __future__ import annotations
 
 import re
+import sys
 
 EOF = "\x00"
+#: Rules that may be open at once for each token of a text.
+FRAMES_A_TOKEN = 64
 _LEX = re.compile(r"\s*(?:([A-Za-z_]\w*~?)|('(?:[^'\\]|\\.)+')|(@\w+)|([=|?*+()&!;]))|\s*#[^\n]*")
 
 
@@ -138,11 +141,12 @@ class Grammar:
         return f, True, o
 
     # -- trees to the functions that consult the tables ------------------------------------------------------------
-    def compile(self, start: str, skip: dict[str, set[str]] | None = None):
+    def compile(self, start: str, skip: dict[str, set[str]] | None = None, marks: tuple[str, ...] = ()):
         """A parser for the rule ``start``.
 
         ``skip`` names rules which, met at the start of a line whose tokens are among the known lines, take the line,
-        unless one of the given tokens comes next, which could belong to it.
+        unless one of the given tokens comes next, which could belong to it.  Of the rules in ``marks`` it is noted
+        where they begin and end; a line taken as known brings the notes it was first read with.
         """
         lines: list[str] = []
         tables: dict[str, object] = {}
@@ -235,15 +239,23 @@ class Grammar:
                 out.append(f"{pad}p = q")
 
         for r, x in self.rules.items():
+            if r in marks:
+                define(f"u_{r}", x)
+                inner = [f"q = u_{r}(p)", f"if q >= 0: note.setdefault(p, {{}})[{r!r}] = q"]
             if r in self.memo:
                 define(f"m_{r}", x)
                 lines += [f"M_{r} = {{}}", f"def r_{r}(p):", f"    q = M_{r}.get(p)", f"    if q is None: q = M_{r}[p] = m_{r}(p)", "    return q"]
             elif skip and r in skip:
                 define(f"m_{r}", x)
-                lines += [f"def r_{r}(p):", "    e = ends[p]", f"    if e and K[e] not in {const(frozenset(skip[r]))} and K[p:e] in known: return e", f"    q = m_{r}(p)", "    if q == e and q > p: known.add(K[p:e])", "    return q"]
+                lines += [f"def r_{r}(p):", "    e = ends[p]", f"    if e and K[e] not in {const(frozenset(skip[r]))} and K[p:e] in known:"]
+                lines += ["        for i, d in known[K[p:e]]: note[p + i] = {r: p + q for r, q in d}", "        return e"] if marks else ["        return e"]
+                lines += [f"    q = m_{r}(p)", f"    if q == e and q > p: known[K[p:e]] = {'seen(p, e)' if marks else '()'}", "    return q"]
+            elif r in marks:
+                lines += [f"def r_{r}(p):", *[f"    {y}" for y in inner], "    return q"]
             else:
                 define(f"r_{r}", x)
-        src = ["K, NL, ends, known, far = '', (), (), set(), [0]", "def take(p): return p + 1", *lines]
+        src = ["K, NL, ends, known, far, note = '', (), (), {}, [0], {}", "def take(p): return p + 1"]
+        src += ["def seen(p, e): return tuple((i - p, tuple((r, q - p) for r, q in note[i].items())) for i in range(p, e) if i in note)", *lines]
         env: dict[str, object] = {t: v for t, v in tables.items() if t[0] != "A"}
         exec(compile("\n".join(src), f"<tables of {start}>", "exec"), env)  # noqa: S102 - code made from the bundled grammar alone
         for t, v in tables.items():
@@ -263,14 +275,15 @@ class Parser:
     def __init__(self, env: dict, start: str, memos: list[str], steps: list[str]):
         self.env, self.start, self.memos, self.steps = env, env[f"r_{start}"], [env[m] for m in memos], steps
 
-    def run(self, kinds: str, ends: list[int], known: set[str], breaks: list[bool] = (), make_step=None) -> tuple[int, int]:
-        """(place reached or -1, furthest place at which a token did not fit)."""
-        far = [0]
-        self.env.update(K=kinds, NL=breaks, ends=ends, known=known, far=far, **{f"s_{s}": make_step(s, kinds, breaks) for s in self.steps})
+    def run(self, kinds: str, ends: list[int], known: dict[str, tuple], breaks: list[bool] = (), make_step=None) -> tuple[int, int, dict[int, dict[str, int]]]:
+        """(place reached or -1, furthest place at which a token did not fit, ends of the noted rules by place).
+
+        The recursion is one of Python functions alone, whose frames lie on the heap, so its depth may grow with the
+        text; nesting never decides a verdict.
+        """
+        far, note = [0], {}
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES_A_TOKEN * len(kinds) + 10_000))
+        self.env.update(K=kinds, NL=breaks, ends=ends, known=known, far=far, note=note, **{f"s_{s}": make_step(s, kinds, breaks) for s in self.steps})
         for m in self.memos:
             m.clear()
-        try:
-            got = self.start(0)
-        except RecursionError:
-            got = -1
-        return got, far[0]
+        return self.start(0), far[0], note

@@ -98,3 +98,60 @@ def test_table(spark):
     got = sorted((str(r["path"]), r["valid"], r["error_line"]) for r in parse_files(df.drop("valid")).collect())
     assert got == [("None", None, None), ("a.py", True, None), ("b.py", False, 1), ("b.py", False, 1), ("c.js", None, None), ("d.js", True, None), ("e.txt", None, None), ("f.ts", False, 30_001)]
     assert parse_files(df.drop("valid").limit(0)).count() == 0
+
+
+FORBIDDEN = [
+    "return 1;", "if (a) { return }", "class A { static { return 1 } }", "function f() { await x; }", "const f = () => { await x }", "class A { static { await x } }", "function f() { yield 1 }", "function* g() { const f = () => { yield 1 } }",
+    "a ?? b || c", "a && b ?? c", "a || b ?? c", "let a; let a;", "let a; var a;", "var a; let a;", "let a; { var a; }", "function f(a) { let a }", "(a) => { const a = 1 }", "function f(a, a) {}", "([a], {b: a}) => 1", "function f() {} function f() {}", "{ function f() {} function f() {} }",
+    "class A {} let A", "switch (x) { case 1: let a; case 2: let a }", "try {} catch (e) { let e }", "const {a, b: [a]} = x", "import a from 'a'; import {b as a} from 'b'", "import * as a from 'a'; const a = 1", "export default 1; export default 2;",
+    "const a = 1; export {a}; export {a}", "export const a = 1; const b = 2; export {b as a}", "export function f() {} export {f}", "break;", "while (1) { continue } continue", "for (;;) { break b }", "for (;;) { function f() { break } }", "switch (x) { case 1: continue }", "if (1) let a", "if (1) class A {}",
+    "while (1) function f() {}", "function f(...a, b) {}", "x = {get a(b) {}}", "class A { set a() {} }",
+]
+ALLOWED = [
+    "function f() { return 1 }", "x = { return: 1, await: 2, yield: 3 }; x.return; x.await; x?.yield", "class A { await() {} static async return() { await x } *yield() { yield 1 } get await() { return 1 } }", "await x; for await (const y of z) {}", "const f = async (a) => await a", "async function* g() { yield await x }",
+    "x = { async *m() { yield await 1 } }", "(a ?? b) || c; a ?? (b && c); a || b && c; a ?? b ?? c; f(a ?? b, c || d); x = a ?? b\nc || d", "let a; { let a }", "let a; function f() { var a }", "var a; var a; function f(b) { var b }", "function g() { function f() {} function f() {} var f }",
+    "for (let i = 0;;) {} for (let i of x) { const i = 1 }", "try {} catch (e) { var e } try {} catch (e) { f(e) }", "a: for (;;) { for (;;) { continue a; break a } }", "switch (x) { case 1: break }", "import a, {b as c, default as d} from 'x'; import {e} from 'y'", "export {a as b}; export * from 'z'; export * as q from 'z'; export const c = 1", "const f = function a() { let a }; class B { m() { class B {} } }",
+    "function f({a, b: {c = a}}, [d]) { const e = 1; { const a = 2 } }", "let x = 1; const y = { x, z: x }; const {z, ...w} = y", "const a = 1, f = (b) => { const c = b; return c }, g = (b) => { const c = b; return c };\nconst h = (b) => { const c = b; return c };\nconst i = (b) => { const c = b; return c };",
+    "let await_ = 1; const from = 2, as = 3; f(from, as)", "if (a) b(); else if (c) d(); else { const e = 1 }", "if (a) { function f() {} } else { function f() {} }", "const f = async x => { await x }; const g = async () => { await y }", "do { if (x) continue; break } while (1)",
+]
+
+
+@pytest.mark.parametrize("ext", [".js", ".jsx"])
+@pytest.mark.parametrize("text", FORBIDDEN)
+def test_a_module_forbids(text, ext):
+    assert first_error(text, ext) is not None
+    assert first_error(f"const before = 1;\nf(before);\n{text}", ext) is not None
+    assert first_error(text, ext) is not None  # also when its lines are known
+
+
+@pytest.mark.parametrize("ext", [".js", ".jsx"])
+@pytest.mark.parametrize("text", ALLOWED)
+def test_a_module_allows(text, ext):
+    for _ in range(2):
+        at = first_error(text, ext)
+        assert at is None, text[:at] + "<HERE>" + text[at:]
+
+
+def test_known_lines_keep_what_they_declare():
+    line = "const a = (b) => { const c = b; return c; };\n"
+    assert first_error(line, ".js") is None and first_error(line.replace("a", "d"), ".js") is None
+    assert first_error(line + line, ".js") is not None
+    assert first_error("let q = 1;\nlet q = 1;\n", ".js") is not None
+
+
+@pytest.mark.parametrize("ext,text", [(".js", "[" * 20_000 + "]" * 20_000), (".ts", "(" * 20_000 + "1" + ")" * 20_000), (".js", "if (a) b(); else " * 20_000 + "c()"), (".py", "x = " + "not " * 20_000 + "1\n"), (".tsx", "a = " + "<b>" * 300 + "</b>" * 300)])
+def test_nesting_decides_nothing(ext, text):
+    assert first_error(text, ext) is None
+    assert first_error(text[:-1] if ext != ".py" else text[:-2], ext) is not None
+
+
+@pytest.mark.parametrize("text", ["'\\N{foo}'", "f'\\N{foo}'", "f'{a}\\N{foo}'", "r'\\N{foo}'", "b'\\N{foo}'", "'\\N{DIGIT ONE}'", "f'{1}\\N{DIGIT ONE}'", "'\\\\N{foo}'", "'\\N{DIGIT'"])
+def test_character_names(text):
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            ast.parse(text)
+            valid = True
+        except SyntaxError:
+            valid = False
+    assert (first_error(text, ".py") is None) == valid
