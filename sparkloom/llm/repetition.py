@@ -11,14 +11,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 
 #: Words of a phrase.
 PHRASE = 5
 #: Number or bullet that opens a list line.
 LIST_MARK = r"(?m)^[ \t>]*(?:\(?[0-9]{1,4}[.):]|[a-z][.)]|[-*+•])[ \t]+"
-#: A word, or one character of a script written without spaces.
-WORD = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]|[\p{L}\p{N}_&&[^\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}]]+"
+#: Scripts written without spaces, whose words are single characters.
+_SINGLE = r"\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}"
+#: A word, or one character of a script written without spaces; the first choice is that of plain words, taken fast.
+WORD = rf"[a-z0-9_]++(?![^\x00-\x7F])|[{_SINGLE}]|[\p{{L}}\p{{N}}_&&[^{_SINGLE}]]+"
+#: Stands for the end of a sentence or line, right behind its last word.
+END = "\x01"
+#: The signs and blanks between two words, if a line ends among them or a sentence: at a full stop with a blank.
+UNIT_GAP = r"(?<=[\p{L}\p{N}_])(?:(?=[^\p{L}\p{N}_]*?[\r\n。！？])|(?=[^\p{L}\p{N}_]*?[.!?])(?=[^\p{L}\p{N}_]*?(?:\s|\z)))[^\p{L}\p{N}_]++"
 #: Frequent words of the languages of the corpus.  Fixed values.
 STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "is", "for", "on", "with", "that", "it", "der", "die", "das", "und", "ist", "le", "la", "les", "et", "est", "el", "los", "y", "es", "en", "de", "des", "un", "une", "ein", "eine")
 
@@ -28,35 +34,74 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def words(text: Column) -> Column:
-    """Lower-case words without signs, spaces and list numbers."""
-    return F.regexp_extract_all(F.regexp_replace(F.lower(text), F.lit(LIST_MARK), F.lit("")), F.lit(WORD), F.lit(0))
+def even(text: Column) -> Column:
+    """Lower case without list numbers."""
+    return F.regexp_replace(F.lower(text), F.lit(LIST_MARK), F.lit(""))
 
 
-def phrase_hashes(w: Column, n: int) -> Column:
-    count = F.size(w) - n + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>"))
+def marked(evened: Column) -> Column:
+    """The text with ``END`` in place of what lies between two sentences or lines."""
+    return F.regexp_replace(evened, F.lit(UNIT_GAP), F.lit(END))
 
 
-def later_places(h: Column) -> Column:
-    """Places of ``h`` whose value occurred at an earlier place, in order of value."""
-    order = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    return let(order, lambda s: F.transform(F.filter(F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda a, b: F.when(a["h"] == b["h"], b["i"])), lambda i: i.isNotNull()), lambda i: i))
+def words(ended: Column) -> Column:
+    """Lower-case words without signs and spaces; a word that ends a sentence or line has ``END`` behind it."""
+    return F.regexp_extract_all(ended, F.lit(f"(?:{WORD}){END}?"), F.lit(0))
 
 
-def repeated_share(w: Column, n: int = PHRASE) -> Column:
-    """Share of the words' characters that lie in phrases of ``n`` words met earlier in the same list; 0 if none."""
+def places_said_before(w: Column, n: int = PHRASE) -> Column:
+    """Ranges (i, size) of words of ``w`` that occurred before: phrases of ``n`` words, and shorter sentences and lines.
 
-    def covered(ws: Column) -> Column:
-        def from_hashes(h: Column) -> Column:
-            places = F.array_distinct(F.flatten(F.transform(later_places(h), lambda i: F.sequence(i, i + n - 1))))
-            hit = F.aggregate(places, F.lit(0).cast("bigint"), lambda acc, i: acc + F.length(F.get(ws, i)))
-            total = F.aggregate(ws, F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x))
-            return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0.0)).otherwise(hit / total)
+    Sentences, lines and paragraphs of ``n`` words or more that recur consist of recurring phrases.
+    """
+    ends = F.transform(w, lambda x: F.endswith(x, F.lit(END)))
+    hashes = F.transform(w, lambda x: F.xxhash64(F.rtrim(x, F.lit(END))))
+
+    def both(z: Column) -> Column:
+        h, e = z["h"], z["e"]
+        count = F.size(h)
+
+        def phrase(i: Column) -> Column:
+            return F.struct(F.xxhash64(*[F.get(h, i + k) for k in range(n)]).alias("h"), i.alias("i"), F.lit(n).alias("size"))
+
+        def unit(i: Column) -> Column:
+            size = F.lit(None).cast("int")
+            of = F.lit(None).cast("bigint")
+            for k in range(n - 1, 0, -1):
+                last = F.coalesce(F.get(e, i + (k - 1)), F.lit(False)) | (i + k == count)
+                size = F.when(last, F.lit(k)).otherwise(size)
+                of = F.when(last, F.xxhash64(F.lit(k), *[F.get(h, i + j) for j in range(k)])).otherwise(of)
+            return F.struct(of.alias("h"), i.alias("i"), size.alias("size"))
+
+        every = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))
+        phrases = F.transform(F.slice(every, 1, F.greatest(count - n + 1, F.lit(0))), phrase)
+        starts = F.filter(every, lambda i: (i < count) & F.coalesce(F.get(e, i - 1), i == 0))
+        units = F.filter(F.transform(starts, unit), lambda u: u["size"].isNotNull())
+        return repeats(phrases, units)
+
+    return let(F.struct(hashes.alias("h"), ends.alias("e")), both)
+
+
+def repeats(*kinds: Column) -> Column:
+    """The (i, size) of those (h, i, size) whose h stands at an earlier i of its kind."""
+    none = F.array().cast("array<struct<i:int,size:int>>")
+
+    def later(s: Column) -> Column:
+        pairs = F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda a, b: F.when(a["h"] == b["h"], F.struct(b["i"].alias("i"), b["size"].alias("size"))))
+        return F.filter(pairs, lambda x: x.isNotNull())
 
-        return let(phrase_hashes(ws, n), from_hashes)
+    def of(kind: Column) -> Column:
+        return let(kind, lambda k: F.when(F.size(F.array_distinct(k["h"])) == F.size(k), none).otherwise(let(F.sort_array(k), later)))
 
-    return let(w, covered)
+    return F.concat(*[of(k) for k in kinds])
+
+
+def covered_share(w: Column, ranges: Column) -> Column:
+    """Share of the words' characters that lie in ``ranges``, each word counted once however many ranges hold it."""
+    places = F.array_distinct(F.flatten(F.transform(ranges, lambda r: F.sequence(r["i"], r["i"] + r["size"] - 1))))
+    hit = F.aggregate(places, F.lit(0).cast("bigint"), lambda acc, i: acc + F.length(F.rtrim(F.get(w, i), F.lit(END))))
+    total = F.aggregate(w, F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(F.rtrim(x, F.lit(END))))
+    return F.when(F.size(ranges) > 0, hit / total).otherwise(F.lit(0.0))
 
 
 def share_of_repeats(parts: Column) -> Column:
@@ -67,67 +112,97 @@ def share_of_repeats(parts: Column) -> Column:
 
 
 def plain(part: Column) -> Column:
-    """A line, sentence or paragraph without case, spacing, list number and end punctuation."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(part), LIST_MARK, ""), r"\s+", " "), r"[\p{P}\s]+$", ""))
+    """A line, sentence or paragraph without spacing and end punctuation."""
+    return F.trim(F.regexp_replace(F.regexp_replace(part, r"\s++", " "), r"(?<![\p{P}\s])[\p{P}\s]++$", ""))
 
 
-def pieces(text: Column, border: str) -> Column:
-    return F.filter(F.transform(F.split(text, border), plain), lambda x: x != "")
+def pieces(evened: Column, border: str) -> Column:
+    return F.filter(F.transform(F.split(evened, border), plain), lambda x: x != "")
 
 
-#: Ends of sentences and lines, with the signs and blanks around them.
-UNIT_END = r"[\p{P}\s]*\R\s*|[.!?。！？]+\s*"
+def units(ended: Column) -> Column:
+    """Sentences and lines without spacing and end punctuation, cut from the whole text at once."""
+    return F.filter(F.split(F.regexp_replace(ended, r"[ \t]++", " "), END), lambda x: x != "")
 
 
-def units(text: Column) -> Column:
-    """Sentences and lines without case, spacing, list numbers and end punctuation, cut from the whole text at once."""
-    even = F.regexp_replace(F.regexp_replace(F.lower(text), LIST_MARK, ""), r"[ \t]+", " ")
-    return F.filter(F.split(even, UNIT_END), lambda x: x != "")
+@dataclass(frozen=True)
+class Text:
+    """What the measures read, each worked out once per row."""
+
+    text: Column
+    even: Column
+    ended: Column
+    words: Column
+    said: Column
 
 
 @dataclass(frozen=True)
 class Measure:
-    """A row of the threshold table: a name, what it measures and, if it decides, at which value a text is flagged."""
+    """A row of the threshold table: a name, what it measures, and what decides.
+
+    A text is flagged if some measure reaches its ``at_least``, provided that every measure keeps its bounds ``least``
+    and ``most``.
+    """
 
     name: str
-    of: Callable[[Column], Column]
+    of: Callable[[Text], Column]
     at_least: float | None = None
+    least: float | None = None
+    most: float | None = None
+
+
+def share(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
 MEASURES = (
-    Measure("n_chars", lambda t: F.length(t)),
-    Measure("n_words", lambda t: F.size(words(t))),
-    Measure("symbol_share", lambda t: F.when(F.length(t) > 0, F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s]", "")) / F.length(t)).otherwise(F.lit(0.0))),
-    Measure("stop_word_share", lambda t: let(words(t), lambda w: F.when(F.size(w) > 0, F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))) / F.size(w)).otherwise(F.lit(0.0)))),
-    Measure("repeated_line_share", lambda t: let(pieces(t, r"\R"), share_of_repeats)),
-    Measure("repeated_unit_share", lambda t: let(units(t), share_of_repeats), at_least=0.4),
-    Measure("repeated_paragraph_share", lambda t: let(pieces(t, r"\R[ \t]*\R\s*"), share_of_repeats)),
-    Measure("repeated_share", lambda t: repeated_share(words(t)), at_least=0.4),
+    Measure("n_chars", lambda t: F.length(t.text)),
+    Measure("n_words", lambda t: F.size(t.words), least=2),
+    Measure("symbol_share", lambda t: share(F.length(F.regexp_replace(t.text, r"[\p{L}\p{N}\s]++", "")), F.length(t.text)), most=0.95),
+    Measure("stop_word_share", lambda t: share(F.size(F.filter(t.words, lambda x: F.rtrim(x, F.lit(END)).isin(*STOP_WORDS))), F.size(t.words))),
+    Measure("repeated_line_share", lambda t: let(pieces(t.even, r"\R"), share_of_repeats), at_least=0.4),
+    Measure("repeated_unit_share", lambda t: let(units(t.ended), share_of_repeats), at_least=0.4),
+    Measure("repeated_paragraph_share", lambda t: let(pieces(t.even, r"\R[ \t]*+\R\s*+"), share_of_repeats), at_least=0.4),
+    Measure("repeated_share", lambda t: covered_share(t.words, F.filter(t.said, lambda r: r["size"] >= PHRASE))),
+    Measure("said_before_share", lambda t: covered_share(t.words, t.said), at_least=0.4),
 )
 
 
 def measure(df: DataFrame, text: str = "text", measures: tuple[Measure, ...] = MEASURES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, one column per measure and ``flagged``: some measure with a threshold reaches it.
+    """``keep``, one column per measure and ``flagged``, as the table of measures decides.
 
-    One projection over the whole text of every row.  A null text counts as empty: all measures 0, not flagged; so
-    does a blank one but for its length.  Repeated rows and further columns change nothing.
+    Projections over the whole text of every row.  A null text counts as empty: all measures 0, not flagged; so does a
+    blank one but for its length.  Repeated rows and further columns change nothing.  said_before_share is the share
+    of the words' characters in the union of all that was said before: phrases, sentences, lines and paragraphs.
     """
+    named = [f"_keep{i}" for i in range(len(keep))]
     t = F.coalesce(F.col(text), F.lit(""))
-    got = df.select(*keep, *[m.of(t).alias(m.name) for m in measures])
-    hit = F.lit(False)
+    step = df.select(*[F.col(c).alias(k) for c, k in zip(keep, named)], t.alias("_text"), even(t).alias("_even"))
+    step = step.select("*", marked(F.col("_even")).alias("_ended"))
+    step = step.select("*", words(F.col("_ended")).alias("_words"))
+    step = step.select("*", places_said_before(F.col("_words")).alias("_said"))
+    of = Text(*[F.col(c) for c in ("_text", "_even", "_ended", "_words", "_said")])
+    got = step.select(*[F.col(k).alias(c) for k, c in zip(named, keep)], *[m.of(of).alias(m.name) for m in measures])
+    hit, kept = F.lit(False), F.lit(True)
     for m in measures:
         if m.at_least is not None:
             hit = hit | (F.col(m.name) >= m.at_least)
-    return got.withColumn("flagged", hit)
+        if m.least is not None:
+            kept = kept & (F.col(m.name) >= m.least)
+        if m.most is not None:
+            kept = kept & (F.col(m.name) <= m.most)
+    return got.withColumn("flagged", hit & kept)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deciding = tuple(m for m in MEASURES if m.at_least is not None)
-    return measure(table(spark, sf_dir, "documents"), measures=deciding).where("flagged").select("doc_id").distinct()
+    got = measure(spread(table(spark, sf_dir, "documents"), "doc_id"))
+    # with a row number the projection stays below the filter; the optimizer would else put its expressions, many times
+    # over, in the place of every name in the condition
+    return got.withColumn("_row", F.monotonically_increasing_id()).where("flagged AND _row >= 0").select("doc_id").distinct()
 
 
 def p10_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure(table(spark, sf_dir, "documents")).select("doc_id", *[F.round(F.col(m.name), 6).alias(m.name) for m in MEASURES], "flagged")
+    return measure(spread(table(spark, sf_dir, "documents"), "doc_id")).select("doc_id", *[F.round(F.col(m.name), 6).alias(m.name) for m in MEASURES], "flagged")
 
 
 QUERIES = {"p10_found": p10_found, "p10_measures": p10_measures}

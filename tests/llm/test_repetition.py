@@ -60,3 +60,67 @@ def test_short_lines_and_sentences_between_others(spark):
     assert got[1]["flagged"] and got[1]["repeated_unit_share"] > 0.6
     assert 0 < got[2]["repeated_unit_share"] < 0.4 and not got[2]["flagged"]
     assert got[3]["repeated_unit_share"] == 0 and not got[3]["flagged"]
+
+
+def union_brute(text, n=5):
+    """Share of word characters in repeated phrases of n words or in repeated shorter sentences and lines."""
+    text = re.sub(r"(?m)^[ \t>]*(?:\(?[0-9]{1,4}[.):]|[a-z][.)]|[-*+•])[ \t]+", "", text.lower())
+    w, ends, last = [], [], None
+    for m in TOKEN.finditer(text):
+        if last is not None:
+            gap = text[last : m.start()]
+            ends.append(bool(re.search(r"[\r\n。！？]", gap) or re.search(r"[.!?]", gap) and re.search(r"\s", gap)))
+        w.append(m[0])
+        last = m.end()
+    ends.append(True)
+    hit, seen, begin = [False] * len(w), set(), 0
+    for i in range(len(w) - n + 1):
+        g = tuple(w[i : i + n])
+        if g in seen:
+            hit[i : i + n] = [True] * n
+        seen.add(g)
+    for i in range(len(w)):
+        if ends[i]:
+            u = ("unit", *w[begin : i + 1])
+            if i + 1 - begin < n:
+                if u in seen:
+                    hit[begin : i + 1] = [True] * (i + 1 - begin)
+                seen.add(u)
+            begin = i + 1
+    total = sum(map(len, w))
+    return sum(len(x) for x, h in zip(w, hit) if h) / total if total else 0.0
+
+
+def test_the_union_of_all_that_was_said_before(spark):
+    import random
+
+    rng = random.Random(1)
+    words = ["alpha", "beta", "größe", "x1", "der", "漢", "字", "It", "e.g", "foo_bar"]
+    texts = [t or "" for t in TEXTS]
+    for _ in range(150):
+        texts.append("".join(rng.choice(words) + rng.choice([" ", " ", " ", ". ", "\n", ", ", "! ", ".", "\r\n- ", "。", "\n\n3) ", " . "]) for _ in range(rng.randrange(1, 60))))
+    short = "\n".join(f"{' '.join(f'w{i}x{k}' for k in range(7))}\nNo more." for i in range(8))
+    long = " ".join(["one two three four five six"] * 3)
+    texts.append(short + "\n" + long)
+    got = {r["doc_id"]: r for r in R.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["said_before_share"] == pytest.approx(union_brute(t), abs=1e-9), t
+
+
+def test_shares_below_the_threshold_add_up(spark):
+    unique = [" ".join(f"w{i}x{k}" for k in range(5)) for i in range(12)]
+    lines = "\n".join(x for u in unique for x in (u, "All fine here."))
+    phrases = " ".join(f"the very same long phrase of words {i}" for i in range(8))
+    text = lines + "\n" + phrases
+    r = R.measure(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert r["repeated_share"] < 0.4 and r["repeated_unit_share"] < 0.4 and r["said_before_share"] >= 0.4 and r["flagged"]
+
+
+def test_bounds_of_length_and_symbols_decide(spark):
+    df = spark.createDataFrame([(1, "word"), (2, "ok\nok"), (3, "=" * 500 + "\nok\n" + "=" * 500 + "\nok")], "doc_id long, text string")
+    assert {r["doc_id"]: r["flagged"] for r in R.measure(df).collect()} == {1: False, 2: True, 3: False}
+
+
+def test_long_runs_of_signs_and_blanks(spark):
+    df = spark.createDataFrame([(1, " " * 300_000 + "a" + "-" * 300_000 + "b" + ". " * 200_000)], "doc_id long, text string")
+    assert not R.measure(df).collect()[0]["flagged"]
