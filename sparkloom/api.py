@@ -150,7 +150,7 @@ class Engine:
         near: dict[tuple[str, str], list[str]] = {}
         for side, other in (("dst", "src"), ("src", "dst")):
             few = lookup.first_names(e.where(F.col(side).isin(names)), side, other, "shown", s.usages_shown)
-            near |= {(r[side], side): r["shown"].split(",") for r in few.collect()}
+            near |= {(r[side], side): r["shown"] for r in few.collect()}
         out = [f"# {question}", "", "## Entities"]
         for r in rows:
             out.append(f"- {r['qualified_name']} ({r['node_type']}) in {r['file_path']}:{r['start_line']}")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DRIFTED, SETTINGS
-from ..session import table
+from ..session import cut_lineage, table
 from .graph import CALLS, EDGES, FILES, IMPORTS, NODES, all_edges, calls, files, imports, nodes
+from .skew import SALTS
 
 SHOWN = ["qualified_name", "name", "node_type", "file_path", "start_line"]
 
@@ -94,7 +97,7 @@ def callees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def class_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes with their methods; a class without methods has none of them."""
     n = nodes(spark, sf_dir, "name", "parent_class", "file_path")
-    m = n.where("node_type = 'Method' AND parent_class IS NOT NULL").groupBy(F.col("parent_class").alias("qualified_name")).agg(F.count("*").alias("n_methods"), F.array_join(F.slice(F.sort_array(F.collect_list("name")), 1, 50), ",").alias("methods"))
+    m = n.where("node_type = 'Method' AND parent_class IS NOT NULL").groupBy(F.col("parent_class").alias("qualified_name")).agg(F.count("*").alias("n_methods"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("methods"))
     return n.where("node_type = 'Class'").join(m, "qualified_name", "left").select("qualified_name", "file_path", F.coalesce("n_methods", F.lit(0)).alias("n_methods"), F.coalesce("methods", F.lit("")).alias("methods"))
 
 
@@ -110,12 +113,12 @@ def file_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_names(df: DataFrame, key: str, value: str, out: str, n: int = SETTINGS.related_shown) -> DataFrame:
-    """The first ``n`` values of each key in order, without collecting more than n per task and key."""
+    """The first ``n`` values of each key in order, as an array, without collecting more than n per task and key."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(key).orderBy(value)
     top = df.select(key, value).distinct().withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
-    return top.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(value)), ",").alias(out))
+    return top.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias(out))
 
 
 def implementation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,31 +129,52 @@ def implementation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = first_names(e.select(F.col("src").alias("qualified_name"), F.col("dst").alias("x")), "qualified_name", "x", "callees")
     s = first_names(n.select("file_path", F.col("qualified_name").alias("x")), "file_path", "x", "in_file", SETTINGS.related_shown + 1)
     got = n.join(a, "qualified_name", "left").join(b, "qualified_name", "left").join(s, "file_path", "left")
-    siblings = F.array_join(F.slice(F.filter(F.split("in_file", ","), lambda x: x != F.col("qualified_name")), 1, SETTINGS.related_shown), ",")
-    return got.select("qualified_name", F.coalesce("callers", F.lit("")).alias("callers"), F.coalesce("callees", F.lit("")).alias("callees"), F.coalesce(siblings, F.lit("")).alias("siblings"))
+    siblings = F.slice(F.filter("in_file", lambda x: x != F.col("qualified_name")), 1, SETTINGS.related_shown)
+    return got.select("qualified_name", *[F.coalesce(F.array_join(x, ","), F.lit("")).alias(c) for c, x in (("callers", "callers"), ("callees", "callees"), ("siblings", siblings))])
 
 
 def usage_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each call, how many other entities the caller uses and the first of them."""
     e = calls(spark, sf_dir)
     used = first_names(e, "src", "dst", "used", SETTINGS.usages_shown + 1).join(e.groupBy("src").agg(F.count("*").alias("n")), "src")
-    others = F.array_join(F.slice(F.filter(F.split("used", ","), lambda x: x != F.col("dst")), 1, SETTINGS.usages_shown), ",")
+    others = F.array_join(F.slice(F.filter("used", lambda x: x != F.col("dst")), 1, SETTINGS.usages_shown), ",")
     return e.join(used, "src").select(F.col("dst").alias("target"), F.col("src").alias("user"), (F.col("n") - 1).alias("n_others"), others.alias("others"))
 
 
+#: Characters of the pieces names are joined on.
+GRAM = 3
+
+
 def module_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports with the number of entities that bear the imported name or hold it in their qualified name.
 
-    The substring test is joined on three-letter grams: each name by its first gram, each qualified name by all of
-    its own; the test itself follows.  Names under three letters are compared in full only.
+    A name of up to three characters is held by a qualified name that has it among its pieces of that length, which is
+    counted per piece and joined once.  Longer names are joined on their rarest piece of three characters with all
+    pieces of the qualified names, salted; the test itself follows.  An entity that bears a name without holding it in
+    its qualified name is added.
     """
     i = imports(spark, sf_dir).where("name IS NOT NULL AND name <> ''").select("file_path", "name").distinct()
-    names = i.select("name").distinct()
-    n = nodes(spark, sf_dir, "name").select("qualified_name", F.col("name").alias("entity"))
-    grams = n.where(F.length("qualified_name") >= 3).select("qualified_name", "entity", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("qualified_name") - 2), lambda k: F.substring("qualified_name", k, 3)))).alias("gram"))
-    held = names.where(F.length("name") >= 3).withColumn("gram", F.substring("name", 1, 3)).join(grams, "gram").where(F.col("qualified_name").contains(F.col("name"))).select("name", "qualified_name")
-    named = names.join(n, names["name"] == n["entity"]).select(names["name"], "qualified_name")
-    hits = held.unionByName(named).distinct().groupBy("name").agg(F.count("*").alias("n_entities"), F.min("qualified_name").alias("first_entity"))
+    names = cut_lineage(i.select("name").distinct())
+    n = cut_lineage(nodes(spark, sf_dir, "name").select("qualified_name", F.col("name").alias("entity")))
+
+    def pieces(text: str, size: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda k: F.substring(F.col(text), k, size)))
+
+    def of(size: int) -> DataFrame:
+        return n.where(F.length("qualified_name") >= size).select("qualified_name", F.explode(pieces("qualified_name", F.lit(size))).alias("gram"))
+
+    counted = reduce(DataFrame.unionByName, [of(k) for k in range(1, GRAM + 1)]).groupBy("gram").agg(F.count("*").alias("n_held"), F.min("qualified_name").alias("first_held"))
+    counted = cut_lineage(counted)
+    short = names.where(F.length("name") <= GRAM).join(counted, F.col("name") == F.col("gram")).select("name", F.col("n_held").alias("n"), F.col("first_held").alias("first"))
+    long = names.where(F.length("name") > GRAM)
+    rarest = long.select("name", F.explode(pieces("name", F.lit(GRAM))).alias("gram")).join(counted, "gram").groupBy("name").agg(F.min_by("gram", F.struct("n_held", "gram")).alias("gram"), F.count("*").alias("n_met"))
+    asked = rarest.join(long.select("name", F.size(pieces("name", F.lit(GRAM))).alias("n_pieces")), "name").where("n_met = n_pieces").select("name", "gram")
+    # the pieces of qualified names have hot values: they are spread by qualified name, the asked names repeated
+    grams = of(GRAM).join(asked.select("gram").distinct(), "gram", "left_semi").withColumn("_salt", F.pmod(F.xxhash64("qualified_name"), F.lit(SALTS)))
+    salted = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    held = salted.join(grams, ["gram", "_salt"]).where(F.col("qualified_name").contains(F.col("name"))).groupBy("name").agg(F.count("*").alias("n"), F.min("qualified_name").alias("first"))
+    apart = n.where(~F.col("qualified_name").contains(F.col("entity"))).groupBy(F.col("entity").alias("name")).agg(F.count("*").alias("n"), F.min("qualified_name").alias("first")).join(names, "name", "left_semi")
+    hits = short.unionByName(held).unionByName(apart).groupBy("name").agg(F.sum("n").alias("n_entities"), F.min("first").alias("first_entity"))
     return i.join(hits, "name", "left").select("file_path", "name", F.coalesce("n_entities", F.lit(0)).alias("n_entities"), "first_entity")
 
 
@@ -257,7 +281,7 @@ SQL = {
     "project_files": f"WITH {FILES} SELECT p.project_name, count(DISTINCT f.path) AS n_files FROM projects p LEFT JOIN files f ON starts_with(f.path, p.path || '/') GROUP BY p.project_name, p.path",
     "callers": f"WITH {CALLS} SELECT dst AS target, name AS caller_name, qualified_name, node_type, file_path FROM e_calls JOIN nodes ON src = qualified_name",
     "callees": f"WITH {CALLS} SELECT src AS source, name AS callee_name, qualified_name, node_type, file_path FROM e_calls JOIN nodes ON dst = qualified_name",
-    "class_with_methods": f"WITH {NODES} SELECT c.qualified_name, c.file_path, count(m.qualified_name) AS n_methods, coalesce(array_to_string(list(m.name ORDER BY m.name)[1:50], ','), '') AS methods FROM nodes c LEFT JOIN nodes m ON m.node_type = 'Method' AND m.parent_class = c.qualified_name WHERE c.node_type = 'Class' GROUP BY c.qualified_name, c.file_path",
+    "class_with_methods": f"WITH {NODES} SELECT c.qualified_name, c.file_path, count(m.qualified_name) AS n_methods, coalesce(array_to_string(list(m.name ORDER BY m.name), ','), '') AS methods FROM nodes c LEFT JOIN nodes m ON m.node_type = 'Method' AND m.parent_class = c.qualified_name WHERE c.node_type = 'Class' GROUP BY c.qualified_name, c.file_path",
     "file_context": f"""WITH {EDGES} SELECT file_path, qualified_name, node_type, start_line,
       (SELECT count(*) FROM edges e WHERE e.edge_type = 'CALLS' AND e.src = n.qualified_name) AS n_callees, (SELECT count(*) FROM edges e WHERE e.edge_type = 'CALLS' AND e.dst = n.qualified_name) AS n_callers,
       (SELECT count(*) FROM edges e WHERE e.edge_type = 'EXTENDS' AND e.src = n.qualified_name) AS n_parents, (SELECT count(*) FROM edges e WHERE e.edge_type = 'EXTENDS' AND e.dst = n.qualified_name) AS n_children FROM nodes n""",
@@ -268,7 +292,7 @@ SQL = {
     "usage_patterns": f"""WITH {CALLS} SELECT u.dst AS target, u.src AS user, count(o.dst) AS n_others, coalesce(array_to_string(list(o.dst ORDER BY o.dst) FILTER (WHERE o.dst IS NOT NULL)[1:5], ','), '') AS others
       FROM e_calls u LEFT JOIN e_calls o ON o.src = u.src AND o.dst <> u.dst GROUP BY u.dst, u.src""",
     "module_dependencies": f"""WITH {NODES}, {IMPORTS}, i AS (SELECT DISTINCT file_path, name FROM e_imports WHERE name <> ''),
-      h AS (SELECT i.name, count(*) AS n_entities, min(n.qualified_name) AS first_entity FROM (SELECT DISTINCT name FROM i) i JOIN nodes n ON n.name = i.name OR length(i.name) >= 3 AND contains(n.qualified_name, i.name) GROUP BY i.name)
+      h AS (SELECT i.name, count(*) AS n_entities, min(n.qualified_name) AS first_entity FROM (SELECT DISTINCT name FROM i) i JOIN nodes n ON n.name = i.name OR contains(n.qualified_name, i.name) GROUP BY i.name)
       SELECT file_path, i.name, coalesce(n_entities, 0) AS n_entities, first_entity FROM i LEFT JOIN h ON h.name = i.name""",
     "chunk_links": f"WITH {NODES}, {_L} SELECT link_id, document_chunk_id, code_entity_qualified_name, link_type, confidence_score, coalesce(node_type, 'unknown') AS entity_type, coalesce(file_path, '') AS entity_file FROM links LEFT JOIN nodes ON qualified_name = code_entity_qualified_name",
     "entity_documentation": f"WITH {_L}, {_C} SELECT code_entity_qualified_name AS qualified_name, link_id, chunk_id, d.relative_path, d.title, heading_level, c.start_line AS chunk_line, confidence_score FROM links JOIN chunks c ON chunk_id = document_chunk_id JOIN documents d ON d.doc_id = c.doc_id",

@@ -59,10 +59,18 @@ def calls_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(bearers, "name").select("caller", "name", "n_methods", "first_method")
 
 
+def name_bearers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The methods behind each name of ``calls_by_name``: a caller is linked to every bearer of its row's name."""
+    n = nodes(spark, sf_dir, "name")
+    asked = calls_by_name(spark, sf_dir).select("name").distinct()
+    return n.where("node_type = 'Method'").join(asked, "name", "left_semi").select("name", F.col("qualified_name").alias("method"))
+
+
 _LANG = rf"{FILES}, p AS (SELECT project_name, regexp_extract(path, '\.(\w+)$', 1) AS extension, count(*) AS n_files, coalesce(sum(line_count), 0)::BIGINT AS n_lines FROM files GROUP BY 1, 2)"
 
 QUERIES = {
-    "project_languages": project_languages, "folder_tree": folder_tree, "external_dependencies": external_dependencies, "entry_points": entry_points, "file_summaries": file_summaries, "calls_by_name": calls_by_name
+    "project_languages": project_languages, "folder_tree": folder_tree, "external_dependencies": external_dependencies, "entry_points": entry_points, "file_summaries": file_summaries, "calls_by_name": calls_by_name,
+    "name_bearers": name_bearers,
 }
 SQL = {
     "project_languages": f"WITH {_LANG} SELECT project_name, extension, n_files, n_lines, round(CASE WHEN t > 0 THEN n_lines / t ELSE 0 END, 6) AS share FROM p JOIN (SELECT project_name, sum(n_lines)::DOUBLE AS t FROM p GROUP BY 1) USING (project_name)",
@@ -75,4 +83,6 @@ SQL = {
       FROM files LEFT JOIN nodes ON file_path = path GROUP BY path, line_count""",
     "calls_by_name": rf"""WITH {NODES}, a AS (SELECT DISTINCT caller, regexp_extract(trim(c), '([^.()]+)(?:\(\))?$', 1) AS name FROM (SELECT qualified_name AS caller, unnest(calls) AS c FROM nodes)),
       b AS (SELECT name, count(*) AS n_methods, min(qualified_name) AS first_method FROM nodes WHERE node_type = 'Method' GROUP BY 1) SELECT caller, name, n_methods, first_method FROM a JOIN b USING (name) WHERE name <> '' AND NOT starts_with(name, '_')""",
+    "name_bearers": rf"""WITH {NODES}, a AS (SELECT DISTINCT regexp_extract(trim(c), '([^.()]+)(?:\(\))?$', 1) AS name FROM (SELECT unnest(calls) AS c FROM nodes))
+      SELECT n.name, n.qualified_name AS method FROM nodes n JOIN a ON a.name = n.name WHERE n.node_type = 'Method' AND a.name <> '' AND NOT starts_with(a.name, '_')""",
 }

@@ -141,14 +141,15 @@ def hierarchy_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For classes: entities within two steps of any edge in either direction, with the smallest distance, 20 each.
+    """For classes: nodes within two steps of any edge in either direction, with the smallest distance, 20 each.
 
-    Of each node in between only its first 21 neighbours are followed: one may be the class itself, and any later one
+    Files and imports are nodes like entities.  Of each node in between only its first 21 neighbours are followed: one may be the class itself, and any later one
     has 20 before it, so hubs do not multiply and nothing that belongs to the result is lost.
     """
     from pyspark.sql import Window
 
-    e = all_edges(spark, sf_dir).where("edge_type <> 'IMPORTS' AND edge_type <> 'DEFINES'").select("src", "dst").distinct()
+    e = all_edges(spark, sf_dir).select("src", "dst").distinct()
+    e = e.where("src IS NOT NULL AND dst IS NOT NULL")
     both = cut_lineage(e.unionByName(reverse(e)).distinct())
     starts = nodes(spark, sf_dir, "name").where("node_type = 'Class'").select(F.col("qualified_name").alias("origin"))
     one = starts.join(both, starts["origin"] == both["src"]).select("origin", F.col("dst").alias("at"), F.lit(1).alias("distance"))
@@ -260,7 +261,7 @@ SQL = {
     "class_hierarchy": f"""WITH RECURSIVE {EXTENDS}, {_EXT}, rext AS (SELECT dst AS src, src AS dst FROM ext), {_trail_sql('ext', 5)}, {_trail_sql('rext', 5).replace('t AS', 'd AS', 1).replace('FROM t JOIN', 'FROM d JOIN').replace('t.', 'd.')}
       SELECT DISTINCT origin AS class_name, at_node AS related, depth, 'ancestor' AS direction FROM t WHERE origin <> at_node UNION ALL SELECT DISTINCT origin, at_node, depth, 'descendant' FROM d WHERE origin <> at_node""",
     "hierarchy_chains": f"WITH RECURSIVE {NODES}, {EXTENDS}, {_EXT}, {_trail_sql('ext', 5)} SELECT qualified_name AS class_name, 0 AS depth, qualified_name AS chain FROM nodes WHERE node_type = 'Class' UNION ALL SELECT origin, depth, path FROM t",
-    "related_entities": f"""WITH {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type NOT IN ('IMPORTS', 'DEFINES')), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+    "related_entities": f"""WITH {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges WHERE src IS NOT NULL AND dst IS NOT NULL), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
       one AS (SELECT n.qualified_name AS origin, u.dst AS at_node, 1 AS distance FROM nodes n JOIN u ON u.src = n.qualified_name WHERE n.node_type = 'Class'), two AS (SELECT origin, u.dst AS at_node, 2 AS distance FROM one JOIN u ON u.src = one.at_node),
       near AS (SELECT origin, at_node, min(distance) AS distance FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE origin <> at_node GROUP BY 1, 2)
       SELECT origin AS class_name, at_node AS related, distance FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY distance, at_node) AS n FROM near) WHERE n <= 20""",
