@@ -19,12 +19,13 @@ PHRASE = 5
 LIST_MARK = r"(?m)^[ \t>]*(?:\(?[0-9]{1,4}[.):]|[a-z][.)]|[-*+•])[ \t]+"
 #: Scripts written without spaces, whose words are single characters.
 _SINGLE = r"\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}"
-#: A word, or one character of a script written without spaces; the first choice is that of plain words, taken fast.
-WORD = rf"[a-z0-9_]++(?![^\x00-\x7F])|[{_SINGLE}]|[\p{{L}}\p{{N}}_&&[^{_SINGLE}]]+"
+#: A word; and the same where characters of such a script are among the letters.
+WORD = r"[\p{L}\p{N}_]++"
+MIXED_WORD = rf"[{_SINGLE}]|[\p{{L}}\p{{N}}_&&[^{_SINGLE}]]++"
 #: Stands for the end of a sentence or line, right behind its last word.
 END = "\x01"
 #: The signs and blanks between two words, if a line ends among them or a sentence: at a full stop with a blank.
-UNIT_GAP = r"(?<=[\p{L}\p{N}_])(?:(?=[^\p{L}\p{N}_]*?[\r\n。！？])|(?=[^\p{L}\p{N}_]*?[.!?])(?=[^\p{L}\p{N}_]*?(?:\s|\z)))[^\p{L}\p{N}_]++"
+UNIT_GAP = r"(?=[^\p{L}\p{N}_])(?<=[\p{L}\p{N}_])(?:(?=[^\p{L}\p{N}_]*?[\r\n。！？])|(?=[^\p{L}\p{N}_]*?[.!?])(?=[^\p{L}\p{N}_]*?(?:\s|\z)))[^\p{L}\p{N}_]++"
 #: Frequent words of the languages of the corpus.  Fixed values.
 STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "is", "for", "on", "with", "that", "it", "der", "die", "das", "und", "ist", "le", "la", "les", "et", "est", "el", "los", "y", "es", "en", "de", "des", "un", "une", "ein", "eine")
 
@@ -35,8 +36,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def even(text: Column) -> Column:
-    """Lower case without list numbers."""
-    return F.regexp_replace(F.lower(text), F.lit(LIST_MARK), F.lit(""))
+    """Lower case without list numbers, one blank for several."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), F.lit(LIST_MARK), F.lit("")), F.lit(r"[ \t][ \t]++"), F.lit(" "))
 
 
 def marked(evened: Column) -> Column:
@@ -46,7 +47,11 @@ def marked(evened: Column) -> Column:
 
 def words(ended: Column) -> Column:
     """Lower-case words without signs and spaces; a word that ends a sentence or line has ``END`` behind it."""
-    return F.regexp_extract_all(ended, F.lit(f"(?:{WORD}){END}?"), F.lit(0))
+
+    def every(word: str) -> Column:
+        return F.regexp_extract_all(ended, F.lit(f"(?:{word}){END}?"), F.lit(0))
+
+    return F.when(ended.rlike(f"[{_SINGLE}]"), every(MIXED_WORD)).otherwise(every(WORD))
 
 
 def places_said_before(w: Column, n: int = PHRASE) -> Column:
@@ -60,40 +65,37 @@ def places_said_before(w: Column, n: int = PHRASE) -> Column:
     def both(z: Column) -> Column:
         h, e = z["h"], z["e"]
         count = F.size(h)
+        every = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))
+        phrases = F.transform(F.slice(every, 1, F.greatest(count - n + 1, F.lit(0))), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
+        starts = F.filter(every, lambda i: F.coalesce(F.get(e, i - 1), (i == 0) & (count > 0)))
 
-        def phrase(i: Column) -> Column:
-            return F.struct(F.xxhash64(*[F.get(h, i + k) for k in range(n)]).alias("h"), i.alias("i"), F.lit(n).alias("size"))
-
-        def unit(i: Column) -> Column:
-            size = F.lit(None).cast("int")
-            of = F.lit(None).cast("bigint")
+        def size(i: Column) -> Column:
+            got = F.lit(None).cast("int")
             for k in range(n - 1, 0, -1):
-                last = F.coalesce(F.get(e, i + (k - 1)), F.lit(False)) | (i + k == count)
-                size = F.when(last, F.lit(k)).otherwise(size)
-                of = F.when(last, F.xxhash64(F.lit(k), *[F.get(h, i + j) for j in range(k)])).otherwise(of)
-            return F.struct(of.alias("h"), i.alias("i"), size.alias("size"))
+                got = F.when(F.coalesce(F.get(e, i + (k - 1)), F.lit(False)) | (i + k == count), F.lit(k)).otherwise(got)
+            return got
 
-        every = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))
-        phrases = F.transform(F.slice(every, 1, F.greatest(count - n + 1, F.lit(0))), phrase)
-        starts = F.filter(every, lambda i: (i < count) & F.coalesce(F.get(e, i - 1), i == 0))
-        units = F.filter(F.transform(starts, unit), lambda u: u["size"].isNotNull())
-        return repeats(phrases, units)
+        short = F.filter(F.transform(starts, lambda i: F.struct(i.alias("i"), size(i).alias("size"))), lambda u: u["size"].isNotNull())
+
+        def units(u: Column) -> Column:
+            hashes = F.transform(u, lambda x: F.xxhash64(x["size"], F.slice(h, x["i"] + 1, x["size"])))
+            return repeats(hashes, lambda i: F.get(u, i)["i"], lambda i: F.get(u, i)["size"])
+
+        return F.concat(let(phrases, lambda p: repeats(p, lambda i: i, lambda i: F.lit(n))), let(short, units))
 
     return let(F.struct(hashes.alias("h"), ends.alias("e")), both)
 
 
-def repeats(*kinds: Column) -> Column:
-    """The (i, size) of those (h, i, size) whose h stands at an earlier i of its kind."""
+def repeats(hashes: Column, place: Callable[[Column], Column], size: Callable[[Column], Column]) -> Column:
+    """(i, size) of the elements of ``hashes`` that equal an earlier one.  Only lists that have such are sorted."""
     none = F.array().cast("array<struct<i:int,size:int>>")
 
     def later(s: Column) -> Column:
-        pairs = F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda a, b: F.when(a["h"] == b["h"], F.struct(b["i"].alias("i"), b["size"].alias("size"))))
-        return F.filter(pairs, lambda x: x.isNotNull())
-
-    def of(kind: Column) -> Column:
-        return let(kind, lambda k: F.when(F.size(F.array_distinct(k["h"])) == F.size(k), none).otherwise(let(F.sort_array(k), later)))
+        at = F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda a, b: F.when(a["h"] == b["h"], b["i"]))
+        return F.transform(F.filter(at, lambda i: i.isNotNull()), lambda i: F.struct(place(i).alias("i"), size(i).alias("size")))
 
-    return F.concat(*[of(k) for k in kinds])
+    order = F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), none).otherwise(let(order, later))
 
 
 def covered_share(w: Column, ranges: Column) -> Column:
@@ -111,18 +113,18 @@ def share_of_repeats(parts: Column) -> Column:
     return F.when(whole > 0, 1 - once / whole).otherwise(F.lit(0.0))
 
 
-def plain(part: Column) -> Column:
-    """A line, sentence or paragraph without spacing and end punctuation."""
-    return F.trim(F.regexp_replace(F.regexp_replace(part, r"\s++", " "), r"(?<![\p{P}\s])[\p{P}\s]++$", ""))
+#: Signs that do not count at the end of a line or paragraph.
+CLOSING = " \t\r\n\f.!?,;:…·-–—*_#/\\|=()[]{}<>«»„“”‘’\"'`~。！？，、；：）】」』"
 
 
 def pieces(evened: Column, border: str) -> Column:
-    return F.filter(F.transform(F.split(evened, border), plain), lambda x: x != "")
+    """Lines or paragraphs without blanks around them and end punctuation."""
+    return F.filter(F.transform(F.split(evened, border), lambda x: F.ltrim(F.rtrim(x, F.lit(CLOSING)))), lambda x: x != "")
 
 
 def units(ended: Column) -> Column:
     """Sentences and lines without spacing and end punctuation, cut from the whole text at once."""
-    return F.filter(F.split(F.regexp_replace(ended, r"[ \t]++", " "), END), lambda x: x != "")
+    return F.filter(F.split(ended, END), lambda x: x != "")
 
 
 @dataclass(frozen=True)
