@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from .graph import IMPORTS, NODES, nodes
+from ..session import cut_lineage, table
+from .graph import IMPORTS, NODES, extends, nodes
 from .imports import IMPORT_MAP, MODULES, import_map, modules
 from .lookup import _C, chunks
 from .orphans import clean_target
+from .skew import salted_join
 
 #: Patterns in lines, and in fenced blocks, with the confidence of a match.  Fixed values.
 INLINE = (
@@ -125,42 +126,65 @@ def nearest_by_name(asked: DataFrame, n: DataFrame) -> DataFrame:
 
 
 def resolve_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """caller, call_name, how, target of every call: the first of full name, super, import, same module, built-in, nearest name.
+    """caller, call_name, how, target of every call: the first of full name, super, import, wildcard import, same module, built-in,
+    nearest name.
 
     Calls nothing fits have how 'unresolved' and no target.
     """
-    from .traverse import mro
-
-    n = nodes(spark, sf_dir, "name", "file_path", "parent_class", "calls")
-    c = n.select(F.col("qualified_name").alias("caller"), "file_path", "parent_class", F.explode("calls").alias("call_name")).withColumn("call_name", clean_target(F.col("call_name"))).where("call_name <> ''").distinct()
-    c = c.join(modules(n), "file_path").withColumn("simple", F.element_at(F.split(F.element_at(F.split("call_name", r"\."), -1), r"\("), 1)).withColumn("first", F.element_at(F.split(F.element_at(F.split("call_name", r"\."), 1), r"\("), 1))
-    names = n.select(F.col("qualified_name").alias("full"))
+    from .traverse import linearised
+
+    # the narrow nodes are written once; every step below reads them from there
+    full = cut_lineage(nodes(spark, sf_dir, "name", "file_path", "parent_class", "calls"))
+    n = full.drop("calls")
+    each = full.select(F.col("qualified_name").alias("caller"), "file_path", "parent_class", F.explode("calls").alias("call_name")).withColumn("call_name", clean_target(F.col("call_name"))).where("call_name <> ''").distinct()
+    mods = modules(n)
+    each = cut_lineage(each.join(mods, "file_path").select("caller", "module", F.col("file_path").rlike(r"\.[jt]sx?$").alias("script"), F.coalesce("parent_class", F.lit("")).alias("parent_class"), "call_name"))
+    # what a call means depends on these alone: hot names of one module are resolved once, not once a caller
     is_super = F.col("call_name").rlike(r"^super(?:\(\))?(?:\.|$)")
+    part = lambda k: F.element_at(F.split(F.element_at(F.split("call_name", r"\."), k), r"\("), 1)
+    rest = F.regexp_extract("call_name", r"^[^.(]*((?:\.[^(]*)?)", 1)
     wanted = F.when(F.col("call_name").isin("super", "super()"), "__init__").otherwise(F.regexp_extract("call_name", r"^super(?:\(\))?\.([^(]*)", 1))
-    order = mro(spark, sf_dir).select(F.col("class_name").alias("parent_class"), "ancestor", "position")
+    key = ["module", "script", "parent_class", "call_name"]
+    c = cut_lineage(each.withColumn("parent_class", F.when(is_super, F.col("parent_class")).otherwise("")).select(*key).distinct().select("*", is_super.alias("is_super"), part(-1).alias("simple"), part(1).alias("first"), rest.alias("rest"), F.when(is_super, wanted).alias("wanted")))
+    names = n.select(F.col("qualified_name").alias("full"))
+    plain = c.where("NOT is_super")
+    order = linearised(extends(spark, sf_dir)).select(F.col("class_name").alias("parent_class"), "ancestor", "position")
     own = n.where("node_type = 'Method'").select(F.col("parent_class").alias("ancestor"), F.col("name").alias("wanted"), F.col("qualified_name").alias("method"))
-    asked_super = c.where(is_super).select("parent_class", wanted.alias("wanted")).distinct()
+    asked_super = c.where("is_super").select("parent_class", "wanted").distinct()
     supers = asked_super.join(order, "parent_class").join(own, ["ancestor", "wanted"]).groupBy("parent_class", "wanted").agg(F.min_by("method", F.struct("position", "method")).alias("super_target"))
-    script = F.col("file_path").rlike(r"\.[jt]sx?$")
-    builtin = F.when(~script & F.col("call_name").isin(*PYTHON_BUILTINS), F.concat(F.lit("builtins."), "call_name")).when(script & F.col("call_name").isin(*SCRIPT_BUILTINS, *SCRIPT_TYPES), F.concat(F.lit("builtin."), "call_name"))
+    builtin = F.when(~F.col("script") & F.col("call_name").isin(*PYTHON_BUILTINS), F.concat(F.lit("builtins."), "call_name")).when(F.col("script") & F.col("call_name").isin(*SCRIPT_BUILTINS, *SCRIPT_TYPES), F.concat(F.lit("builtin."), "call_name"))
     # an imported name, or a member of one; a name imported twice means the smallest target that is an entity
-    rest = F.regexp_extract("call_name", r"^[^.(]*((?:\.[^(]*)?)", 1)
-    asked_imports = c.where(~is_super).select("module", "first", rest.alias("rest")).distinct()
-    im = import_map(spark, sf_dir).where("NOT is_wildcard").select("module", F.col("local_name").alias("first"), "target")
-    imported = asked_imports.join(im, ["module", "first"]).select("module", "first", "rest", F.concat("target", "rest").alias("full")).join(names, "full", "left_semi").groupBy("module", "first", "rest").agg(F.min("full").alias("import_hit"))
-    near = nearest_by_name(c.select("module", "simple").distinct(), n)
+    bound = cut_lineage(import_map(spark, sf_dir).select("module", "local_name", "target", "is_wildcard"))
+    asked = plain.select("module", "first", "rest").distinct()
+    im = bound.where("NOT is_wildcard").select("module", F.col("local_name").alias("first"), "target")
+    imported = asked.join(im, ["module", "first"]).select("module", "first", "rest", F.concat("target", "rest").alias("full")).join(names, "full", "left_semi").groupBy("module", "first", "rest").agg(F.min("full").alias("import_hit"))
+    # what a module takes over whole from another may be any entity of that one
+    star = bound.where("is_wildcard").select("module", "target").distinct()
+    starred = asked.join(star, "module").select("module", "first", "rest", F.concat("target", F.lit("."), "first", "rest").alias("full")).join(names, "full", "left_semi").groupBy("module", "first", "rest").agg(F.min("full").alias("star_hit"))
+    near = nearest_by_name(plain.select("module", "simple").distinct(), n)
     got = (
-        c.withColumn("wanted", F.when(is_super, wanted))
-        .join(names.withColumn("full_hit", F.col("full")), c["call_name"] == F.col("full"), "left").drop("full")
+        c.join(names.withColumn("full_hit", F.col("full")), c["call_name"] == F.col("full"), "left").drop("full")
         .join(supers, ["parent_class", "wanted"], "left")
-        .withColumn("rest", rest).join(imported, ["module", "first", "rest"], "left")
+        .join(imported, ["module", "first", "rest"], "left")
+        .join(starred, ["module", "first", "rest"], "left")
         .withColumn("local", F.concat_ws(".", "module", "first")).join(names.withColumn("local_hit", F.col("full")), F.col("local") == F.col("full"), "left")
         .join(near, ["module", "simple"], "left")
     )
-    plain = ~is_super
-    how = F.when(F.col("full_hit").isNotNull(), "full").when(is_super & F.col("super_target").isNotNull(), "super").when(is_super, "unresolved").when(F.col("import_hit").isNotNull(), "import").when(F.col("local_hit").isNotNull(), "module").when(builtin.isNotNull(), "builtin").when(F.col("nearest").isNotNull(), "name").otherwise("unresolved")
-    target = F.coalesce("full_hit", F.when(is_super, F.col("super_target")), F.when(plain, F.coalesce(F.col("import_hit"), F.col("local_hit"), builtin, F.col("nearest"))))
-    return got.select("caller", "call_name", how.alias("how"), target.alias("target"))
+    how = (
+        F.when(F.col("full_hit").isNotNull(), "full")
+        .when(F.col("super_target").isNotNull(), "super")
+        .when(F.col("is_super"), "unresolved")
+        .when(F.col("import_hit").isNotNull(), "import")
+        .when(F.col("star_hit").isNotNull(), "wildcard")
+        .when(F.col("local_hit").isNotNull(), "module")
+        .when(builtin.isNotNull(), "builtin")
+        .when(F.col("nearest").isNotNull(), "name")
+        .otherwise("unresolved")
+    )
+    target = F.coalesce("full_hit", F.when(F.col("is_super"), F.col("super_target")).otherwise(F.coalesce(F.col("import_hit"), F.col("star_hit"), F.col("local_hit"), builtin, F.col("nearest"))))
+    answers = cut_lineage(got.select(*key, how.alias("how"), target.alias("target")))
+    back = each.withColumn("parent_class", F.when(is_super, F.col("parent_class")).otherwise(""))
+    return salted_join(back, answers, key, ["caller"]).select("caller", "call_name", "how", "target")
 
 
 def call_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,14 +218,15 @@ def _resolution_sql() -> str:
   d AS (SELECT c.*, module, string_split(string_split(call_name, '.')[-1], '(')[1] AS simple, string_split(string_split(call_name, '.')[1], '(')[1] AS first, regexp_matches(call_name, '^super(?:\(\))?(?:\.|$)') AS is_super,
     CASE WHEN call_name IN ('super', 'super()') THEN '__init__' ELSE regexp_extract(call_name, '^super(?:\(\))?\.([^(]*)', 1) END AS wanted, regexp_matches(file_path, '\.[jt]sx?$') AS script, regexp_extract(call_name, '^[^.(]*((?:\.[^(]*)?)', 1) AS rest FROM c JOIN mods USING (file_path)),
   imp AS (SELECT d.module, d.first, d.rest, min(n.qualified_name) AS import_hit FROM (SELECT DISTINCT module, first, rest FROM d WHERE NOT is_super) d JOIN import_map i ON i.module = d.module AND i.local_name = d.first AND NOT i.is_wildcard JOIN nodes n ON n.qualified_name = i.target || d.rest GROUP BY 1, 2, 3),
+  star AS (SELECT d.module, d.first, d.rest, min(n.qualified_name) AS star_hit FROM (SELECT DISTINCT module, first, rest FROM d WHERE NOT is_super) d JOIN import_map i ON i.module = d.module AND i.is_wildcard JOIN nodes n ON n.qualified_name = i.target || '.' || d.first || d.rest GROUP BY 1, 2, 3),
   sup AS (SELECT m.class_name, n.name, arg_min(n.qualified_name, (position, n.qualified_name)) AS target FROM mro m JOIN nodes n ON n.node_type = 'Method' AND n.parent_class = m.ancestor GROUP BY 1, 2),
   cand AS (SELECT module, simple, qualified_name, string_split(module, '.') AS mp, string_split(qualified_name, '.') AS cp FROM (SELECT DISTINCT module, simple FROM d) JOIN nodes ON name = simple),
   near AS (SELECT module, simple, arg_min(qualified_name, (len(mp) + len(cp) - 2 * {common} - CASE WHEN starts_with(qualified_name, module || '.') THEN 2 ELSE 0 END, qualified_name)) AS nearest FROM cand GROUP BY 1, 2),
-  r AS (SELECT d.*, f.qualified_name AS full_hit, s.target AS super_target, l.qualified_name AS local_hit, imp.import_hit, near.nearest,
+  r AS (SELECT d.*, f.qualified_name AS full_hit, s.target AS super_target, l.qualified_name AS local_hit, imp.import_hit, star.star_hit, near.nearest,
     CASE WHEN NOT script AND call_name IN {_list(PYTHON_BUILTINS)} THEN 'builtins.' || call_name WHEN script AND call_name IN {_list([*SCRIPT_BUILTINS, *SCRIPT_TYPES])} THEN 'builtin.' || call_name END AS builtin
-    FROM d LEFT JOIN nodes f ON f.qualified_name = call_name LEFT JOIN sup s ON d.is_super AND s.class_name = d.parent_class AND s.name = d.wanted LEFT JOIN nodes l ON l.qualified_name = d.module || '.' || d.first LEFT JOIN imp ON imp.module = d.module AND imp.first = d.first AND imp.rest = d.rest LEFT JOIN near ON near.module = d.module AND near.simple = d.simple),
-  resolved AS (SELECT caller, call_name, CASE WHEN full_hit IS NOT NULL THEN 'full' WHEN is_super AND super_target IS NOT NULL THEN 'super' WHEN is_super THEN 'unresolved' WHEN import_hit IS NOT NULL THEN 'import' WHEN local_hit IS NOT NULL THEN 'module' WHEN builtin IS NOT NULL THEN 'builtin' WHEN nearest IS NOT NULL THEN 'name' ELSE 'unresolved' END AS how,
-    CASE WHEN full_hit IS NOT NULL THEN full_hit WHEN is_super THEN super_target ELSE coalesce(import_hit, local_hit, builtin, nearest) END AS target FROM r)"""
+    FROM d LEFT JOIN nodes f ON f.qualified_name = call_name LEFT JOIN sup s ON d.is_super AND s.class_name = d.parent_class AND s.name = d.wanted LEFT JOIN nodes l ON l.qualified_name = d.module || '.' || d.first LEFT JOIN imp ON imp.module = d.module AND imp.first = d.first AND imp.rest = d.rest LEFT JOIN star ON star.module = d.module AND star.first = d.first AND star.rest = d.rest LEFT JOIN near ON near.module = d.module AND near.simple = d.simple),
+  resolved AS (SELECT caller, call_name, CASE WHEN full_hit IS NOT NULL THEN 'full' WHEN is_super AND super_target IS NOT NULL THEN 'super' WHEN is_super THEN 'unresolved' WHEN import_hit IS NOT NULL THEN 'import' WHEN star_hit IS NOT NULL THEN 'wildcard' WHEN local_hit IS NOT NULL THEN 'module' WHEN builtin IS NOT NULL THEN 'builtin' WHEN nearest IS NOT NULL THEN 'name' ELSE 'unresolved' END AS how,
+    CASE WHEN full_hit IS NOT NULL THEN full_hit WHEN is_super THEN super_target ELSE coalesce(import_hit, star_hit, local_hit, builtin, nearest) END AS target FROM r)"""
 
 
 SQL = {
