@@ -78,20 +78,44 @@ def contract(edges: DataFrame, both_ends: bool) -> tuple[list[DataFrame], list[D
     return raked, spliced, loops, None
 
 
-def _components(core: DataFrame) -> DataFrame:
-    """kind, node, ring of the nodes on circles of what could not be contracted: reachability by doubling."""
-    reach = core.select("kind", "child", "parent").distinct()
-    n = reach.count()
+def _spread_up(labels: DataFrame, edges: DataFrame, how) -> DataFrame:
+    """``labels`` (kind, node, label) after every node has taken the ``how`` (an aggregate) of its own label and those
+    of the nodes with an edge to it, again and again until nothing changes; a round reads each edge once."""
     while True:
-        step = reach.select("kind", F.col("child").alias("mid"), F.col("parent").alias("far"))
-        longer = reach.withColumnRenamed("parent", "mid").join(step, ["kind", "mid"]).select("kind", "child", F.col("far").alias("parent"))
-        reach = cut_lineage(reach.unionByName(longer).distinct())
-        m = reach.count()
-        if m == n:
-            break
-        n = m
-    back = reach.select("kind", F.col("parent").alias("child"), F.col("child").alias("parent"))
-    return reach.join(back, ["kind", "child", "parent"]).groupBy("kind", F.col("child").alias("node")).agg(F.min("parent").alias("ring"))
+        came = edges.join(labels.select("kind", F.col("node").alias("child"), "label"), ["kind", "child"]).select("kind", F.col("parent").alias("node"), "label")
+        new = cut_lineage(labels.select(*KEY, "label", F.col("label").alias("_was")).unionByName(came.withColumn("_was", F.lit(None).cast("string"))).groupBy(*KEY).agg(how("label").alias("label"), F.max("_was").alias("_was")))
+        if new.where(~F.col("label").eqNullSafe(F.col("_was"))).isEmpty():
+            return new.select(*KEY, "label")
+        labels = new.select(*KEY, "label")
+
+
+def _components(core: DataFrame) -> DataFrame:
+    """kind, node, ring of the nodes on circles of what could not be contracted.
+
+    Forward-backward reachability: the greatest name spreads along the edges, which colours each node with the
+    greatest name that reaches it; the nodes of a colour that in turn reach the node so named are its circle.  They are
+    taken out, edges between colours are dropped, and the rest goes on.  No pairs of nodes are made, so a dense core
+    costs its edges once a round.
+    """
+    left = cut_lineage(core.select("kind", "child", "parent").where("child <> parent").distinct())
+    found = []
+    while not left.isEmpty():
+        ends = left.select("kind", F.explode(F.array("child", "parent")).alias("node")).distinct()
+        colour = cut_lineage(_spread_up(ends.withColumn("label", F.col("node")), left, F.max).withColumnRenamed("label", "colour"))
+        child = colour.select("kind", F.col("node").alias("child"), "colour")
+        parent = colour.select("kind", F.col("node").alias("parent"), F.col("colour").alias("_colour"))
+        same = cut_lineage(left.join(child, ["kind", "child"]).join(parent, ["kind", "parent"]).where("colour = _colour").select("kind", "child", "parent", "colour"))
+        # back from the node a colour is named after, within the colour
+        back = same.select("kind", F.col("parent").alias("child"), F.col("child").alias("parent"))
+        mark = colour.select(*KEY, F.when(F.col("node") == F.col("colour"), F.col("colour")).alias("label"))
+        ring = _spread_up(mark, back, F.max).where("label IS NOT NULL").withColumnRenamed("label", "ring")
+        ring = cut_lineage(ring)
+        size = ring.groupBy("kind", "ring").agg(F.count("*").alias("n")).where("n > 1")
+        found.append(ring.join(size, ["kind", "ring"], "left_semi").select(*KEY, "ring"))
+        gone = ring.select("kind", F.col("node").alias("child"))
+        left = cut_lineage(same.join(gone, ["kind", "child"], "left_anti").join(gone.withColumnRenamed("child", "parent"), ["kind", "parent"], "left_anti").select("kind", "child", "parent"))
+    none = core.select("kind", F.col("child").alias("node"), F.col("child").alias("ring")).limit(0)
+    return reduce(DataFrame.unionByName, found, none)
 
 
 def on_circles(edges: DataFrame) -> DataFrame:
@@ -121,14 +145,8 @@ def on_circles(edges: DataFrame) -> DataFrame:
     return rings
 
 
-def paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """kind, node, root, depth, path (root first, node last), state of each of ``nodes`` (kind, node).
-
-    ``edges`` gives a node at most one parent; a parent outside ``nodes`` ends the path and is not part of it.  state
-    is tree, circle (the node is on a circle) or leads_to_circle; the last two have no root, depth or path.
-    """
-    link = edges.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).groupBy("kind", "child").agg(F.min("parent").alias("parent"))
-    inside = salted_join(link, nodes.select("kind", F.col("node").alias("parent")).distinct(), ["kind", "parent"], ["child"])
+def _tree_paths(nodes: DataFrame, inside: DataFrame) -> DataFrame:
+    """kind, node, path of those ``nodes`` whose way along ``inside`` (at most one parent each) ends at a root."""
     raked, spliced, _, _ = contract(inside.withColumn("via", F.array().cast("array<string>")), both_ends=False)
     tops = nodes.select(*KEY).distinct().join(inside.select("kind", F.col("child").alias("node")), KEY, "left_anti")
     known = tops.select(*KEY, F.array("node").alias("path"))
@@ -138,6 +156,18 @@ def paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         above = known.select("kind", F.col("node").alias("parent"), "path")
         got = salted_join(cut, above, ["kind", "parent"], ["node"]).select("kind", "node", F.concat("path", F.reverse("via"), F.array("node")).alias("path"))
         known = cut_lineage(known.unionByName(got))
+    return known
+
+
+def paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """kind, node, root, depth, path (root first, node last), state of each of ``nodes`` (kind, node).
+
+    ``edges`` gives a node at most one parent; a parent outside ``nodes`` ends the path and is not part of it.  state
+    is tree, circle (the node is on a circle) or leads_to_circle; the last two have no root, depth or path.
+    """
+    link = edges.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).groupBy("kind", "child").agg(F.min("parent").alias("parent"))
+    inside = salted_join(link, nodes.select("kind", F.col("node").alias("parent")).distinct(), ["kind", "parent"], ["child"])
+    known = _tree_paths(nodes, inside)
     rest = nodes.select(*KEY).distinct().join(known.select(*KEY), KEY, "left_anti")
     rings = on_circles(inside).select(*KEY, F.lit(True).alias("ring"))
     bad = rest.join(rings, KEY, "left").select(*KEY, F.lit(None).cast("string").alias("root"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.when(F.col("ring"), "circle").otherwise("leads_to_circle").alias("state"))
@@ -145,22 +175,54 @@ def paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return good.unionByName(bad)
 
 
-def descendants(edges: DataFrame) -> DataFrame:
-    """kind, ancestor, descendant, distance (the shortest) over all links; on a circle a node is its own descendant.
-
-    Reachability by doubling: each round joins the pairs found to themselves, so rounds grow with the logarithm of
-    the depth.  The result has as many rows as there are such pairs.
-    """
-    reach = cut_lineage(edges.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).select("kind", F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("distance")).distinct())
+def _reach(edges: DataFrame) -> DataFrame:
+    """kind, low, high, distance (the shortest) of all pairs joined by ``edges`` (kind, low, high, distance), by
+    doubling: rounds grow with the logarithm of the depth."""
+    reach = cut_lineage(edges.groupBy("kind", "low", "high").agg(F.min("distance").alias("distance")))
     before = None
     while True:
         size = tuple(reach.agg(F.count("*"), F.sum("distance")).first())
         if size == before:
             return reach
         before = size
-        mid = reach.select("kind", F.col("ancestor").alias("descendant"), F.col("descendant").alias("far"), F.col("distance").alias("more"))
-        longer = reach.join(mid, ["kind", "descendant"]).select("kind", "ancestor", F.col("far").alias("descendant"), (F.col("distance") + F.col("more")).alias("distance"))
-        reach = cut_lineage(reach.unionByName(longer).groupBy("kind", "ancestor", "descendant").agg(F.min("distance").alias("distance")))
+        mid = reach.select("kind", F.col("low").alias("high"), F.col("high").alias("far"), F.col("distance").alias("more"))
+        longer = reach.join(mid, ["kind", "high"]).select("kind", "low", F.col("far").alias("high"), (F.col("distance") + F.col("more")).alias("distance"))
+        reach = cut_lineage(reach.unionByName(longer).groupBy("kind", "low", "high").agg(F.min("distance").alias("distance")))
+
+
+def descendants(edges: DataFrame) -> DataFrame:
+    """kind, ancestor, descendant, distance (the shortest) over all links; on a circle a node is its own descendant.
+
+    Nodes with several parents, and those that a circle keeps from having a path, are cut from their parents.  What is
+    left are trees: contraction, undone in reverse, gives each node its path, and the nodes on the path are its
+    ancestors below the cut.  Only the cut nodes are joined pair by pair; what lies above them is the paths of their
+    parents again.  The rows made are those of the result, and as many again for further ways between two nodes.
+    """
+    every = cut_lineage(edges.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).select("kind", "child", "parent").distinct())
+    nodes = cut_lineage(every.select("kind", F.explode(F.array("child", "parent")).alias("node")).distinct())
+    several = every.groupBy("kind", F.col("child").alias("node")).agg(F.count("*").alias("n")).where("n > 1").select(*KEY)
+    single = every.join(several.select("kind", F.col("node").alias("child")), ["kind", "child"], "left_anti")
+    first = _tree_paths(nodes, single)
+    # a circle of single parents: all of it and what leads into it is cut as well
+    astray = cut_lineage(nodes.join(first.select(*KEY), KEY, "left_anti"))
+    cut = cut_lineage(several.unionByName(astray).distinct())
+    ways = cut_lineage(first.unionByName(astray.select(*KEY, F.array("node").alias("path"))))
+    inner = ways.select("kind", F.col("node").alias("descendant"), F.posexplode("path").alias("at", "ancestor"), (F.size("path") - 1).alias("depth")).select("kind", "ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance")).where("distance > 0")
+    if cut.isEmpty():
+        return inner
+    # from a cut node to the top of each of its parents' trees, if that is a cut node too
+    links = salted_join(every, cut.select("kind", F.col("node").alias("child")), ["kind", "child"], ["parent"])
+    above = cut_lineage(salted_join(links, ways.select("kind", F.col("node").alias("parent"), "path"), ["kind", "parent"], ["child"]))
+    tops = above.select("kind", F.col("child").alias("low"), F.element_at("path", 1).alias("high"), F.size("path").alias("distance")).join(cut.select("kind", F.col("node").alias("high")), ["kind", "high"], "left_semi")
+    far = _reach(tops.select("kind", "low", "high", "distance"))
+    own = cut.select("kind", F.col("node").alias("low"), F.col("node").alias("high"), F.lit(0).alias("distance"))
+    # ancestors of a cut node: those on its parents' paths, and the same of each cut node it reaches
+    step = above.select("kind", F.col("child").alias("high"), F.posexplode("path").alias("at", "ancestor"), F.size("path").alias("n")).select("kind", "high", "ancestor", (F.col("n") - F.col("at")).alias("more"))
+    step = step.groupBy("kind", "high", "ancestor").agg(F.min("more").alias("more"))
+    of_cut = cut_lineage(far.unionByName(own).join(step, ["kind", "high"]).select("kind", F.col("low").alias("top"), "ancestor", (F.col("distance") + F.col("more")).alias("distance")).groupBy("kind", "top", "ancestor").agg(F.min("distance").alias("distance")))
+    hung = ways.select("kind", F.col("node").alias("descendant"), F.element_at("path", 1).alias("top"), (F.size("path") - 1).alias("depth"))
+    outer = hung.join(of_cut, ["kind", "top"]).select("kind", "ancestor", "descendant", (F.col("distance") + F.col("depth")).alias("distance"))
+    return inner.unionByName(outer).groupBy("kind", "ancestor", "descendant").agg(F.min("distance").alias("distance"))
 
 
 def base_name(base: Column) -> Column:
@@ -199,6 +261,21 @@ def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths(nodes, first).select("kind", F.col("node").alias("qualified_name"), "root", "depth", F.array_join("path", " > ").alias("path"), "state")
 
 
+def p4_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entity with each root its links lead to, over all its bases, and the shortest way there.
+
+    A root has no parent.  An entity without parents is its own root at depth 0; one whose links all run in circles
+    has none.
+    """
+    links = cut_lineage(entity_links(spark, sf_dir).select("kind", "child", "parent").distinct())
+    ents = table(spark, sf_dir, "code_entities").where(F.col("qualified_name").isNotNull()).select(F.col("qualified_name").alias("node")).distinct()
+    nodes = ents.select(F.explode(F.array(F.lit("parent_class"), F.lit("base_classes"))).alias("kind"), "node")
+    roots = nodes.join(links.select("kind", F.col("child").alias("node")), KEY, "left_anti")
+    below = salted_join(descendants(links), roots.withColumnRenamed("node", "ancestor"), ["kind", "ancestor"], ["descendant"])
+    got = below.select("kind", F.col("descendant").alias("qualified_name"), F.col("ancestor").alias("root"), F.col("distance").alias("depth"))
+    return got.unionByName(roots.select("kind", F.col("node").alias("qualified_name"), F.col("node").alias("root"), F.lit(0).alias("depth")))
+
+
 def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descendants(entity_links(spark, sf_dir).select("kind", "child", "parent").distinct())
 
@@ -223,13 +300,17 @@ walk AS (SELECT kind, node, node AS root, 0 AS depth, node AS path FROM nodes WH
 up AS (SELECT DISTINCT kind, child, parent FROM first UNION SELECT u.kind, u.child, f.parent FROM up u JOIN first f ON f.kind = u.kind AND f.child = u.parent)
 """
 
-QUERIES = {"p4_found": p4_found, "p4_paths": p4_paths, "p4_descendants": p4_descendants}
+_FAR = """far AS (SELECT DISTINCT kind, parent AS ancestor, child AS descendant, 1 AS distance FROM links
+  UNION SELECT f.kind, f.ancestor, l.child, f.distance + 1 FROM far f JOIN links l ON l.kind = f.kind AND l.parent = f.descendant WHERE f.distance < 64)"""
+
+QUERIES = {"p4_found": p4_found, "p4_paths": p4_paths, "p4_roots": p4_roots, "p4_descendants": p4_descendants}
 SQL = {
     "p4_found": f"WITH RECURSIVE {_LINKS} SELECT DISTINCT child AS qualified_name FROM reach WHERE child = parent",
     "p4_paths": f"""WITH RECURSIVE {_LINKS}, {_PATHS} SELECT n.kind, n.node AS qualified_name, w.root, w.depth, w.path,
   CASE WHEN w.node IS NOT NULL THEN 'tree' WHEN c.child IS NOT NULL THEN 'circle' ELSE 'leads_to_circle' END AS state
   FROM nodes n LEFT JOIN walk w ON w.kind = n.kind AND w.node = n.node LEFT JOIN (SELECT kind, child FROM up WHERE child = parent) c ON c.kind = n.kind AND c.child = n.node""",
-    "p4_descendants": f"""WITH RECURSIVE {_LINKS}, far AS (SELECT DISTINCT kind, parent AS ancestor, child AS descendant, 1 AS distance FROM links
-  UNION SELECT f.kind, f.ancestor, l.child, f.distance + 1 FROM far f JOIN links l ON l.kind = f.kind AND l.parent = f.descendant WHERE f.distance < 64)
-  SELECT kind, ancestor, descendant, min(distance) AS distance FROM far GROUP BY 1, 2, 3""",
+    "p4_roots": f"""WITH RECURSIVE {_LINKS}, {_FAR}, n AS (SELECT DISTINCT kind, qualified_name AS node FROM ents, (VALUES ('parent_class'), ('base_classes')) AS k(kind)),
+  roots AS (SELECT kind, node FROM n WHERE (kind, node) NOT IN (SELECT (kind, child) FROM links))
+  SELECT kind, node AS qualified_name, node AS root, 0 AS depth FROM roots UNION ALL SELECT f.kind, descendant, ancestor, min(distance) FROM far f JOIN roots r ON r.kind = f.kind AND r.node = f.ancestor GROUP BY 1, 2, 3""",
+    "p4_descendants": f"""WITH RECURSIVE {_LINKS}, {_FAR} SELECT kind, ancestor, descendant, min(distance) AS distance FROM far GROUP BY 1, 2, 3""",
 }

@@ -83,6 +83,43 @@ def test_descendants(spark):
     assert got == {("b", "a"): 1, ("c", "b"): 1, ("c", "a"): 1, ("d", "d"): 1}
 
 
+def distances(edges):
+    """(ancestor, descendant) to the length of the shortest way; on a circle a node is below itself."""
+    up, found = {}, {}
+    for c, p in edges:
+        up.setdefault(c, set()).add(p)
+    for start in up:
+        level, d, seen = {start}, 0, set()
+        while level:
+            d += 1
+            level = {p for x in level for p in up.get(x, ())} - seen
+            seen |= level
+            found.update({(p, start): d for p in level})
+    return found
+
+
+@pytest.mark.parametrize("name", SHAPES)
+def test_descendants_of_shapes(spark, name):
+    got = {(r["ancestor"], r["descendant"]): r["distance"] for r in H.descendants(frame(spark, SHAPES[name])).collect()}
+    assert got == distances(SHAPES[name])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_descendants_at_random(spark, seed):
+    rnd = random.Random(seed)
+    edges = [(f"n{i}", f"n{rnd.randrange(60)}") for i in range(60) if rnd.random() < 0.8] + [(f"n{rnd.randrange(60)}", f"n{rnd.randrange(60)}") for _ in range(6 * seed)]
+    rows = [(r["ancestor"], r["descendant"], r["distance"]) for r in H.descendants(frame(spark, edges)).collect()]
+    assert len(rows) == len({r[:2] for r in rows}) and {r[:2]: r[2] for r in rows} == distances(edges)
+
+
+def test_a_dense_core_makes_no_pairs(spark):
+    rnd = random.Random(5)
+    n = 20_000
+    edges = [(f"n{i}", f"n{(i + 1) % n}") for i in range(n)] + [(f"n{i}", f"n{rnd.randrange(n)}") for i in range(n) for _ in range(2)] + [("tail", "n0"), ("n1", "top"), ("top", "higher")]
+    got = {r["node"]: r["ring"] for r in H.on_circles(frame(spark, edges)).collect()}
+    assert len(got) == n and len(set(got.values())) == 1 and "tail" not in got and "top" not in got
+
+
 def test_base_names(spark):
     df = spark.createDataFrame([(" A[T] ",), ("pkg.B<Map<string, X>>",), ("C",), ("D [int]",)], "b string")
     assert [r[0] for r in df.select(H.base_name(F.col("b"))).collect()] == ["A", "pkg.B", "C", "D"]
