@@ -1,4 +1,4 @@
-"""Exact cosine search: payload filters first, then block products, then the best k of each query."""
+"""Cosine search: payload filters first, then block products, then the best k of each query; exact, or by lists."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
-from ..session import ship, table
+from ..session import cut_lineage, ship, table
 
 #: Rows and queries of a block: a block of scores takes rows x queries x 4 bytes.
 ROW_BLOCK, QUERY_BLOCK = 16_384, 1_024
@@ -21,6 +21,37 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
+def _block_best(k: int, more: int):
+    """For applyInPandas over a block of queries and one of rows: each query's best rows, ties to the smaller vec_id."""
+
+    def best(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        ids, rows, scores = [], [], []
+        if len(a) and len(b):
+            b = b.sort_values("vec_id", kind="stable")
+            x, y = np.stack(a["embedding"].to_numpy()).astype(np.float64), np.stack(b["embedding"].to_numpy()).astype(np.float64)
+            nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+            s = np.round((x @ y.T) / np.where(nx > 0, nx, 1)[:, None] / np.where(ny > 0, ny, 1)[None, :], 9)
+            s[:, ny == 0] = -np.inf
+            vec, want = b["vec_id"].to_numpy(), min(k + more, len(b))
+            least = -np.partition(-s, want - 1, axis=1)[:, want - 1]
+            for i, qid in enumerate(a["query_id"].to_numpy()):
+                if nx[i] > 0:
+                    near = np.flatnonzero((s[i] >= least[i]) & np.isfinite(s[i]))
+                    near = near[np.argsort(-s[i][near], kind="stable")[:want]]
+                    ids.append(np.full(len(near), qid))
+                    rows.append(vec[near])
+                    scores.append(s[i][near])
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.array([], kind)
+        return pd.DataFrame({"query_id": join(ids, "int64"), "vec_id": join(rows, "int64"), "score": join(scores, "float64")})
+
+    return best
+
+
+def _ranked(got: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def knn(queries: DataFrame, rows: DataFrame, k: int, same: str | None = None, exclude_self: bool = False) -> DataFrame:
     """query_id, vec_id, score, rank: for each of ``queries`` (query_id, embedding) the k rows (vec_id, embedding) of highest cosine.
 
@@ -35,31 +66,80 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, same: str | None = None, ex
     q = queries.where("embedding IS NOT NULL").withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(nq).cast("long"))).withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long"))))
     r = rows.where("embedding IS NOT NULL").withColumn("_rb", F.pmod(F.xxhash64("vec_id"), F.lit(nr).cast("long"))).withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
     keys = ["_qb", "_rb", *part]
-    more = 1 if exclude_self else 0
+    got = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(_block_best(k, int(exclude_self)), "query_id long, vec_id long, score double")
+    return _ranked(got.where("query_id <> vec_id") if exclude_self else got, k)
 
-    def best(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        if not len(a) or not len(b):
-            return empty
-        b = b.sort_values("vec_id", kind="stable")
-        x, y = np.stack(a["embedding"].to_numpy()).astype(np.float64), np.stack(b["embedding"].to_numpy()).astype(np.float64)
-        nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-        ids, out = b["vec_id"].to_numpy(), []
-        s = np.round((x @ y.T) / np.where(nx > 0, nx, 1)[:, None] / np.where(ny > 0, ny, 1)[None, :], 9)
-        s[:, ny == 0] = -np.inf
-        for i, qid in enumerate(a["query_id"].to_numpy()):
-            if nx[i] == 0:
-                continue
-            top = np.argsort(-s[i], kind="stable")[: k + more]
-            top = top[np.isfinite(s[i][top])]
-            out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[top], "score": s[i][top]}))
-        return pd.concat(out) if out else empty
-
-    got = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
-    if exclude_self:
-        got = got.where("query_id <> vec_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+# -- an index of lists ------------------------------------------------------------------------------------------------
+#: Rows the centres are fitted on at most, centres at most, and turns of the fit.  The sample fits the centres alone;
+#: every row is indexed.
+FIT_ROWS, FIT_LISTS, FIT_TURNS = 20_000, 1_024, 10
+#: Recall aimed at, and rows of the sample the number of lists to look into is fitted on.
+FIT_RECALL, FIT_QUERIES = 0.96, 500
+
+
+def fit_index(rows: DataFrame, k: int = SETTINGS.search_limit, lists: int | None = None) -> tuple[np.ndarray, int]:
+    """(centres, number of lists to look into) from the ``FIT_ROWS`` rows of smallest hash.
+
+    The centres are those of spherical k-means, about one per 64 rows.  The number is the least with which the ``k``
+    nearest rows of ``FIT_QUERIES`` rows within the sample are found at a rate of ``FIT_RECALL``: few where vectors
+    lie in clusters, most of the lists where they have no structure.
+    """
+    got = rows.where("embedding IS NOT NULL").select("vec_id", "embedding").orderBy(F.xxhash64("vec_id")).limit(FIT_ROWS).toPandas()
+    if not len(got):
+        return np.zeros((1, 1)), 1
+    x = np.stack(got["embedding"].to_numpy()).astype(np.float64)
+    norm = np.linalg.norm(x, axis=1)
+    x = x[norm > 0] / norm[norm > 0][:, None]
+    if not len(x):
+        return np.zeros((1, len(got["embedding"].iloc[0]))), 1
+    n = min(lists or max(1, len(x) // 64), FIT_LISTS, len(x))
+    centres = x[np.random.default_rng(0).choice(len(x), n, replace=False)]
+    for _ in range(FIT_TURNS):
+        mine = np.argmax(x @ centres.T, axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, mine, x)
+        size = np.linalg.norm(total, axis=1)
+        centres = np.where(size[:, None] > 0, total / np.where(size > 0, size, 1)[:, None], centres)
+    q = x[:FIT_QUERIES]
+    near = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :k]
+    place = np.argsort(np.argsort(-(q @ centres.T), axis=1, kind="stable"), axis=1)
+    mine = np.argmax(x @ centres.T, axis=1)
+    turn = np.take_along_axis(place, mine[near], axis=1)
+    return centres, int(np.ceil(np.quantile(turn, FIT_RECALL))) + 1
+
+
+def nearest_lists(df: DataFrame, centres: np.ndarray, n: int) -> DataFrame:
+    """``df`` with ``lists``: the numbers of the ``n`` centres nearest to its embedding; none for null and zero vectors."""
+    ship(df.sparkSession)
+
+    @F.pandas_udf("array<int>")
+    def near(v: pd.Series) -> pd.Series:
+        def one(e):
+            if e is None or not np.any(e):
+                return []
+            s = centres @ np.asarray(e, np.float64)
+            return np.argsort(-s, kind="stable")[:n].astype(np.int32)
+
+        return v.map(one)
+
+    return df.withColumn("lists", near("embedding"))
+
+
+def ivf_search(queries: DataFrame, rows: DataFrame, k: int, index: tuple[np.ndarray, int] | None = None) -> DataFrame:
+    """Like ``knn``, but each query looks only into the lists of the centres nearest to it.
+
+    Every row lies in the list of its nearest centre.  A list of more than ``ROW_BLOCK`` rows is cut into blocks that
+    the queries for it all meet, so one list may hold any share of the rows.  ``knn`` is the exact way beside it.
+    """
+    centres, probes = index or fit_index(rows, k)
+    r = cut_lineage(nearest_lists(rows, centres, 1).select("vec_id", "embedding", F.get("lists", F.lit(0)).alias("list")).where("list IS NOT NULL"))
+    blocks = r.groupBy("list").agg(F.ceil(F.count("*") / ROW_BLOCK).alias("blocks"))  # a row per centre
+    r = r.join(F.broadcast(blocks), "list").withColumn("_rb", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).select("list", "_rb", "vec_id", "embedding")
+    q = nearest_lists(queries, centres, probes).select("query_id", "embedding", F.explode("lists").alias("list")).join(F.broadcast(blocks), "list")
+    q = q.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("_rb"), "query_id", "embedding")
+    got = q.groupBy("list", "_rb").cogroup(r.groupBy("list", "_rb")).applyInPandas(_block_best(k, 0), "query_id long, vec_id long, score double")
+    return _ranked(got, k)
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +155,18 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn(asked(spark, sf_dir), _rows(spark, sf_dir), SETTINGS.search_limit).select("query_id", "vec_id", "score", "rank")
 
 
+def vector_topk_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the index of lists: fewer rows are met, and its recall is that of ``ivf_recall``."""
+    return ivf_search(asked(spark, sf_dir), _rows(spark, sf_dir), SETTINGS.search_limit).select("query_id", "vec_id", "score", "rank")
+
+
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the exact best rows that the index of lists finds, over the stated query set."""
+    exact = vector_topk(spark, sf_dir).select("query_id", "vec_id")
+    found = vector_topk_ivf(spark, sf_dir).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "vec_id"], "left").agg(F.count_distinct("query_id").alias("n_queries"), F.count("*").alias("n_exact"), F.count("hit").alias("n_found"))
+
+
 def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only rows of the query's own label: the payload filter."""
     return knn(asked(spark, sf_dir), _rows(spark, sf_dir), SETTINGS.search_limit, same="label").select("query_id", "vec_id", "score", "rank")
@@ -112,7 +204,7 @@ def _knn_sql(k: int, extra: str = "") -> str:
   SELECT q.vec_id AS query_id, r.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings r WHERE q.vec_id % 20 = 0 {extra})) WHERE rank <= {k}"""
 
 
-QUERIES = {"vector_topk": vector_topk, "vector_topk_filtered": vector_topk_filtered, "similar_exclude": similar_exclude, "collection_info": collection_info, "nearest_label": nearest_label, "vector_changes": changed_collection}
+QUERIES = {"vector_topk": vector_topk, "vector_topk_ivf": vector_topk_ivf, "ivf_recall": ivf_recall, "vector_topk_filtered": vector_topk_filtered, "similar_exclude": similar_exclude, "collection_info": collection_info, "nearest_label": nearest_label, "vector_changes": changed_collection}
 SQL = {
     "vector_topk": _knn_sql(15),
     "vector_topk_filtered": _knn_sql(15, "AND q.label = r.label"),

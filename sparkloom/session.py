@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import ConfigurationError
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -50,30 +53,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: what ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
+    """The folder all executors share: what ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a local session, as in tests, gets a temporary one; on a cluster that is an error, since no
+    folder of one machine is seen by all.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ConfigurationError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="sparkloom-")
         sc.setCheckpointDir(named)
     return named
 
 
+def cut_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie; it is removed when the application ends."""
+    sc = spark.sparkContext
+    at = f"{shared_folder(spark)}/sparkloom/{sc.applicationId}"
+    if getattr(sc, "_sparkloom_cuts", None) != at:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc._sparkloom_cuts = at
+    return at
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The table survives the loss of executors, its plan is a bare scan (a checkpointed plan would keep the constraints
     of all it came from, which grow with every round of an iteration) and its size is known to the optimizer.
     """
-    at = f"{shared_folder(df.sparkSession)}/sparkloom/{uuid.uuid4().hex}"
+    at = f"{cut_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def forget_cuts(spark: SparkSession) -> None:
     """Remove what ``cut_lineage`` has written, once no DataFrame that reads it is needed any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/sparkloom")
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    at = spark._jvm.org.apache.hadoop.fs.Path(cut_folder(spark))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(at, True)
+    fs.mkdirs(at)
 
 
 def partitions(df: DataFrame) -> int:

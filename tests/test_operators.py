@@ -315,3 +315,35 @@ def test_settings():
 def test_progress():
     assert progress.percent({"scan": (1, 1), "parse": (1, 2)}) == 12.5 and progress.percent({s: (1, 1) for s in progress.STAGES}) == 100
     assert [progress.status(*x) for x in ((0, 0), (1, 0), (0, 1), (1, 1))] == ["pending", "completed", "failed", "partial"]
+
+
+def test_index_of_lists_finds_nearly_all(spark):
+    import numpy as np
+
+    from sparkloom.operators import vector as V
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 16))
+    clustered = [(int(i), (centres[i % 12] + 0.3 * rng.normal(size=16)).astype("float32").tolist()) for i in range(900)]
+    copies = [(int(i), centres[0].astype("float32").tolist()) for i in range(900, 1400)]
+    odd = [(2000, None), (2001, [0.0] * 16)]
+    rows = spark.createDataFrame(clustered + copies + odd, "vec_id long, embedding array<float>")
+    queries = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    index = V.fit_index(rows, 10)
+    assert index[1] < len(index[0])
+    exact = {(r["query_id"], r["vec_id"]) for r in V.knn(queries, rows, 10).collect()}
+    old, V.ROW_BLOCK = V.ROW_BLOCK, 64  # lists cut into blocks
+    try:
+        got = {(r["query_id"], r["vec_id"]) for r in V.ivf_search(queries, rows, 10, index).collect()}
+    finally:
+        V.ROW_BLOCK = old
+    assert len(exact & got) / len(exact) >= 0.9 and len(got) == len(exact)
+    assert V.ivf_search(queries, rows.limit(0), 10).count() == 0
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_recall_on_the_given_vectors(spark, folder):
+    from sparkloom import registry
+
+    r = registry.queries()["ivf_recall"](spark, f"/root/testdata/{folder}").first()
+    assert r["n_found"] / r["n_exact"] >= 0.9

@@ -41,3 +41,38 @@ def test_core_does_not_import_the_subpackage():
         if "llm" not in f.relative_to(root).parts:
             text = f.read_text()
             assert "sparkloom.llm" not in text and "from .llm" not in text and "from ..llm" not in text, f
+
+
+def test_the_core_stands_without_the_subpackage():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['sparkloom.llm'] = None; import __spark_entry__ as e; from sparkloom import registry; assert set(e.queries()) == set(registry.queries()); assert set(e.oracle_sql()) == set(registry.oracle_sql())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent, timeout=120)
+    missing = code.replace("sys.modules['sparkloom.llm'] = None", "sys.modules['regex'] = None; sys.modules['xxhash'] = None")
+    subprocess.run([sys.executable, "-c", missing.replace("==", ">=")], check=True, cwd=Path(__file__).parent.parent, timeout=120)
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from sparkloom.errors import ConfigurationError
+    from sparkloom.session import shared_folder
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    far = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf, getCheckpointDir=lambda: None), conf=conf)
+    with pytest.raises(ConfigurationError):
+        shared_folder(far)
+
+
+def test_cuts_are_removed(spark):
+    import os
+
+    from sparkloom.session import cut_folder, cut_lineage, forget_cuts
+
+    cut_lineage(spark.range(3))
+    at = cut_folder(spark).removeprefix("file:")
+    assert os.listdir(at)
+    forget_cuts(spark)
+    assert not os.listdir(at) and cut_lineage(spark.range(3)).count() == 3
