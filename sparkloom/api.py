@@ -66,8 +66,24 @@ class Engine:
                 touched = touched.unionByName(gone.select(F.col("path").alias("file_path")))
             entities = delete_where(known, touched, ["file_path"]).unionByName(entities)
         swap(entities, self._path("code_entities"))
+        self._embed_entities(work.select("path"), gone)
         return n
 
+    def _embed_entities(self, changed: DataFrame, gone: DataFrame | None) -> None:
+        """Cut the entities of changed files into chunks and store them with their vectors; other files' stay."""
+        touched = changed if gone is None else changed.unionByName(gone.select("path"))
+        touched = cut_lineage(touched.select(F.col("path").alias("file_path")).distinct())
+        if touched.isEmpty() and self._read("code_chunks") is not None:
+            return
+        full = self.spark.read.parquet(self._path("code_entities"))
+        fresh = full.join(touched, "file_path", "left_semi")
+        cut = chunking.chunk_code(fresh.select(F.col("qualified_name").alias("name"), "start_line", chunking.entity_text(fresh).alias("content")), self.settings.chunk_tokens, self.settings.chunk_overlap)
+        owner = fresh.select(F.col("qualified_name").alias("name"), "project_name", "file_path", F.col("type").alias("entity_type"))
+        vectors = embed_column(cut.join(owner, "name"), "content", port=self.embed)
+        new = cut_lineage(vectors.select(F.concat_ws("#", "name", "part").alias("chunk_id"), F.col("name").alias("qualified_name"), "project_name", "file_path", "entity_type", "part", "start_line", "end_line", "content", "content_hash", "embedding"))
+        kept = self._read("code_chunks")
+        swap(new if kept is None else delete_where(kept, touched, ["file_path"]).unionByName(new), self._path("code_chunks"))
+
     def _store(self, name: str, new: DataFrame, old: DataFrame | None, key: str, gone: DataFrame | None) -> None:
         table = new if old is None else upsert(old, new.select(*old.columns), [key])
         swap(delete_where(table, gone, [key]) if gone is not None else table, self._path(name))
@@ -80,6 +96,7 @@ class Engine:
         docs = work.select("path", "relative_path", "project_name", "content_hash", F.col("content").alias("text"), F.lit("unknown").alias("drift_status"))
         docs = cut_lineage(docs)
         sections = chunking.chunk_documents(docs, "path", "text", self.settings.chunk_tokens, self.settings.chunk_overlap)
+        sections = cut_lineage(embed_column(sections.join(docs.select("path", "project_name"), "path"), "content", port=self.embed))
         kept = self._read("document_chunks")
         n = docs.count()
         swap(sections if kept is None else delete_where(kept, docs.select("path"), ["path"]).unionByName(sections), self._path("document_chunks"))
@@ -112,13 +129,72 @@ class Engine:
         got = traverse.reach(graph.calls(self.spark, self.folder), hops or self.settings.max_hops, F.col("src").isin(starts))
         return got.select(F.col("origin").alias("source"), F.col("at").alias("callee"), "depth").orderBy("depth", "callee").limit(self.settings.total)
 
-    def search(self, text: str, limit: int | None = None) -> DataFrame:
-        """Entities whose code is most like ``text``, by the plugged-in embedding."""
+    def _scored(self, vectors: DataFrame, text: str) -> DataFrame:
         want = self.embed([text])[0]
-        n = graph.nodes(self.spark, self.folder, "name", "file_path", "code", "signature", "docstring")
-        v = embed_column(n.withColumn("content", chunking.entity_text(n)), "content", port=self.embed)
-        score = cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in want]))
-        return v.select("qualified_name", "name", "node_type", "file_path", F.round(score, 6).alias("score")).where("score IS NOT NULL").orderBy(F.desc("score"), "qualified_name").limit(limit or self.settings.search_limit)
+        return vectors.withColumn("score", F.round(cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in want])), 6)).where("score IS NOT NULL")
+
+    def search(self, text: str, limit: int | None = None, *, entity_type: str | None = None, project: str | None = None, exclude_file: str | None = None) -> DataFrame:
+        """Entities whose code is most like ``text``: the best chunk of each counts.
+
+        The vectors are those stored by ``index``; filters come before the score, so they reach the scan.  A store
+        without vectors, made elsewhere, gets them on the fly.
+        """
+        stored = self._read("code_chunks")
+        if stored is None:
+            n = graph.nodes(self.spark, self.folder, "name", "file_path", "project_name", "type", "code", "signature", "docstring")
+            stored = n.select("qualified_name", "file_path", "project_name", F.col("type").alias("entity_type"), chunking.entity_text(n).alias("content"))
+        for column, wanted in (("entity_type", entity_type), ("project_name", project)):
+            if wanted is not None:
+                stored = stored.where(F.col(column) == wanted)
+        if exclude_file is not None:
+            stored = stored.where(~F.col("file_path").eqNullSafe(exclude_file))
+        vectors = stored if "embedding" in stored.columns else embed_column(stored, "content", port=self.embed)
+        best = self._scored(vectors, text).groupBy("qualified_name", "file_path", "entity_type").agg(F.max("score").alias("score"))
+        kind = F.initcap("entity_type").alias("node_type")
+        return best.select("qualified_name", F.element_at(F.split("qualified_name", r"\."), -1).alias("name"), kind, "file_path", "score").orderBy(F.desc("score"), "qualified_name").limit(limit or self.settings.search_limit)
+
+    def search_documents(self, text: str, limit: int | None = None, *, project: str | None = None) -> DataFrame:
+        """Sections of documents most like ``text``, from the vectors stored by ``index_documents``."""
+        stored = self._read("document_chunks")
+        if stored is None or "embedding" not in stored.columns:
+            raise QueryError("no documents are indexed")
+        if project is not None:
+            stored = stored.where(F.col("project_name") == project)
+        return self._scored(stored, text).select("path", "seq", "heading_path", "start_line", "end_line", "score").orderBy(F.desc("score"), "path", "seq").limit(limit or self.settings.search_limit)
+
+    def count_vectors(self, part: str) -> int:
+        """How many stored chunks have ``part`` in their path."""
+        stored = self._read("code_chunks")
+        return 0 if stored is None else stored.where(F.col("file_path").contains(part)).count()
+
+    def explain_entity(self, name: str) -> dict:
+        """An entity with its callers, callees, class relatives and methods, the first of each."""
+        n = self.entity(name).first()
+        if n is None:
+            raise QueryError(f"no entity {name}")
+        q, s = n["qualified_name"], self.settings
+        e = graph.calls(self.spark, self.folder)
+        methods = graph.nodes(self.spark, self.folder, "parent_class").where(F.col("parent_class") == q)
+        parts = {
+            "callers": e.where(F.col("dst") == q).select(F.col("src").alias("x")),
+            "callees": e.where(F.col("src") == q).select(F.col("dst").alias("x")),
+            "methods": methods.select(F.col("qualified_name").alias("x")),
+            **{k: df.select(F.col("related").alias("x")) for k, df in self._relatives(q).items()},
+        }
+        return {**n.asDict(), **{k: [r["x"] for r in df.distinct().orderBy("x").limit(s.related_shown).collect()] for k, df in parts.items()}}
+
+    def _relatives(self, qualified_name: str) -> dict[str, DataFrame]:
+        up = graph.extends(self.spark, self.folder).select("src", "dst").distinct()
+        start = F.col("src") == qualified_name
+        far = self.settings.max_depth
+        return {k: traverse.reach(e, far, start).select(F.col("at").alias("related"), "depth") for k, e in (("ancestors", up), ("descendants", traverse.reverse(up)))}
+
+    def find_call_path(self, source: str, target: str, hops: int | None = None) -> DataFrame:
+        """The shortest chains of calls between the entities of two names: source, target, length, path."""
+        ends = [self.entity(x).select(F.col("qualified_name").alias(c)).limit(self.settings.fuzzy_limit) for x, c in ((source, "source"), (target, "target"))]
+        firsts, lasts = ([r[0] for r in df.collect()] for df in ends)  # a few names each
+        pairs = self.spark.createDataFrame([(a, b) for a in firsts for b in lasts if a != b], "source string, target string")
+        return traverse.all_paths(cut_lineage(graph.calls(self.spark, self.folder)), pairs, min(hops or self.settings.max_path, self.settings.max_path))
 
     def query(self, question: str, limit: int | None = None) -> DataFrame:
         """Plan a question, gather what the graph and the search know, and rank it: name, how it was found, score."""
@@ -131,6 +207,13 @@ class Engine:
                 parts.append(self.callers(name, p["max_hops"]).select(F.col("caller").alias("qualified_name"), F.lit("caller").alias("how"), F.greatest(F.lit(0.3), 1 - (F.col("depth") - 1) * 0.2).alias("score")))
             elif p["intent"] in ("find_callees", "explain_implementation"):
                 parts.append(self.callees(name, p["max_hops"]).select(F.col("callee").alias("qualified_name"), F.lit("callee").alias("how"), F.greatest(F.lit(0.3), 1 - (F.col("depth") - 1) * 0.2).alias("score")))
+            elif p["intent"] == "find_hierarchy":
+                for q in [r[0] for r in own.select("qualified_name").limit(self.settings.fuzzy_limit).collect()]:
+                    for how, df in self._relatives(q).items():
+                        parts.append(df.select(F.col("related").alias("qualified_name"), F.lit(how[:-1]).alias("how"), F.greatest(F.lit(0.3), 1 - (F.col("depth") - 1) * 0.2).alias("score")))
+        if p["intent"] == "find_call_chain" and len(p["entities"]) >= 2:
+            chains = self.find_call_path(*p["entities"][:2]).select(F.explode(F.split("path", " > ")).alias("qualified_name"), F.lit("chain").alias("how"), F.lit(1.0).alias("score"))
+            parts.append(chains.distinct())
         parts.append(self.search(question).select("qualified_name", F.lit("search").alias("how"), "score"))
         got = parts[0]
         for x in parts[1:]:
@@ -175,9 +258,58 @@ class Engine:
     def statistics(self) -> DataFrame:
         return stats.schema_info(self.spark, self.folder)
 
-    def delete_project(self, project: str) -> None:
-        """Take a project's files and entities out."""
-        for name in ("parsed_files", "code_entities", "documents"):
+    def projects(self) -> DataFrame:
+        """Projects with their stored files, entities and chunks."""
+        counts = []
+        for name, label in (("parsed_files", "n_files"), ("code_entities", "n_entities"), ("code_chunks", "n_chunks"), ("documents", "n_documents")):
+            df = self._read(name)
+            if df is not None:
+                counts.append(df.groupBy("project_name").agg(F.count("*").alias("n")).withColumn("what", F.lit(label)))
+        if not counts:
+            return self.spark.createDataFrame([], "project_name string, n_files long, n_entities long, n_chunks long, n_documents long")
+        got = counts[0]
+        for x in counts[1:]:
+            got = got.unionByName(x)
+        labels = ["n_files", "n_entities", "n_chunks", "n_documents"]
+        return got.groupBy("project_name").agg(*[F.coalesce(F.sum(F.when(F.col("what") == c, F.col("n"))), F.lit(0)).alias(c) for c in labels])
+
+    def _forget(self, name: str, gone) -> int:
+        df = self._read(name)
+        if df is None:
+            return 0
+        hit = F.coalesce(gone, F.lit(False))
+        n = df.where(hit).count()
+        if n:
+            swap(df.where(~hit), self._path(name))
+        return n
+
+    def delete_project(self, project: str) -> dict[str, int]:
+        """Take all of a project out: files, entities, chunks, documents and their sections; rows removed by table.
+
+        Sections of stores without their project column go with the documents they belong to.
+        """
+        removed = {}
+        sections, docs = self._read("document_chunks"), self._read("documents")
+        if sections is not None and docs is not None and "project_name" not in sections.columns:
+            mine = cut_lineage(docs.where(F.col("project_name") == project).select("path").distinct())
+            kept = sections.join(mine, "path", "left_anti")
+            removed["document_chunks"] = sections.count() - kept.count()
+            swap(kept, self._path("document_chunks"))
+        else:
+            removed["document_chunks"] = self._forget("document_chunks", F.col("project_name") == project)
+        for name in ("parsed_files", "code_entities", "code_chunks", "documents"):
+            removed[name] = self._forget(name, F.col("project_name") == project)
+        return removed
+
+    def delete_index(self, prefix: str) -> dict[str, int]:
+        """Take out all whose path lies under ``prefix``: files, entities and chunks; rows removed by table."""
+        under = lambda c: F.startswith(F.col(c), F.lit(prefix.rstrip("/") + "/")) | (F.col(c) == prefix)
+        columns = {"parsed_files": "path", "code_entities": "file_path", "code_chunks": "file_path", "documents": "path", "document_chunks": "path"}
+        return {name: self._forget(name, under(c)) for name, c in columns.items()}
+
+    def clear(self) -> None:
+        """Empty every stored table."""
+        for name in ("parsed_files", "code_entities", "code_chunks", "documents", "document_chunks"):
             df = self._read(name)
             if df is not None:
-                swap(df.where(~F.col("project_name").eqNullSafe(project)), self._path(name))
+                swap(df.limit(0), self._path(name))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import asdict
 
 from .api import Engine
 from .errors import EngineError
@@ -24,9 +25,12 @@ def call_tool(engine: Engine, name: str, args: dict):
     if name == "query_code_graph":
         return [r.asDict() for r in engine.query(args["question"]).collect()]
     if name == "get_code_snippet":
+        from pyspark.sql import functions as F
+
         from .operators.graph import nodes
 
-        row = nodes(engine.spark, engine.folder, "code", "file_path", "start_line", "end_line").where(f"qualified_name = {json.dumps(args['qualified_name'])}").first()
+        n = nodes(engine.spark, engine.folder, "code", "file_path", "start_line", "end_line")
+        row = n.where(F.col("qualified_name") == F.lit(args["qualified_name"])).first()
         return row.asDict() if row else {"error": "no such entity"}
     if name == "semantic_search":
         return [r.asDict() for r in engine.search(args["query"], args.get("limit", 5)).collect()]
@@ -76,11 +80,11 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sparkloom")
     p.add_argument("--data", required=True, help="folder of the stored tables")
     sub = p.add_subparsers(dest="verb", required=True)
-    for verb, args in {"index": ("path", "project"), "docs": ("path", "project"), "query": ("question",), "search": ("text",), "callers": ("name",), "callees": ("name",), "status": (), "delete": ("project",), "serve": ()}.items():
+    for verb, args in {"index": ("path", "project"), "docs": ("path", "project"), "query": ("question",), "search": ("text",), "callers": ("name",), "callees": ("name",), "explain": ("name",), "path": ("source", "target"), "search-docs": ("text",), "projects": (), "settings": (), "status": (), "delete": ("project",), "delete-index": ("prefix",), "clear": (), "serve": ()}.items():
         s = sub.add_parser(verb)
         for a in args:
             s.add_argument(a)
-        if verb in ("query", "search"):
+        if verb in ("query", "search", "search-docs"):
             s.add_argument("--limit", type=int)
     return p
 
@@ -102,8 +106,22 @@ def main(argv: list[str] | None = None) -> int:
             show(getattr(engine, a.verb)(a.name))
         elif a.verb == "status":
             show(engine.statistics())
+        elif a.verb == "explain":
+            print(json.dumps(engine.explain_entity(a.name), default=str))
+        elif a.verb == "path":
+            show(engine.find_call_path(a.source, a.target))
+        elif a.verb == "search-docs":
+            show(engine.search_documents(a.text, a.limit))
+        elif a.verb == "projects":
+            show(engine.projects())
+        elif a.verb == "settings":
+            print(json.dumps(asdict(engine.settings), default=str))
         elif a.verb == "delete":
-            engine.delete_project(a.project)
+            print(json.dumps(engine.delete_project(a.project)))
+        elif a.verb == "delete-index":
+            print(json.dumps(engine.delete_index(a.prefix)))
+        elif a.verb == "clear":
+            engine.clear()
         else:
             serve(engine, sys.stdin, sys.stdout)
     except EngineError as e:

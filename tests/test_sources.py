@@ -6,6 +6,7 @@ import json
 import pytest
 
 from sparkloom.api import Engine
+from sparkloom.operators.graph import calls
 from sparkloom.cli import handle, serve
 from sparkloom.errors import QueryError
 from sparkloom.sources.files import scan, scan_documents, statistics
@@ -119,6 +120,51 @@ def test_engine_is_incremental(spark, repo, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store/code_entities.parquet")).count() == 0
 
 
+def test_engine_stores_vectors_and_forgets_them(spark, repo, tmp_path):
+    def embed(texts):
+        from sparkloom.functions.ports import hashing_embedder
+
+        return hashing_embedder()(texts)
+
+    e = Engine(spark, str(tmp_path / "store"), embed=embed)
+    e.index(str(repo), "p")
+    chunks = e._read("code_chunks")
+    n = chunks.count()
+    assert n and chunks.where("embedding IS NULL OR content_hash IS NULL").isEmpty()
+    assert {r[0] for r in chunks.select("qualified_name").distinct().collect()} == {r[0] for r in e._read("code_entities").select("qualified_name").collect()}
+    before = {r["chunk_id"]: r["content_hash"] for r in chunks.collect()}
+    path = chunks.first()["file_path"]
+    e.index(str(repo), "p")  # nothing changed: nothing is embedded again
+    assert {r["chunk_id"]: r["content_hash"] for r in e._read("code_chunks").collect()} == before
+    assert e.count_vectors(path) == e._read("code_chunks").where(f"file_path = '{path}'").count()
+    hits = e.search(e._read("code_chunks").first()["content"], 5)
+    assert hits.first()["score"] > 0.99 and path not in {r["file_path"] for r in e.search("x", 50, exclude_file=path).collect()}
+    assert {r["node_type"] for r in e.search("x", 50, entity_type="function").collect()} <= {"Function"}
+    assert e.search("x", project="other").isEmpty()
+    name = e._read("code_entities").where("type = 'function'").first()["qualified_name"]
+    assert e.explain_entity(name)["qualified_name"] == name
+    (repo / "guide.md").write_text("# Guide\n\nHow to load files.\n")
+    e.index_documents(str(repo), "p")
+    assert e.search_documents("How to load files").first()["heading_path"] == ["Guide"]
+    assert e.search_documents("x", project="other").isEmpty()
+    assert e.projects().first()["n_chunks"] == n
+    removed = e.delete_index(path)
+    assert removed["parsed_files"] == 1 and e.count_vectors(path) == 0
+    assert e.delete_project("p")["document_chunks"] >= 1
+    assert all(e._read(t).isEmpty() for t in ("parsed_files", "code_entities", "code_chunks", "documents", "document_chunks"))
+    e.clear()
+
+
+def test_call_paths_of_the_engine(spark, repo, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    e.index(str(repo), "p")
+    edges = [tuple(r) for r in calls(spark, e.folder).collect()]
+    if edges:
+        src, dst = edges[0]
+        got = e.find_call_path(src, dst).collect()
+        assert got and got[0]["length"] == 1 and got[0]["path"] == f"{src} > {dst}"
+
+
 def test_stream_upserts_are_idempotent(spark, tmp_path):
     schema = "path string, at int, body string, gone boolean"
     box, target = str(tmp_path / "in"), str(tmp_path / "table")
