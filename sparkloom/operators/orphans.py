@@ -1,7 +1,8 @@
 """Problem 7: references to records that do not exist, by bitmaps over dictionary-encoded keys.
 
-Keys are numbered inside hash ranges; references and parents become one bitmap per key range and month; reference
-AND-NOT parent leaves the orphans, whose bits are decoded again.
+Keys are numbered inside hash ranges; references and parents become one compressed bitmap per key range and month: a
+list of the bits that are set while they are few, else the bits themselves.  Reference AND-NOT parent leaves the
+orphans, whose bits are decoded again.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship, table
+from ..session import cut_lineage, ship, table
 from .skew import salted_join
 
 #: Keys of a hash range on average, and numbers set aside for each; a bitmap holds 32,768 of them.
@@ -37,31 +38,48 @@ def dictionary(keys: DataFrame, key: str) -> DataFrame:
     return ranged.select(key, (F.col("_range") * RANGE_WIDTH + place).alias("_id"))
 
 
+#: Bits of a container, and how many of them, at two bytes each, are still kept as a list.
+CONTAINER, LISTED = 32_768, 2_048
+
+
 def bitmaps(encoded: DataFrame, period: str) -> DataFrame:
-    return encoded.groupBy(F.expr("bitmap_bucket_number(_id)").alias("_bucket"), F.col(period).alias("_period")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_id))").alias("_bits"))
+    """_bucket, _period and the container: _list of the set bits if they are few, else _bits.
+
+    ``encoded`` has a row per bit.  A sparse container is never larger than its bits' two bytes each, neither here nor
+    in the shuffle that makes it.
+    """
+    at = ["_bucket", "_period"]
+    bit = F.expr("cast(bitmap_bit_position(_id) AS short)").alias("_bit")
+    lists = encoded.select(F.expr("bitmap_bucket_number(_id)").alias("_bucket"), F.col(period).alias("_period"), bit).groupBy(*at).agg(F.collect_list("_bit").alias("_list"))
+    few = F.size("_list") <= LISTED
+    dense = lists.where(~few).select(*at, F.explode("_list").alias("_bit")).groupBy(*at).agg(F.expr("bitmap_construct_agg(cast(_bit AS bigint))").alias("_bits"))
+    sparse = lists.where(few).select(*at, "_list", F.lit(None).cast("binary").alias("_bits"))
+    return sparse.unionByName(dense.select(*at, F.lit(None).cast("array<short>").alias("_list"), "_bits"))
 
 
 def _and_not(key: tuple, refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: bits of each month's references that no parent of an earlier month has; those that a parent of
     the very month has are marked to be compared by their time."""
 
-    def bits(b: bytes) -> np.ndarray:
-        return np.frombuffer(b, np.uint8)
+    def places(few, raw) -> np.ndarray:
+        if raw is None:
+            return np.sort(np.asarray(few, np.int64))
+        return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little"))
 
-    born = {int(p): bits(b) for p, b in zip(parents["_period"], parents["_bits"])}
+    born = {int(p): places(few, raw) for p, few, raw in zip(parents["_period"], parents["_list"], parents["_bits"])}
     months, at = sorted(born), 0
-    seen = np.zeros(len(bits(refs["_bits"].iloc[0])) if len(refs) else 0, np.uint8)
-    none = np.zeros_like(seen)
+    seen = np.zeros(CONTAINER, bool)
     out = []
-    for period, raw in sorted(zip(refs["_period"].tolist(), refs["_bits"])):
-        while at < len(months) and (months[at] < period):
-            seen = seen | born[months[at]]
+    for period, few, raw in sorted(zip(refs["_period"].tolist(), refs["_list"], refs["_bits"]), key=lambda r: r[0]):
+        while at < len(months) and months[at] < period:
+            seen[born[months[at]]] = True
             at += 1
-        left = bits(raw) & ~seen
-        where = np.flatnonzero(np.unpackbits(left, bitorder="little"))
+        where = places(few, raw)
+        where = where[~seen[where]]
         if len(where):
-            same = np.unpackbits(born.get(period, none), bitorder="little")[where]
-            out.append(pd.DataFrame({"_bucket": refs["_bucket"].iloc[0], "_bit": where, "_period": period, "_compare": same.astype(bool)}))
+            same = np.zeros(CONTAINER, bool)
+            same[born.get(period, where[:0])] = True
+            out.append(pd.DataFrame({"_bucket": refs["_bucket"].iloc[0], "_bit": where, "_period": period, "_compare": same[where]}))
     return pd.concat(out) if out else pd.DataFrame({"_bucket": [], "_bit": [], "_period": [], "_compare": []})
 
 
@@ -74,9 +92,10 @@ def find_orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     rows is salted.
     """
     ship(refs.sparkSession)
-    refs = refs.select("ref_table", "ref_key", "target", "at").where(F.col("target").isNotNull()).withColumn("_period", month(F.col("at")))
-    asked = refs.select("target", "_period").distinct()
-    words = dictionary(asked, "target")
+    # each of these is read several times below, so each is written once
+    refs = cut_lineage(refs.select("ref_table", "ref_key", "target", "at").where(F.col("target").isNotNull()).withColumn("_period", month(F.col("at"))))
+    asked = cut_lineage(refs.select("target", "_period").distinct())
+    words = cut_lineage(dictionary(asked, "target"))
     present = words.join(parents.select("target", "first_at"), "target").withColumn("_first", F.coalesce(F.year("first_at") * 12 + F.month("first_at") - 1, F.lit(-1)))
     ref_bits = bitmaps(asked.join(words, "target"), "_period")
     parent_bits = bitmaps(present, "_first")
@@ -127,8 +146,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References and orphans per table and month; calls have no month."""
     period = F.date_format("at", "yyyy-MM").alias("period")
-    n = references(spark, sf_dir).groupBy("ref_table", period).agg(F.count("*").alias("n_references"))
-    k = orphans(spark, sf_dir).groupBy("ref_table", period).agg(F.count("*").alias("n_orphans"))
+    refs = cut_lineage(references(spark, sf_dir))
+    n = refs.groupBy("ref_table", period).agg(F.count("*").alias("n_references"))
+    k = find_orphans(refs, living_entities(spark, sf_dir)).groupBy("ref_table", period).agg(F.count("*").alias("n_orphans"))
     both = n.join(k, (n["ref_table"] == k["ref_table"]) & n["period"].eqNullSafe(k["period"]), "left")
     return both.select(n["ref_table"], n["period"], "n_references", F.coalesce("n_orphans", F.lit(0)).alias("n_orphans"))
 

@@ -50,3 +50,12 @@ def test_many_keys_in_a_range(spark):
 def test_target_names(spark):
     df = spark.createDataFrame([(" a.b() ",), ("a.b",), ("\ta.b()\n",), ("a.b()()",)], "t string")
     assert [r[0] for r in df.select(O.clean_target(df["t"])).collect()] == ["a.b", "a.b", "a.b", "a.b()"]
+
+
+def test_containers_of_both_kinds(spark):
+    df = spark.range(1, 40_000).selectExpr("id AS _id", "CASE WHEN id % 100 = 0 THEN 1 ELSE 2 END AS m")
+    got = {(r["_bucket"], r["_period"]): r for r in O.bitmaps(df, "m").collect()}
+    assert len(got) == 4
+    assert len(got[1, 1]["_list"]) == 327 and got[1, 1]["_bits"] is None
+    assert got[1, 2]["_list"] is None and sum(bin(b).count("1") for b in got[1, 2]["_bits"]) == 32_768 - 327
+    assert got[1, 1]["_list"] is not None and max(got[1, 1]["_list"]) < O.CONTAINER
