@@ -87,7 +87,7 @@ def files_to_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents upserted by project and path: of a batch the last of each key counts."""
     d = table(spark, sf_dir, "documents").where("project_name IS NOT NULL AND relative_path IS NOT NULL").select("project_name", "relative_path", "doc_id", "content_hash", "indexed_at")
-    old, new = d.where("doc_id % 3 <> 0"), d.where("doc_id % 2 = 0")
+    old, new = d.where("doc_id % 3 <> 0"), d.where("doc_id % 2 = 0 OR doc_id % 3 = 0")
     keys = ["project_name", "relative_path"]
     return upsert(last_of_batch(old, keys, "doc_id"), last_of_batch(new, keys, "doc_id"), keys, keep=("indexed_at",)).select(*keys, "doc_id", "content_hash", "indexed_at")
 
@@ -171,7 +171,7 @@ SQL = {
     "files_to_index": f"WITH {NODES}, {FILES} SELECT path, sha256(coalesce(content, '')) = content_hash AS same_hash, path IN (SELECT file_path FROM nodes) AS has_entities FROM files",
     "upsert_documents": """WITH d AS (SELECT project_name, relative_path, doc_id, content_hash, indexed_at FROM documents WHERE project_name IS NOT NULL AND relative_path IS NOT NULL),
       o AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY project_name, relative_path ORDER BY doc_id DESC) AS n FROM d WHERE doc_id % 3 <> 0) WHERE n = 1),
-      w AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY project_name, relative_path ORDER BY doc_id DESC) AS n FROM d WHERE doc_id % 2 = 0) WHERE n = 1)
+      w AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY project_name, relative_path ORDER BY doc_id DESC) AS n FROM d WHERE doc_id % 2 = 0 OR doc_id % 3 = 0) WHERE n = 1)
       SELECT coalesce(w.project_name, o.project_name) AS project_name, coalesce(w.relative_path, o.relative_path) AS relative_path, coalesce(w.doc_id, o.doc_id) AS doc_id, CASE WHEN w.doc_id IS NOT NULL THEN w.content_hash ELSE o.content_hash END AS content_hash, coalesce(o.indexed_at, w.indexed_at) AS indexed_at
       FROM o FULL JOIN w ON w.project_name = o.project_name AND w.relative_path = o.relative_path""",
     "metadata_versions": "SELECT project_name, package, CASE WHEN last_indexed_at IS NOT NULL THEN 2 ELSE 1 END AS version FROM projects",

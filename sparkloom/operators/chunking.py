@@ -132,14 +132,37 @@ def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_documents(d, "doc_id", "text").select("doc_id", "seq", F.array_join("heading_path", " > ").alias("heading_path"), "heading_level", "start_line", "end_line", "content_hash")
 
 
+def code_chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per entity what its chunks hold: first and last line, lines that some chunk holds, and the hash of an entity that
+    is one chunk."""
+    c = code_chunks(spark, sf_dir)
+    lines = c.select("name", F.explode(F.sequence("start_line", "end_line")).alias("line")).groupBy("name").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count_distinct("line").alias("n_lines"))
+    one = c.groupBy("name").agg(F.when(F.count("*") == 1, F.max("content_hash")).alias("whole_hash"), F.max("part").alias("n_parts"), F.count("*").alias("n_chunks"))
+    return lines.join(one, "name").select("name", "first_line", "last_line", "n_lines", (F.col("n_parts") == F.col("n_chunks")).alias("parts_in_turn"))
+
+
+def section_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per markdown document how many of its lines that are not blank lie in some section, and in how many sections
+    headings of each level begin."""
+    s = document_sections(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").where("document_type = 'markdown'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(~F.col("line").rlike(r"^\s*$"))
+    held = s.select("doc_id", F.explode(F.sequence("start_line", "end_line")).alias("n")).distinct()
+    got = d.select("doc_id", (F.col("at") + 1).alias("n")).join(held, ["doc_id", "n"], "left_semi")
+    return got.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.min("n").cast("int").alias("first_line"), F.max("n").cast("int").alias("last_line"))
+
+
 def tokens_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("n_tokens"))
 
 
 _T = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_ \t\n\x0B\f\r]'))"
-QUERIES = {"chunk_code": code_chunks, "code_chunk_totals": code_chunk_totals, "chunk_markdown": document_sections, "tokens_count": tokens_count}
+QUERIES = {"chunk_code": code_chunks, "code_chunk_totals": code_chunk_totals, "chunk_markdown": document_sections, "code_chunk_cover": code_chunk_cover, "section_cover": section_cover, "tokens_count": tokens_count}
 SQL = {
     "code_chunk_totals": f"""WITH {NODES}, t AS (SELECT node_type, {_T.format("concat_ws(chr(10), CASE WHEN signature <> '' THEN signature END, CASE WHEN docstring <> '' THEN concat(repeat(chr(34), 3), docstring, repeat(chr(34), 3)) END, coalesce(code, ''))")} AS n FROM nodes)
       SELECT lower(node_type) AS type, count(*) AS n_entities, sum(n)::BIGINT AS n_tokens, count(*) FILTER (WHERE n > 1000) AS n_over FROM t GROUP BY 1""",
+    "code_chunk_cover": f"""WITH {NODES}, t AS (SELECT qualified_name AS name, start_line, concat_ws(chr(10), CASE WHEN signature <> '' THEN signature END, CASE WHEN docstring <> '' THEN concat(repeat(chr(34), 3), docstring, repeat(chr(34), 3)) END, coalesce(code, '')) AS content FROM nodes)
+      SELECT name, start_line AS first_line, start_line + length(content) - length(replace(content, chr(10), '')) AS last_line, length(content) - length(replace(content, chr(10), '')) + 1 AS n_lines, true AS parts_in_turn FROM t""",
+    "section_cover": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE document_type = 'markdown')
+      SELECT doc_id, count(*) AS n_lines, min(n)::INTEGER AS first_line, max(n)::INTEGER AS last_line FROM l WHERE NOT regexp_matches(line, '^\s*$') GROUP BY 1""",
     "tokens_count": f"SELECT doc_id, coalesce({_T.format('text')}, 0)::INTEGER AS n_tokens FROM documents",
 }

@@ -258,6 +258,8 @@ SQL = {
     "transitive_callers": f"WITH RECURSIVE {CALLS}, {_REV}, {_trail_sql('rev', 3)} SELECT DISTINCT origin AS target, at_node AS caller, depth FROM t WHERE origin <> at_node",
     "call_paths": f"WITH RECURSIVE {CALLS}, {_PATHS} SELECT source, target, length, path FROM hits WHERE n <= 10",
     "shortest_chains": f"WITH RECURSIVE {CALLS}, {_PATHS} SELECT source, target, length FROM hits WHERE n = 1",
+    "all_call_paths": f"WITH RECURSIVE {CALLS}, {_trail_sql('e_calls', 10)}, hits AS (SELECT origin AS source, at_node AS target, depth AS length, path, row_number() OVER (PARTITION BY origin, at_node ORDER BY depth, path) AS n FROM t) SELECT source, target, length, path FROM hits WHERE n <= 10",
+    "all_shortest_chains": f"WITH RECURSIVE {CALLS}, {_trail_sql('e_calls', 10)} SELECT origin AS source, at_node AS target, min(depth) AS length FROM t GROUP BY 1, 2",
     "class_hierarchy": f"""WITH RECURSIVE {EXTENDS}, {_EXT}, rext AS (SELECT dst AS src, src AS dst FROM ext), {_trail_sql('ext', 5)}, {_trail_sql('rext', 5).replace('t AS', 'd AS', 1).replace('FROM t JOIN', 'FROM d JOIN').replace('t.', 'd.')}
       SELECT DISTINCT origin AS class_name, at_node AS related, depth, 'ancestor' AS direction FROM t WHERE origin <> at_node UNION ALL SELECT DISTINCT origin, at_node, depth, 'descendant' FROM d WHERE origin <> at_node""",
     "hierarchy_chains": f"WITH RECURSIVE {NODES}, {EXTENDS}, {_EXT}, {_trail_sql('ext', 5)} SELECT qualified_name AS class_name, 0 AS depth, qualified_name AS chain FROM nodes WHERE node_type = 'Class' UNION ALL SELECT origin, depth, path FROM t",
