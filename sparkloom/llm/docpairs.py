@@ -13,10 +13,27 @@ from pyspark.sql import functions as F
 from ..session import spread, table
 from .syntax.peg import Peg
 
-#: Items of a script file: a documentation comment with the line that follows it, or anything else, taken in large bites.
+#: Items of a script file: a documentation comment with the declaration under it, or anything else, taken in large bites.
+#: A declaration emits its kind and name; a line that declares nothing is taken as it is.
 SCRIPT = r'''
 item <- pair / other
-pair <- doc:doc gap decl:line {pair}
+pair <- doc:doc gap decl:decl {pair}
+decl <- function line / type line / binding line / method line / line
+function <- ~"[ \t]*(?:(?:export|default|declare|async)[ \t]+)*function\b[ \t]*\*?[ \t]*" name:ident {function}
+type <- ~"[ \t]*(?:(?:export|default|declare|abstract)[ \t]+)*(?:class|interface|enum|namespace|type)[ \t]+" name:ident {type}
+binding <- ~"[ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+" name:ident annotation? ~"[ \t]*=[ \t]*" value {function}
+annotation <- ~"[ \t]*:" (round / square / curly / angle / ~"=>" / ~"[^=\n(){}\[\]<>]")*
+value <- ~"(?:async\b[ \t]*)?" (~"function\b" / ~"[A-Za-z_$][\w$]*[ \t]*=>" / angle? ~"[ \t]*" round returned? ~"[ \t]*=>")
+returned <- ~"[ \t]*:" (round / square / curly / angle / ~"=>(?=[^\n]*=>)" / ~"[^=\n(){}\[\]<>]")*
+method <- ~"[ \t]*(?:(?:public|private|protected|static|readonly|override|abstract|declare|async|get|set)[ \t]+)*\*?[ \t]*" !reserved name:ident ~"[ \t]*[?!]?[ \t]*" angle? ~"[ \t]*\(" {function}
+reserved <- ~"(?:if|for|while|switch|return|catch|with|do|new|await|typeof|throw|function|super|import)\b"
+ident <- ~"#?[A-Za-z_$\x80-\uffff][\w$]*"
+round <- ~"\(" inside* ~"\)"
+square <- ~"\[" inside* ~"\]"
+curly <- ~"\{" inside* ~"\}"
+angle <- ~"<" (angle / round / square / curly / string / ~"=>" / ~"[^<>(){}\[\]'\"`]")* ~">"
+inside <- round / square / curly / string / ~"//[^\n]*" / ~"/\*(?:[^*]|\*(?!/))*\*/" / ~"[^(){}\[\]'\"`/]+" / ~"/"
+string <- ~"'(?:[^'\\\n]|\\.)*'" / ~"\"(?:[^\"\\\n]|\\.)*\"" / ~"`(?:[^`\\]|\\[\s\S])*`"
 doc <- ~"/\*\*(?!/)(?:[^*]|\*(?!/))*\*/"
 gap <- ~"[ \t]*\r?\n"
 line <- ~"[^\n]*"
@@ -28,7 +45,7 @@ any <- ~"[\s\S]"
 
 #: A Python definition up to and with the string that opens its body.
 PYTHON = r'''
-entity <- space decorator* ~"(?:async[ \t]+)?(?:def|class)[ \t]+" name generic? brackets? returns? ~"[ \t]*:" space doc:docstring {docstring}
+entity <- space decorator* ~"(?:async[ \t]+)?(?:def|class)[ \t]+" name:name generic? brackets? returns? ~"[ \t]*:" space doc:docstring {docstring}
 decorator <- ~"@[ \t]*[\w.]+" brackets? ~"[^\n]*\n" space
 name <- ~"\w+"
 generic <- ~"[ \t]*" square
@@ -45,38 +62,44 @@ string <- ~"[rRbBuUfF]*" long
 '''
 
 
-def _pair(s: str, caps: dict) -> tuple:
-    return caps["doc"], caps["decl"]
+def _declared(kind: str):
+    return lambda s, caps: (kind, *caps["name"])
 
 
 @cache
 def script_grammar() -> Peg:
-    return Peg(SCRIPT, {"pair": _pair})
+    return Peg(SCRIPT, {"pair": lambda s, caps: ("pair", caps["doc"], caps["decl"]), "function": _declared("function"), "type": _declared("type")})
 
 
 @cache
 def python_grammar() -> Peg:
-    return Peg(PYTHON, {"docstring": lambda s, caps: caps["doc"]})
+    return Peg(PYTHON, {"docstring": lambda s, caps: (caps["doc"], caps["name"])})
 
 
-def comment_pairs(content: str) -> list[tuple[int, str, int, int]]:
-    """(line of the declaration, comment, its start, its end) of every documentation comment directly above a line."""
-    out, line, seen = [], 1, 0
-    for (a, b), (c, _) in script_grammar().items(content, "item"):
+def comment_pairs(content: str) -> list[tuple[int, str, int, int, str | None]]:
+    """(line of the declaration, comment, its start, its end, name of the function) of every documentation comment
+    directly above a line; the name is None where the line opens no function."""
+    out, line, seen, named = [], 1, 0, {}
+    for kind, x, y in script_grammar().items(content, "item"):
+        if kind != "pair":
+            named[x] = content[x:y] if kind == "function" else None
+            continue
+        (a, b), (c, d) = x, y
         line += content.count("\n", seen, c)
         seen = c
-        out.append((line, content[a:b], a, b))
+        out.append((line, content[a:b], a, b, next((n for at, n in named.items() if c <= at < d), None)))
+        named.clear()
     return out
 
 
-def python_docstring(code: str) -> tuple[str, int, int] | None:
-    """(docstring, start, end) of the definition that ``code`` begins with; None if its body opens otherwise."""
+def python_docstring(code: str) -> tuple[str, int, int, str] | None:
+    """(docstring, start, end, name) of the definition that ``code`` begins with; None if its body opens otherwise."""
     out: list = []
     got = python_grammar().rules["entity"](code, 0, {}, {}, out)
     if got is None:
         return None
-    a, b = out[-1]
-    return code[a:b], a, b
+    (a, b), (c, d) = out[-1]
+    return code[a:b], a, b, code[c:d]
 
 
 # -- does a documentation text say something? -----------------------------------------------------------------------
@@ -202,7 +225,7 @@ def informative(doc: str | None, name: str) -> bool:
 
 # -- over whole tables ----------------------------------------------------------------------------------------------
 def comment_table(files: DataFrame) -> DataFrame:
-    """file_path, start_line, comment, doc_start, doc_end from the ``content`` of each script file (path, content).
+    """file_path, start_line, comment, doc_start, doc_end, declared from the ``content`` of each script file.
 
     Null and empty contents give no row; a file scanned several times gives the comments of its last scan.
     """
@@ -211,16 +234,20 @@ def comment_table(files: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = [(path, *r) for path, content in pdf.itertuples(index=False) for r in comment_pairs(content)]
-            yield pd.DataFrame(rows, columns=["file_path", "start_line", "comment", "doc_start", "doc_end"])
+            yield pd.DataFrame(rows, columns=["file_path", "start_line", "comment", "doc_start", "doc_end", "declared"])
 
-    return spread(scripts, "path").mapInPandas(run, "file_path string, start_line int, comment string, doc_start int, doc_end int")
+    return spread(scripts, "path").mapInPandas(run, "file_path string, start_line int, comment string, doc_start int, doc_end int, declared string")
 
 
 def pairs(entities: DataFrame, files: DataFrame) -> DataFrame:
-    """qualified_name, name, signature, code, doc, doc_source of functions and methods whose documentation says something.
+    """qualified_name, name, signature, code, doc, doc_source, doc_start, doc_end, declared of functions and methods
+    whose documentation says something.
 
     The documentation is the docstring; if that is null or empty, the string that opens the Python code, or for other
-    languages the comment directly above start_line in the file's content.  Entities indexed several times give one
+    languages the comment directly above start_line in the file's content.  doc_start and doc_end are the places of
+    the documentation as the grammar found it, in the code or, for a comment, in the file; null where it stands in
+    neither.  declared is the name of the function that the grammar finds there: another name than the entity's shows
+    an entity of an earlier scan than the file.  Entities indexed several times give one
     row, of the last time; a null name counts as empty; rows without qualified_name are left out.
     """
     at = F.coalesce(F.col("indexed_at").cast("timestamp_ntz"), F.lit("1970-01-01").cast("timestamp_ntz"))
@@ -229,25 +256,29 @@ def pairs(entities: DataFrame, files: DataFrame) -> DataFrame:
     latest = wanted.groupBy("qualified_name").agg(F.max_by(F.struct(*cols), F.struct(at, F.xxhash64(*cols))).alias("e")).select("qualified_name", "e.*")
     lacks: Column = F.coalesce(F.col("docstring"), F.lit("")) == ""
     script = F.coalesce(F.col("file_path"), F.lit("")).rlike(r"\.[jt]sx?$")
-    comments = comment_table(files).groupBy("file_path", "start_line").agg(F.max_by("comment", "doc_end").alias("comment"))
-    joined = latest.where(lacks & script).join(comments, ["file_path", "start_line"]).select("qualified_name", *cols, "comment")
-    ready = latest.where(~(lacks & script)).withColumn("comment", F.lit(None).cast("string")).unionByName(joined)
-    out = "qualified_name string, name string, signature string, code string, doc string, doc_source string"
+    comments = comment_table(files).groupBy("file_path", "start_line").agg(F.max_by(F.struct("comment", "doc_start", "doc_end", "declared"), "doc_end").alias("c")).select("file_path", "start_line", "c.*")
+    joined = latest.where(lacks & script).join(comments, ["file_path", "start_line"]).select("qualified_name", *cols, "comment", "doc_start", "doc_end", "declared")
+    none = {c: F.lit(None).cast(t) for c, t in (("comment", "string"), ("doc_start", "int"), ("doc_end", "int"), ("declared", "string"))}
+    ready = latest.where(~(lacks & script)).withColumns(none).unionByName(joined)
+    out = "qualified_name string, name string, signature string, code string, doc string, doc_source string, doc_start int, doc_end int, declared string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
-            for q, name, path, sig, doc, code, comment in zip(*[pdf[c] for c in ("qualified_name", "name", "file_path", "signature", "docstring", "code", "comment")]):
-                source = "docstring"
+            fields = ("qualified_name", "name", "file_path", "signature", "docstring", "code", "comment", "doc_start", "doc_end", "declared")
+            for q, name, path, sig, doc, code, comment, start, end, declared in zip(*[pdf[c] for c in fields]):
+                source, place = "docstring", (None, None)
+                got = python_docstring(code) if code and (path or "").endswith(".py") else None
+                if got:
+                    place, declared = got[1:3], got[3]
                 if not doc:
                     if comment is not None:
-                        doc, source = comment, "comment"
-                    elif (path or "").endswith(".py") and code:
-                        got = python_docstring(code)
+                        doc, source, place = comment, "comment", (int(start), int(end))
+                    else:
                         doc, source = (got[0], "code") if got else (None, "")
                 if doc and informative(doc, name or ""):
-                    rows.append((q, name, sig, code, "\n".join(bare(doc)).strip(), source))
-            yield pd.DataFrame(rows, columns=["qualified_name", "name", "signature", "code", "doc", "doc_source"])
+                    rows.append((q, name, sig, code, "\n".join(bare(doc)).strip(), source, *place, declared))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")]).astype({"doc_start": "Int32", "doc_end": "Int32"})
 
     return spread(ready, "qualified_name").mapInPandas(run, out)
 

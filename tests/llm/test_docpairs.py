@@ -43,7 +43,7 @@ def test_python_docstrings(code, doc):
 def test_comment_pairs():
     text = "/** A. */\nfunction a() {}\nconst s = '/** no */';\n/** gap */\n\nfunction b() {}\n  /**\n   * C.\n   */\r\n  c() { return `/** ${x} */` }\n// /** no */\nlet r = /[/*]/ /** tail */\n/* plain */\nfunction d() {}\n/** unclosed"
     assert [(n, c) for n, c, *_ in comment_pairs(text)] == [(2, "/** A. */"), (5, "/** gap */"), (10, "/**\n   * C.\n   */"), (13, "/** tail */")]
-    for _, c, a, b in comment_pairs(text):
+    for _, c, a, b, _ in comment_pairs(text):
         assert text[a:b] == c
 
 
@@ -58,3 +58,25 @@ def test_tables(spark):
     got = {r["qualified_name"]: (r["doc"], r["doc_source"]) for r in pairs(spark.createDataFrame(rows, ents).drop("comment"), files).collect()}
     assert got == {"m.a": ("Moves the files over.", "docstring"), "m.b": ("Keeps the order.", "code"), "m.d": ("Opens the gate.", "comment")}
     assert pairs(spark.createDataFrame([], ents).drop("comment"), files.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "line,name",
+    [
+        ("export default async function* go<T>(a) {", "go"), ("function a() {}", "a"), ("  static async put(z: string): Promise<void> {", "put"), ("const f = (a, b = (1)) => a;", "f"), ("export const g = async x => x", "g"), ("let h = function () {}", "h"), ("const k: (a: string) => void = <T,>(a: T): void => {};", "k"),
+        ("  get size() { return 1; }", "size"), ("  #own() {}", "#own"), ("  private readonly list?<A extends B<C>>(a: A): void;", "list"), ("class A {", None), ("interface B {", None), ("const n = 5;", None), ("if (a) {", None), ("return go(1);", None), ("@Input()", None), ("  name: string;", None),
+    ],
+)
+def test_functions_under_comments(line, name):
+    text = f"const s = 1;\n/** Doc. */\n{line}\nrest()"
+    assert comment_pairs(text) == [(3, "/** Doc. */", 13, 24, name)]
+
+
+def test_pairs_keep_the_places(spark):
+    ents = "qualified_name string, name string, type string, file_path string, signature string, docstring string, code string, start_line int, indexed_at timestamp_ntz"
+    script = "let a = 1;\n/** Opens the gate. */\nexport function other() {}\n"
+    rows = [("m.a", "a", "function", "/a.py", "", "Moves the files over.", "def a():\n    'Moves the files over.'", 1, None), ("m.b", "b", "function", "/a.py", "", "Keeps order of rows.", "def b(): pass", 1, None), ("m.c", "c", "function", "/c.ts", "", None, "function c() {}", 3, None)]
+    got = {r["name"]: r for r in pairs(spark.createDataFrame(rows, ents), spark.createDataFrame([("/c.ts", script, None)], "path string, content string, indexed_at timestamp_ntz")).collect()}
+    assert rows[0][6][got["a"]["doc_start"] : got["a"]["doc_end"]] == "'Moves the files over.'" and got["a"]["declared"] == "a"
+    assert got["b"]["doc_start"] is None and got["b"]["declared"] is None
+    assert script[got["c"]["doc_start"] : got["c"]["doc_end"]] == "/** Opens the gate. */" and got["c"]["declared"] == "other"
