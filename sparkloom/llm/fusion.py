@@ -19,17 +19,19 @@ def list_ranks(scores: DataFrame, group: list[str], score: str, block: int = BLO
     """``group``, ``score``, ``rank`` (1 = highest; equal scores share the rank of the first) of each distinct score.
 
     Rows are first counted per distinct score, so ties and repeated rows cost one row.  A list with more than
-    ``block`` distinct scores is cut at approximate quantiles; each block is ranked apart and shifted by what lies in
-    the blocks above it, so that no task holds more than about a block.
+    ``block`` distinct scores is cut at approximate quantiles, twice as many as the longest list has blocks; each part
+    is ranked apart and shifted by what lies in the parts above it, so that no task holds more than about a block.
     """
     n = scores.groupBy(*group, score).agg(F.count("*").alias("_n"))
-    long_lists = n.groupBy(*group).count().where(F.col("count") > block).drop("count")
+    sizes = n.groupBy(*group).count().where(F.col("count") > block)
+    long_lists = sizes.drop("count")
     if scores.count() <= block or long_lists.isEmpty():
         w = Window.partitionBy(*group).orderBy(F.desc(score))
         above = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1))
         return n.select(*group, score, (F.coalesce(above, F.lit(0)) + 1).alias("rank"))
     # at most (rows / block) lists are long, so the table of their cuts may be broadcast
-    cuts = n.join(F.broadcast(long_lists), group, "left_semi").groupBy(*group).agg(F.percentile_approx(score, [i / 64 for i in range(1, 64)], 1000).alias("_cuts"))
+    parts = 2 * -(-sizes.agg(F.max("count")).first()[0] // block)
+    cuts = n.join(F.broadcast(long_lists), group, "left_semi").groupBy(*group).agg(F.percentile_approx(score, [i / parts for i in range(1, parts)], 16 * parts).alias("_cuts"))
     cut = n.join(F.broadcast(cuts), group, "left").withColumn("_block", F.coalesce(F.size(F.filter("_cuts", lambda c: c > F.col(score))), F.lit(0))).drop("_cuts")
     per = cut.groupBy(*group, "_block").agg(F.sum("_n").alias("_in"))
     wb = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
