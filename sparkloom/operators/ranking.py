@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import INTENT_WEIGHTS, SETTINGS
 from ..plans.planner import entity_names
-from ..session import table
-from .graph import EDGES, NODES, nodes
-from .traverse import degrees
+from ..session import cut_lineage, table
+from .graph import EDGES, NODES, calls, latest
 
 S = SETTINGS
 
@@ -39,12 +38,12 @@ def relationship_score(role: Column) -> Column:
     return F.when(role.isNull(), 1.0).when(role == "caller", 0.8).when(role == "callee", 0.7).otherwise(0.5)
 
 
-def said(col: str) -> Column:
-    return (F.length(F.coalesce(F.col(col), F.lit(""))) > 0).cast("double")
+def said(size: str) -> Column:
+    return (F.coalesce(F.col(size), F.lit(0)) > 0).cast("double")
 
 
-def quality(code: Column) -> Column:
-    n = F.length(code)
+def quality(n: Column) -> Column:
+    """By the length of the code."""
     return F.when(F.coalesce(n, F.lit(0)) == 0, 0.0).when((n > 100) & (n < 2000), 0.8).when((n > 50) & (n < 3000), 0.5).otherwise(0.3)
 
 
@@ -61,13 +60,19 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     q = asked_queries(spark, sf_dir)
     r = table(spark, sf_dir, "ranked_results").select("result_id", "query_id", "file_path", "entity_name", "qualified_name", "start_line", "source", "depth_from_query", "relationship_path", F.col("signal_scores")["vector_similarity"].alias("similarity")).distinct()
-    n = nodes(spark, sf_dir, "signature", "docstring", "code").select("qualified_name", "signature", "docstring", "code")
-    d = degrees(spark, sf_dir).select("qualified_name", F.least(F.lit(1.0), F.col("total_degree") / S.centrality_norm).alias("central"))
-    rows = r.join(q, "query_id").join(n, "qualified_name", "left").join(d, "qualified_name", "left").withColumn("central", F.coalesce("central", F.lit(0.0)))
+    # of the texts only their lengths count, so only those are shuffled; of the graph only what touches a result
+    sizes = [F.coalesce(F.length(c), F.lit(0)).alias(f"n_{c}") for c in ("signature", "docstring", "code")]
+    ents = table(spark, sf_dir, "code_entities").select("qualified_name", "indexed_at", *sizes)
+    n = latest(ents, "qualified_name", ["n_signature", "n_docstring", "n_code"], "indexed_at")
+    wanted = r.select("qualified_name").where("qualified_name IS NOT NULL").distinct()
+    ends = calls(spark, sf_dir).select(F.explode(F.array("src", "dst")).alias("qualified_name"))
+    d = ends.join(wanted, "qualified_name", "left_semi").groupBy("qualified_name").agg(F.least(F.lit(1.0), F.count("*") / S.centrality_norm).alias("central"))
+    # read for both sides below
+    rows = cut_lineage(r.join(q, "query_id").join(n, "qualified_name", "left").join(d, "qualified_name", "left").withColumn("central", F.coalesce("central", F.lit(0.0))))
     em = entity_match(F.col("entity_name"), F.col("asked"))
-    context = said("docstring") * 0.2 + said("signature") * 0.2 + said("code") * 0.3
+    context = said("n_docstring") * 0.2 + said("n_signature") * 0.2 + said("n_code") * 0.3
     graph = base_score(F.col("relationship_path"), F.col("depth_from_query")) * F.col("gw") + em * S.entity_bonus + relationship_score(F.col("relationship_path")) * S.relationship_bonus + F.col("central") * S.centrality_weight + context * S.context_weight
-    vector = F.coalesce("similarity", F.lit(0.0)) * F.col("vw") + em * S.entity_bonus + F.col("central") * S.centrality_weight + quality(F.col("code")) * S.quality_weight
+    vector = F.coalesce("similarity", F.lit(0.0)) * F.col("vw") + em * S.entity_bonus + F.col("central") * S.centrality_weight + quality(F.col("n_code")) * S.quality_weight
     common = ["query_id", "result_id", key_of(F.col("file_path"), F.col("entity_name"), F.col("start_line")).alias("key"), "file_path", "entity_name", F.coalesce("depth_from_query", F.lit(1)).alias("depth")]
     a = rows.where(F.col("source").isin("graph", "hybrid")).select(*common, F.lit(0).alias("side"), graph.alias("score"))
     b = rows.where(F.col("source").isin("vector", "hybrid")).select(*common, F.lit(1).alias("side"), vector.alias("score"))
