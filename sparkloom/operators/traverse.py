@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
-from ..session import cut_lineage
+from ..session import cut_lineage, table
 from .graph import CALLS, EDGES, EXTENDS, NODES, all_edges, calls, extends, nodes
 
 
@@ -232,6 +232,37 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.groupBy("simple_name").agg(F.count("*").alias("n_entities"), F.min_by("qualified_name", F.struct(F.length("qualified_name"), "qualified_name")).alias("nearest"))
 
 
+def registry_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that search results mention, looked up in the registry by suffix: the entities whose name ends in a dot and
+    that name.
+
+    Every entity offers its own suffixes, so the lookup is an equi-join; it is counted per suffix before.
+    """
+    n = nodes(spark, sf_dir, "name").select("qualified_name")
+    asked = table(spark, sf_dir, "ranked_results").where("entity_name <> ''").select(F.col("entity_name").alias("asked")).distinct()
+    parts = F.split("qualified_name", r"\.")
+    tails = n.where(F.size(parts) > 1).select("qualified_name", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."))).alias("asked"))
+    held = tails.groupBy("asked").agg(F.count("*").alias("n_entities"), F.min_by("qualified_name", F.struct(F.length("qualified_name"), "qualified_name")).alias("nearest"))
+    return asked.join(held, "asked").select("asked", "n_entities", "nearest")
+
+
+def registry_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry by prefix: for every name that stands above some entity, how many entities lie below it."""
+    parts = F.split("qualified_name", r"\.")
+    n = nodes(spark, sf_dir, "name").where(F.size(parts) > 1).select("node_type", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "."))).alias("prefix"))
+    return n.groupBy("prefix").agg(F.count("*").alias("n_entities"), F.count_if(F.col("node_type") == "Class").alias("n_classes"))
+
+
+def is_subclass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the class of a method's caller is a subclass of the class of the method it calls, for every such call."""
+    n = nodes(spark, sf_dir, "parent_class").where("node_type = 'Method' AND parent_class IS NOT NULL").select("qualified_name", "parent_class")
+    a = n.select(F.col("qualified_name").alias("src"), F.col("parent_class").alias("class_name"))
+    b = n.select(F.col("qualified_name").alias("dst"), F.col("parent_class").alias("asked"))
+    pairs = calls(spark, sf_dir).join(a, "src").join(b, "dst").select("class_name", "asked").distinct()
+    up = linearised(extends(spark, sf_dir)).select("class_name", F.col("ancestor").alias("asked"), F.lit(True).alias("_is"))
+    return pairs.join(up, ["class_name", "asked"], "left").select("class_name", "asked", F.coalesce("_is", F.col("class_name") == F.col("asked")).alias("is_subclass"))
+
+
 def _trail_sql(edges: str, hops: int) -> str:
     return f"""t AS (SELECT src AS origin, dst AS at_node, 1 AS depth, [src || '|' || dst] AS used, src || ' > ' || dst AS path FROM {edges}
   UNION ALL SELECT t.origin, e.dst, t.depth + 1, list_append(t.used, e.src || '|' || e.dst), t.path || ' > ' || e.dst FROM t JOIN {edges} e ON e.src = t.at_node WHERE t.depth < {hops} AND NOT list_contains(t.used, e.src || '|' || e.dst))"""
@@ -251,7 +282,7 @@ _MRO = f"""{EXTENDS}, w AS (SELECT src AS class_name, dst AS ancestor, 1 AS dept
 
 QUERIES = {
     "transitive_callees": transitive_callees, "transitive_callers": transitive_callers, "call_paths": call_paths, "shortest_chains": shortest_chains, "all_call_paths": all_call_paths, "all_shortest_chains": all_shortest_chains, "class_hierarchy": class_hierarchy, "hierarchy_chains": hierarchy_chains,
-    "related_entities": related_entities, "centrality": degrees, "mro": mro, "inherited_methods": inherited_methods, "subclasses": subclasses, "inheritance_stats": inheritance_stats, "registry": registry,
+    "related_entities": related_entities, "centrality": degrees, "mro": mro, "inherited_methods": inherited_methods, "subclasses": subclasses, "inheritance_stats": inheritance_stats, "registry": registry, "registry_suffix": registry_suffix, "registry_prefix": registry_prefix, "is_subclass": is_subclass,
 }
 SQL = {
     "transitive_callees": f"WITH RECURSIVE {CALLS}, {_trail_sql('e_calls', 3)} SELECT DISTINCT origin AS source, at_node AS callee, depth FROM t WHERE origin <> at_node",
@@ -279,4 +310,11 @@ SQL = {
       SELECT class_name, count(*) FILTER (WHERE (sub, class_name) IN (SELECT (src, dst) FROM ext)) AS n_direct, count(*) AS n_all FROM s WHERE class_name <> sub GROUP BY class_name""",
     "inheritance_stats": f"WITH {NODES} SELECT count(*) AS n_classes, count(*) FILTER (WHERE k > 0) AS n_with_parents, sum(k)::BIGINT AS n_parents, round(avg(k), 6) AS avg_parents FROM (SELECT coalesce(len(base_classes), 0) AS k FROM nodes WHERE node_type = 'Class')",
     "registry": f"WITH {NODES} SELECT string_split(qualified_name, '.')[-1] AS simple_name, count(*) AS n_entities, arg_min(qualified_name, (length(qualified_name), qualified_name)) AS nearest FROM nodes GROUP BY 1",
+    "registry_suffix": f"""WITH {NODES}, a AS (SELECT DISTINCT entity_name AS asked FROM ranked_results)
+      SELECT asked, count(*) AS n_entities, arg_min(qualified_name, (length(qualified_name), qualified_name)) AS nearest FROM a JOIN nodes ON ends_with(qualified_name, '.' || asked) WHERE asked <> '' GROUP BY 1""",
+    "registry_prefix": f"""WITH {NODES}, p AS (SELECT node_type, string_split(qualified_name, '.') AS q FROM nodes), u AS (SELECT node_type, q, unnest(range(1, len(q))) AS k FROM p)
+      SELECT array_to_string(q[1:k], '.') AS prefix, count(*) AS n_entities, count(*) FILTER (WHERE node_type = 'Class') AS n_classes FROM u GROUP BY 1""",
+    "is_subclass": f"""WITH RECURSIVE {CALLS}, {EXTENDS}, up AS (SELECT DISTINCT src AS class_name, dst AS asked FROM e_extends UNION SELECT u.class_name, e.dst FROM up u JOIN e_extends e ON e.src = u.asked),
+      m AS (SELECT qualified_name, parent_class FROM nodes WHERE node_type = 'Method' AND parent_class IS NOT NULL), p AS (SELECT DISTINCT a.parent_class AS class_name, b.parent_class AS asked FROM e_calls JOIN m a ON a.qualified_name = src JOIN m b ON b.qualified_name = dst)
+      SELECT class_name, asked, class_name = asked OR (class_name, asked) IN (SELECT (class_name, asked) FROM up) AS is_subclass FROM p""",
 }
