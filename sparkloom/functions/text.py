@@ -46,3 +46,24 @@ def relative_module(module: Column, dots: Column, name: Column) -> Column:
     """A relative import's target: ``dots`` trailing parts of the importing module dropped, the name added."""
     parts = F.split(module, r"\.")
     return F.concat_ws(".", F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - dots, F.lit(0))), "."), F.when(name != "", name))
+
+
+def literal_text(source: Column) -> Column:
+    """What a string literal holds: prefix letters and the quotes, single or triple, taken off; other text stays."""
+    return F.regexp_replace(F.trim(source), r"^[rRbBuUfF]{0,2}(\"{3}|'{3}|\"|')([\s\S]*)\1$", "$2")
+
+
+def is_chained(call: Column) -> Column:
+    """Whether a call is made on the result of another."""
+    return call.rlike(r"\)\.")
+
+
+def chain_member(call: Column) -> Column:
+    """The last member of a chain of calls, without its own brackets; null if there is none."""
+    got = F.regexp_extract(call, r"\.([^.()]+)(?:\(\))?$", 1)
+    return F.when(got != "", got)
+
+
+def first_filled(*values: Column) -> Column:
+    """The first value that is neither null nor empty."""
+    return F.coalesce(*[F.when(F.length(v) > 0, v) for v in values])

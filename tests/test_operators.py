@@ -347,3 +347,12 @@ def test_recall_on_the_given_vectors(spark, folder):
 
     r = registry.queries()["ivf_recall"](spark, f"/root/testdata/{folder}").first()
     assert r["n_found"] / r["n_exact"] >= 0.9
+
+
+def test_literals_chains_and_first_values(spark):
+    rows = [('r"""A."""',), ("'b'",), ("plain",), ('"open',), ("",), (None,)]
+    assert [r[0] for r in spark.createDataFrame(rows, "s string").select(text.literal_text(F.col("s"))).collect()] == ["A.", "b", "plain", '"open', "", None]
+    calls = spark.createDataFrame([("a(b).c",), ("a.b().d()",), ("plain",), ("a.b",), (None,)], "c string")
+    assert [tuple(r) for r in calls.select(text.is_chained(F.col("c")), text.chain_member(F.col("c"))).collect()] == [(True, "c"), (True, "d"), (False, None), (False, "b"), (None, None)]
+    pairs = spark.createDataFrame([("", "b"), (None, "c"), ("a", None), (None, "")], "x string, y string")
+    assert [r[0] for r in pairs.select(text.first_filled(F.col("x"), F.col("y"))).collect()] == ["b", "c", "a", None]
