@@ -282,7 +282,7 @@ class Parser:
         text; nesting never decides a verdict.
         """
         far, note = [0], {}
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES_A_TOKEN * len(kinds) + 10_000))
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), min(FRAMES_A_TOKEN * len(kinds) + 10_000, 2**31 - 1)))
         self.env.update(K=kinds, NL=breaks, ends=ends, known=known, far=far, note=note, **{f"s_{s}": make_step(s, kinds, breaks) for s in self.steps})
         for m in self.memos:
             m.clear()
