@@ -7,6 +7,7 @@ import math
 import re
 import time
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +20,11 @@ Embed = Callable[[list[str]], list[list[float]]]
 Complete = Callable[[str], str]
 
 
+@lru_cache(maxsize=65_536)
+def _word_hash(w: str) -> int:
+    return int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+
+
 def hashing_embedder(dimensions: int = 64) -> Embed:
     """Bags of words hashed into ``dimensions`` signed counts, of unit length; a text without words is all zero."""
 
@@ -27,7 +33,7 @@ def hashing_embedder(dimensions: int = 64) -> Embed:
         for t in texts:
             v = [0.0] * dimensions
             for w in re.findall(r"\w+", (t or "").lower()):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                h = _word_hash(w)
                 v[h % dimensions] += 1.0 if h >> 63 else -1.0
             n = math.sqrt(sum(x * x for x in v))
             out.append([x / n for x in v] if n else v)

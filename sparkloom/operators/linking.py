@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SETTINGS
 from ..functions.ports import Embed, embed_column
 from ..plans.planner import salvage
+from ..session import cut_lineage
 from .chunking import entity_text
 from .graph import nodes
 from .lookup import chunks
@@ -21,16 +22,18 @@ def implicit_links(docs: DataFrame, entities: DataFrame, port: Embed | None = No
     """chunk_id, qualified_name, relevance, confidence: the entities of a chunk's own project that are most like it.
 
     ``docs`` has chunk_id, project_name, content; ``entities`` qualified_name, project_name, content.  Both sides get
-    vectors from the port; the search is exact and in blocks per project.
+    vectors from the port, once, and written with their keys alone: what follows neither embeds nor carries a text
+    again.  The search is exact and in blocks per project, for the similarities that some relevance takes.
     """
     from pyspark.sql import Window
 
-    q = embed_column(docs.where("content IS NOT NULL").withColumn("query_id", F.xxhash64("chunk_id")), "content", port=port)
-    r = embed_column(entities.withColumn("vec_id", F.xxhash64("qualified_name")), "content", port=port)
-    near = knn(q.select("query_id", "embedding", "project_name"), r.select("vec_id", "embedding", "project_name"), candidates, same="project_name")
-    got = near.join(q.select("query_id", "chunk_id"), "query_id").join(r.select("vec_id", "qualified_name"), "vec_id")
-    best = got.groupBy("chunk_id", "qualified_name").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("chunk_id").orderBy(F.desc("score"), "qualified_name")
+    q = cut_lineage(embed_column(docs.where("content IS NOT NULL").withColumn("query_id", F.xxhash64("chunk_id")), "content", port=port).select("query_id", "chunk_id", "project_name", "embedding"))
+    r = cut_lineage(embed_column(entities.withColumn("vec_id", F.xxhash64("qualified_name")), "content", port=port).select("vec_id", "qualified_name", "project_name", "embedding"))
+    near = knn(q, r, candidates, same="project_name", least=min(x[2] for x in RELEVANCE))
+    # names first, chunks last: all that follows is of one query_id, so names are dealt out once
+    named = near.select("query_id", "vec_id", "score").join(r.select("vec_id", "qualified_name"), "vec_id").drop("vec_id")
+    best = named.join(q.select("query_id", "chunk_id"), "query_id").groupBy("query_id", "chunk_id", "qualified_name").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id", "chunk_id").orderBy(F.desc("score"), "qualified_name")
     few = best.withColumn("n", F.row_number().over(w)).where(F.col("n") <= shown)
     name, confidence = None, None
     for label, value, least in RELEVANCE:

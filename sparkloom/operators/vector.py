@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
 from ..session import cut_lineage, ship, table
 
-#: Rows and queries of a block: a block of scores takes rows x queries x 4 bytes.
-ROW_BLOCK, QUERY_BLOCK = 16_384, 1_024
+#: Rows and queries of a block, and numbers in the vectors of one at most: a task holds a block of each.
+ROW_BLOCK, QUERY_BLOCK, BLOCK_NUMBERS = 32_768, 32_768, 8_388_608
+#: Queries and rows of a step within two blocks: its scores, in single precision, stay near a core.
+QUERY_STEP, ROW_STEP = 1_024, 2_048
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -21,28 +25,86 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n)
 
 
-def _block_best(k: int, more: int):
-    """For applyInPandas over a block of queries and one of rows: each query's best rows, ties to the smaller vec_id."""
-
-    def best(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ids, rows, scores = [], [], []
-        if len(a) and len(b):
-            b = b.sort_values("vec_id", kind="stable")
-            x, y = np.stack(a["embedding"].to_numpy()).astype(np.float64), np.stack(b["embedding"].to_numpy()).astype(np.float64)
-            nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-            s = np.round((x @ y.T) / np.where(nx > 0, nx, 1)[:, None] / np.where(ny > 0, ny, 1)[None, :], 9)
-            s[:, ny == 0] = -np.inf
-            vec, want = b["vec_id"].to_numpy(), min(k + more, len(b))
-            least = -np.partition(-s, want - 1, axis=1)[:, want - 1]
-            for i, qid in enumerate(a["query_id"].to_numpy()):
-                if nx[i] > 0:
-                    near = np.flatnonzero((s[i] >= least[i]) & np.isfinite(s[i]))
-                    near = near[np.argsort(-s[i][near], kind="stable")[:want]]
-                    ids.append(np.full(len(near), qid))
-                    rows.append(vec[near])
-                    scores.append(s[i][near])
-        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.array([], kind)
-        return pd.DataFrame({"query_id": join(ids, "int64"), "vec_id": join(rows, "int64"), "score": join(scores, "float64")})
+def _matrix(t: pa.Table) -> np.ndarray:
+    parts = [c for c in t["embedding"].chunks if len(c)]
+    sizes = {n for c in parts for n in pc.unique(pc.list_value_length(c)).to_pylist()}
+    if len(sizes) != 1:
+        raise ValueError(f"vectors of different lengths: {sorted(sizes)}")
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in parts]).reshape(t.num_rows, sizes.pop())
+
+
+def _usable(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, their lengths, unit vectors in single precision and ids of those that have a direction."""
+    n = np.linalg.norm(x.astype(np.float64), axis=1)
+    ok = np.isfinite(n) & (n > 0)
+    x, n = x[ok], n[ok]
+    return x, n, (x / n[:, None]).astype(np.float32), ids[ok]
+
+
+def _first_of_each(i: np.ndarray, j: np.ndarray, s: np.ndarray, want: int) -> tuple[np.ndarray, ...]:
+    """The ``want`` of highest ``s`` for each ``i``, ties to the smaller ``j``; and their places, from 0."""
+    order = np.lexsort((j, -s, i))
+    i, j, s = i[order], j[order], s[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    few = place < want
+    return i[few], j[few], s[few], place[few]
+
+
+def _block_best(k: int, more: int, least: float | None = None):
+    """For applyInArrow over a block of queries and one of rows: each query's best rows, ties to the smaller vec_id.
+
+    Products in single precision, with a bound on their error, only say which rows cannot be among the best or reach
+    ``least``; what is given is the cosine in double precision, rounded to nine places.
+    """
+    floor = -np.inf if least is None else least
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, rows, scores = [np.array([], np.int64)], [np.array([], np.int64)], [np.array([], np.float64)]
+        if a.num_rows and b.num_rows:
+            order = np.argsort(b["vec_id"].to_numpy(), kind="stable")
+            x, nx, ux, qid = _usable(_matrix(a), a["query_id"].to_numpy())
+            y, ny, uy, vec = _usable(_matrix(b)[order], b["vec_id"].to_numpy()[order])
+            want, piece = k + more, max(1, 4_194_304 // max(1, x.shape[1]))
+            slack = (x.shape[1] + 8) * 2.0**-23 + 1e-9
+
+            def dense(i: np.ndarray, at: slice) -> tuple[np.ndarray, ...]:
+                s = np.round((x[i].astype(np.float64) @ y[at].astype(np.float64).T) / nx[i][:, None] / ny[at][None, :], 9)
+                n = min(want, s.shape[1])
+                last = -np.partition(-s, n - 1, axis=1)[:, [n - 1]]
+                above, tie = s > last, s == last
+                g, j = np.nonzero(above | tie & (np.cumsum(tie, axis=1) <= n - above.sum(axis=1, keepdims=True)))
+                return i[g], j + at.start, s[g, j]
+
+            def single(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                cut = [slice(c, c + piece) for c in range(0, len(i), piece)]
+                return np.round(np.concatenate([np.einsum("ij,ij->i", x[i[c]].astype(np.float64), y[j[c]].astype(np.float64)) / nx[i[c]] / ny[j[c]] for c in cut]), 9)
+
+            for p in range(0, len(x), QUERY_STEP):
+                n = len(ux[p : p + QUERY_STEP])
+                bar, got, fresh = np.full(n, floor), (np.array([], np.int64), np.array([], np.int64), np.array([], np.float64)), 0
+                for r in range(0, len(y), ROW_STEP):
+                    fast, reach = ux[p : p + n] @ uy[r : r + ROW_STEP].T, (bar - slack).astype(np.float32)
+                    hit = np.flatnonzero(fast.max(axis=1) >= reach)
+                    near = fast[hit] >= reach[hit][:, None]
+                    if np.count_nonzero(near) * 16 > near.size:
+                        i, j, s = dense(hit + p, slice(r, r + ROW_STEP))
+                    elif len(hit):
+                        i, j = np.nonzero(near)
+                        i, j = hit[i] + p, j + r
+                        s = single(i, j)
+                    else:
+                        continue
+                    ok = s >= floor
+                    got, fresh = tuple(np.concatenate(c) for c in zip(got, (i[ok] - p, j[ok], s[ok]))), fresh + int(ok.sum())
+                    if 2 * fresh >= want * n:
+                        *got, place = _first_of_each(*got, want)
+                        full = place == want - 1
+                        bar[got[0][full]], fresh = got[2][full], 0
+                i, j, s, _ = _first_of_each(*got, want)
+                ids.append(qid[i + p])
+                rows.append(vec[j])
+                scores.append(s)
+        return pa.table({"query_id": pa.array(np.concatenate(ids), pa.int64()), "vec_id": pa.array(np.concatenate(rows), pa.int64()), "score": pa.array(np.concatenate(scores), pa.float64())})
 
     return best
 
@@ -52,21 +114,29 @@ def _ranked(got: DataFrame, k: int) -> DataFrame:
     return got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int, same: str | None = None, exclude_self: bool = False) -> DataFrame:
+def knn(queries: DataFrame, rows: DataFrame, k: int, same: str | None = None, exclude_self: bool = False, least: float | None = None) -> DataFrame:
     """query_id, vec_id, score, rank: for each of ``queries`` (query_id, embedding) the k rows (vec_id, embedding) of highest cosine.
 
     Both sides are cut into blocks and every block of queries meets every block of rows, so neither side is collected
     or broadcast whatever its size; each pair of blocks gives only its own best k.  With ``same`` only rows that agree
-    with the query in that column count (the filter becomes part of the block key).  Equal scores go to the smaller
-    vec_id; null and zero vectors are left out.
+    with the query in that column count: each of its values has as many blocks as its own queries and rows fill, since
+    a query is sent once per block of rows and a row once per block of queries.  Equal scores go to the smaller
+    vec_id; null and zero vectors are left out, and so are scores under ``least``.
     """
     ship(rows.sparkSession)
-    nq, nr = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-rows.count() // ROW_BLOCK))
-    part = [same] if same else []
-    q = queries.where("embedding IS NOT NULL").withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(nq).cast("long"))).withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long"))))
-    r = rows.where("embedding IS NOT NULL").withColumn("_rb", F.pmod(F.xxhash64("vec_id"), F.lit(nr).cast("long"))).withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
-    keys = ["_qb", "_rb", *part]
-    got = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(_block_best(k, int(exclude_self)), "query_id long, vec_id long, score double")
+    q, r = (df.where("embedding IS NOT NULL").select(*[F.col(x).alias(x) for x in (c, "embedding")], (F.col(same) if same else F.lit(0)).alias("_same")) for df, c in ((queries, "query_id"), (rows, "vec_id")))
+    longest = F.floor(F.lit(BLOCK_NUMBERS) / F.greatest(F.max(F.size("embedding")), F.lit(1)))
+    count = lambda block: F.ceil(F.count("*") / F.greatest(F.least(longest, F.lit(block)), F.lit(1)))
+    nq = q.groupBy("_same").agg(count(QUERY_BLOCK).alias("_nq"))
+    nr = r.groupBy(F.col("_same").alias("_of")).agg(count(ROW_BLOCK).alias("_nr"))
+    # values of more than one block: no more of them than all queries and rows fill blocks
+    large = F.broadcast(nq.join(nr, F.col("_same").eqNullSafe(F.col("_of"))).where("_nq > 1 OR _nr > 1").select("_of", "_nq", "_nr"))
+    blocks = lambda n: F.coalesce(n, F.lit(1)).cast("long")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col(n)) - 1))
+    q = q.join(large, F.col("_same").eqNullSafe(F.col("_of")), "left").withColumn("_qb", F.pmod(F.xxhash64("query_id"), blocks(F.col("_nq")))).withColumn("_rb", every("_nr")).drop("_of", "_nq", "_nr")
+    r = r.join(large, F.col("_same").eqNullSafe(F.col("_of")), "left").withColumn("_rb", F.pmod(F.xxhash64("vec_id"), blocks(F.col("_nr")))).withColumn("_qb", every("_nq")).drop("_of", "_nq", "_nr")
+    keys = ["_same", "_qb", "_rb"]
+    got = q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInArrow(_block_best(k, int(exclude_self), least), "query_id long, vec_id long, score double")
     return _ranked(got.where("query_id <> vec_id") if exclude_self else got, k)
 
 
@@ -138,7 +208,7 @@ def ivf_search(queries: DataFrame, rows: DataFrame, k: int, index: tuple[np.ndar
     r = r.join(F.broadcast(blocks), "list").withColumn("_rb", F.pmod(F.xxhash64("vec_id"), F.col("blocks"))).select("list", "_rb", "vec_id", "embedding")
     q = nearest_lists(queries, centres, probes).select("query_id", "embedding", F.explode("lists").alias("list")).join(F.broadcast(blocks), "list")
     q = q.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("_rb"), "query_id", "embedding")
-    got = q.groupBy("list", "_rb").cogroup(r.groupBy("list", "_rb")).applyInPandas(_block_best(k, 0), "query_id long, vec_id long, score double")
+    got = q.groupBy("list", "_rb").cogroup(r.groupBy("list", "_rb")).applyInArrow(_block_best(k, 0), "query_id long, vec_id long, score double")
     return _ranked(got, k)
 
 

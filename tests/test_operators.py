@@ -209,6 +209,47 @@ def test_knn_in_blocks(spark, monkeypatch):
     assert vector.knn(q.limit(0), r, 3).count() == 0
 
 
+def test_knn_sends_by_the_blocks_of_each_value(spark, monkeypatch):
+    """Ten values of 20 queries and 20 rows, none of which fills a block, and one of 60 of each: three blocks by three."""
+    import pyarrow as pa
+
+    def sent(k, more, least=None):
+        return lambda a, b: pa.table({"query_id": pa.array([a.num_rows + b.num_rows], pa.int64()), "vec_id": pa.array([0], pa.int64()), "score": pa.array([1.0])})
+
+    monkeypatch.setattr(vector, "ROW_BLOCK", 25)
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 25)
+    monkeypatch.setattr(vector, "_block_best", sent)
+    rows = [(i, [1.0, float(i)], f"p{i % 10}" if i < 200 else "large") for i in range(260)]
+    q, r = (spark.createDataFrame(rows, f"{c} long, embedding array<float>, label string") for c in ("query_id", "vec_id"))
+    assert sum(x["query_id"] for x in vector.knn(q, r, 1000, same="label").collect()) == 400 + 2 * 3 * 60
+    monkeypatch.setattr(vector, "BLOCK_NUMBERS", 40)  # vectors of two numbers: 20 of them
+    assert sum(x["query_id"] for x in vector.knn(q, r, 1000, same="label").collect()) == 400 + 2 * 3 * 60
+
+
+@pytest.mark.parametrize("least", [None, 0.0, 0.6])
+def test_block_best_in_steps_is_exact(least, monkeypatch):
+    """Repeated, opposite and zero vectors, many equal scores; both ways of scoring a step."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(vector, "QUERY_STEP", 16)
+    monkeypatch.setattr(vector, "ROW_STEP", 40)
+    rng = np.random.default_rng(5)
+    for x in (rng.integers(-1, 2, (230, 4)).astype(np.float32), rng.normal(size=(230, 24)).astype(np.float32)):
+        x[7], x[30] = 0, 3 * x[31]
+        table = lambda name, v, ids: pa.table({name: pa.array(ids, pa.int64()), "embedding": pa.array(v.tolist(), pa.list_(pa.float32()))})
+        vec = rng.permutation(230)
+        got = vector._block_best(5, 1, least)(table("query_id", x[:50], np.arange(50)), table("vec_id", x, vec)).to_pylist()
+        for i in range(50):
+            n = np.linalg.norm(x.astype(float), axis=1)
+            with np.errstate(invalid="ignore"):
+                s = np.round(x.astype(float) @ x[i].astype(float) / n / n[i], 9)
+            want = sorted((-s[j], vec[j]) for j in range(230) if np.isfinite(s[j]) and (least is None or s[j] >= least))[:6]
+            assert sorted((-g["score"], g["vec_id"]) for g in got if g["query_id"] == i) == want
+    with pytest.raises(ValueError, match="different lengths"):
+        vector._block_best(5, 1)(pa.table({"query_id": [1, 2], "embedding": [[1.0], [1.0, 2.0]]}), table("vec_id", x, vec))
+
+
 # -- plans and text
 @pytest.mark.parametrize(
     "question,intent,kind,hops",
